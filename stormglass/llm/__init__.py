@@ -10,8 +10,11 @@ from importlib import import_module
 
 #: Modules that register a query, in the order of the operators' numbers.
 MODULES = (
+    "toxicity",
+    "language_id",
     "warc_fixity",
     "bpe",
+    "ann_forest",
     "license_scan",
     "packing",
     "quality_rules",
