@@ -1,20 +1,54 @@
-"""A corpus, from documents to packed sequences, by five of the operators."""
+"""A corpus, from documents to packed sequences, by five of the operators.
+
+Every stage but the last takes and returns the columns of documents, whatever they
+are.  Documents without an id pass the deduplicating stages unchanged where these
+cannot name them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormglass.llm import packing, quality_rules
-from stormglass.llm.common import n_words
+from stormglass.llm import jaccard_join, language_id, packing, quality_rules, substring_dedup
+from stormglass.llm.common import WORD_GAP, cut, n_words
 
+#: Language predictions that are less certain are rejected.
+LEAST_CERTAIN = 0.5
+#: Certified thresholds and a packing heuristic have no SQL form; tests/llm compares with plain Python.
 ORACLE_SQL = None
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: not ``und``, and certain enough."""
+    predict = language_id.predictor(spark, language_id.fit(docs))
+    found = docs.withColumn("_lang", predict("text"))
+    return found.filter((F.col("_lang.lang_pred") != language_id.UND) & (F.col("_lang.score") >= LEAST_CERTAIN)).drop("_lang")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the certified quality rules keep."""
-    judged = quality_rules.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(judged.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    """Documents that the base rules and the certified cutoffs keep."""
+    cutoffs = quality_rules.learn_cutoffs(quality_rules.text_counts(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    names = docs.columns
+    counted = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), quality_rules.count_columns("text").alias("_n")).select("_row", "_n.*")
+    return quality_rules.verdicts(counted, cutoffs).filter("kept").select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id."""
+    classes = jaccard_join.similarity_classes(docs)
+    keep = classes.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; those with nothing left go."""
+    changed = substring_dedup.dedup(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("words_sha256").alias("_sha"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_sha"])
+    words = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), WORD_GAP), lambda w: w != ""), " ")
+    joined = docs.join(changed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(words, 256) == F.col("_sha")), "left")
+    text = F.coalesce("_kept", "text")
+    new = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return joined.filter(F.col("_kept").isNull() | (F.col("_kept") != "")).withColumns(new).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +56,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens")))
 
 
-STAGES = [("quality rules", quality), ("best-fit packing", pack)]
+STAGES = [
+    ("language ID", languages),
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substrings),
+    ("best-fit packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each on the whole result of the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,12 +12,14 @@ from importlib import import_module
 MODULES = (
     "toxicity",
     "language_id",
+    "jaccard_join",
     "warc_fixity",
     "bpe",
     "ann_forest",
     "license_scan",
     "packing",
     "quality_rules",
+    "substring_dedup",
 )
 
 

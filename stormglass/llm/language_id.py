@@ -15,10 +15,11 @@ ignored; equal probabilities go to the language that sorts first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,6 +172,17 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(apply, "doc_id long, lang_pred string, score double")
 
 
+def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function of a text column: struct(lang_pred, score), for filters that keep whole rows."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def apply(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+
+    return apply
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(id_remainder(doc_id, 4) == 2, F.lit(False))
 

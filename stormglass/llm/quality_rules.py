@@ -26,9 +26,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import batch_of, cut, documents, slices, words
 
@@ -75,6 +77,12 @@ def text_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, ", ".join(f"{c} long" for c in COUNTS.names))
 
 
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in COUNTS.names[1:]]))
+def count_columns(texts: pd.Series) -> pd.DataFrame:
+    """The columns of COUNTS after doc_id, as a struct, for filters that keep whole rows."""
+    return pd.DataFrame([counts_of(t) for t in texts], columns=COUNTS.names[1:])
+
+
 def ratios() -> dict[str, Column]:
     """The rules: name and the ratio that must not exceed its cutoff."""
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
