@@ -69,7 +69,12 @@ def sync(store_touches: DataFrame, alerts: DataFrame, seq: Column, provider: str
     return evict(purge(entries(store_touches.unionByName(new)), new.select("ref").distinct(), f"{provider}:"))
 
 
-def lookup(store: DataFrame, ref: str) -> DataFrame:
-    """One row (ref, body) with a FeatureCollection, or none."""
+def collections(store: DataFrame) -> DataFrame:
+    """(ref, body): each entry's geometry as a FeatureCollection."""
     feature = F.struct(F.lit("Feature").alias("type"), F.parse_json("geometry").alias("geometry"), F.struct("ref").alias("properties"))
-    return store.filter(F.col("ref") == ref).select("ref", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("body"))
+    return store.select("ref", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("body"))
+
+
+def lookup(store: DataFrame, ref: str) -> DataFrame:
+    """One row (ref, body), or none: not found."""
+    return collections(store.filter(F.col("ref") == ref))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -33,9 +33,9 @@ def sync_history(current: DataFrame, polls: DataFrame, hydrated: DataFrame) -> D
     # Exempt ids stay tracked through the first poll.
     kept = hydrated.join(bounds, "entry_id").select("entry_id", F.col("first_seq").alias("poll_seq"), "id")
     tracked = ids.unionByName(start).unionByName(kept).distinct()
-    order = lifecycle.Window.partitionBy("entry_id").orderBy("poll_seq")
-    spine = numbered.select("entry_id", "poll_seq", F.coalesce(F.lag("poll_seq").over(order), F.col("first_seq") - 1).alias("prev_seq"))
-    before = tracked.join(spine, (tracked["entry_id"] == spine["entry_id"]) & (tracked["poll_seq"] == spine["prev_seq"])).select(spine["entry_id"], spine["poll_seq"], "id")
+    order = Window.partitionBy("entry_id").orderBy("poll_seq")
+    spine = numbered.select("entry_id", F.col("poll_seq").alias("next_seq"), F.coalesce(F.lag("poll_seq").over(order), F.col("first_seq") - 1).alias("poll_seq"))
+    before = tracked.join(spine, ["entry_id", "poll_seq"]).select("entry_id", F.col("next_seq").alias("poll_seq"), "id")
     add = ids.join(before, ["entry_id", "poll_seq", "id"], "left_anti").withColumn("action", F.lit("add"))
     remove = before.join(tracked, ["entry_id", "poll_seq", "id"], "left_anti").withColumn("action", F.lit("remove"))
     return add.unionByName(remove)

@@ -61,11 +61,11 @@ def parse_geojson(df: DataFrame, body: str = "body", page_no: str | None = None,
             *(p[b].alias(a) for a, b in same_name.items()),
             F.coalesce(F.nullif(p["headline"], F.lit("")), F.get(F.try_element_at(p["parameters"], F.lit("NWSheadline")), F.lit(0))).alias("headline"),
             text.zone_codes(_texts(p["affectedZones"])).alias("affected_zones"),
-            p["geocode.UGC"].alias("geocode_ugc"),
-            p["geocode.SAME"].alias("geocode_same"),
+            p["geocode"]["UGC"].alias("geocode_ugc"),
+            p["geocode"]["SAME"].alias("geocode_same"),
             F.nullif(F.col("feature.geometry"), F.lit("null")).alias("geometry"),
-            first(p["eventCode.NationalWeatherService"]).alias("event_code_nws"),
-            first(p["eventCode.SAME"]).alias("event_code_same"),
+            first(p["eventCode"]["NationalWeatherService"]).alias("event_code_nws"),
+            first(p["eventCode"]["SAME"]).alias("event_code_same"),
             vtec.alias("vtec"),
             *(text.vtec_field(one, f).alias(f"vtec_{f}") for f in dims.VTEC_FIELDS[:-1]),
             F.lit("nws").alias("provider"),
