@@ -34,6 +34,8 @@ CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 2_048
 #: A boundary this near to a chunk's end may depend on characters that the chunk lacks.
 LOOKAHEAD = 4
+#: Texts that a worker holds in encoded form at a time.
+CODE_ROWS = 64
 
 CHUNKS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("n", pa.int64()), ("chunk", pa.int64()), ("text", pa.string())])
 BOUNDS = pa.schema([*CHUNKS, ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))])
@@ -67,15 +69,26 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
     ``ranks_path`` and ``pattern`` name the vocabulary; every executor reads it from that path.
     """
+    return round_trip(df, ranks_path, pattern, text_col, id_col, chunk_chars, overlap_chars).drop("decoded")
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """As ``encode``, with a column decoded: the bytes that the ids stand for, by the same Python worker."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     is_long = F.length("text") > chunk_chars + overlap_chars
 
-    @F.pandas_udf("array<int>")
-    def encode_piece(texts: pd.Series) -> pd.Series:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last column's texts become ids and decoded bytes; columns before it stay."""
         enc = encoding(ranks_path, pattern)
-        return pd.Series([enc.encode_to_numpy(t, disallowed_special=()).astype(np.int32) for t in texts])
+        for batch in batches:
+            for at in range(0, batch.num_rows, CODE_ROWS):
+                part = batch.slice(at, CODE_ROWS)
+                ids = [enc.encode_to_numpy(t, disallowed_special=()).astype(np.int32) for t in part.columns[-1].to_pylist()]
+                raw = [enc.decode_bytes(x.tolist()) for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(raw, pa.binary())], names=[*part.schema.names[:-1], "ids", "decoded"])
 
-    short = docs.filter(~is_long).select("doc_id", encode_piece("text").alias("ids"))
+    coded = ", ids array<int>, decoded binary"
+    short = docs.filter(~is_long).mapInArrow(code, f"doc_id long{coded}")
 
     def to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
@@ -114,19 +127,26 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
         F.when(F.lead("chunk").over(in_order).isNull(), F.col("text")).otherwise(F.substring("text", 1, chunk_chars)),
     ).otherwise(F.substring(F.col("text"), (F.col("start") - offset + 1).cast("int"), length.cast("int")))
     pieces = stitched.withColumn("piece", piece).select("doc_id", "text_key", "n", "chunk", "broken", "piece")
-    sound = pieces.filter(~F.col("broken")).select("doc_id", "text_key", "n", "chunk", encode_piece("piece").alias("ids"))
+    sound = pieces.filter(~F.col("broken")).select("doc_id", "text_key", "n", "chunk", "piece")
     whole = (
         pieces.filter("broken")
         .groupBy("doc_id", "text_key", "n")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "piece"))), lambda x: x["piece"]), "").alias("piece"))
-        .select("doc_id", "text_key", "n", F.lit(0).cast("long").alias("chunk"), encode_piece("piece").alias("ids"))
+        .select("doc_id", "text_key", "n", F.lit(0).cast("long").alias("chunk"), "piece")
     )
+    parts = F.array_sort(F.collect_list(F.struct("chunk", "ids", "decoded")))
     long = (
         sound.unionByName(whole)
+        .mapInArrow(code, f"doc_id long, text_key string, n long, chunk long{coded}")
         .groupBy("doc_id", "text_key", "n")
-        .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-        .select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-        .select("doc_id", "ids")
+        .agg(parts.alias("parts"))
+        .select(
+            "doc_id",
+            F.flatten(F.col("parts.ids")).alias("ids"),
+            F.aggregate(F.col("parts.decoded"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("decoded"),
+            F.explode(F.sequence(F.lit(1).cast("long"), "n")),
+        )
+        .select("doc_id", "ids", "decoded")
     )
     return short.unionByName(long)
 
@@ -146,7 +166,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = decode(encode(documents(spark, sf_dir), path, pattern), path, pattern)
+    coded = round_trip(documents(spark, sf_dir), path, pattern)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
