@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -380,9 +381,9 @@ def geometry_purge(spark, sf):
     return geometry.purge(d, d.filter("doc_id % 3 = 0").select("ref"), "en:")
 
 
-@query("""SELECT vec_id, 'FeatureCollection' AS type, 'nws:' || vec_id AS ref, CAST(1 AS INTEGER) AS n_features, 'Polygon' AS geometry_type FROM embeddings WHERE vec_id < 50""")
+@query("""SELECT vec_id, 'FeatureCollection' AS type, 'nws:' || vec_id AS ref, CAST(1 AS INTEGER) AS n_features, 'Polygon' AS geometry_type FROM embeddings""")
 def feature_collection(spark, sf):
-    shapes = _rings(spark, sf).filter("vec_id < 50").select("vec_id", F.concat(F.lit("nws:"), F.col("vec_id").cast("string")).alias("ref"), geo.geometry_of(F.array("ring")).alias("geometry"))
+    shapes = _rings(spark, sf).select("vec_id", F.concat(F.lit("nws:"), F.col("vec_id").cast("string")).alias("ref"), geo.geometry_of(F.array("ring")).alias("geometry"))
     body = F.col("body")
     found = geometry.collections(shapes).join(shapes.select("vec_id", "ref"), "ref")
     field = lambda path: F.get_json_object(body, path)
@@ -438,7 +439,7 @@ def provider_union(spark, sf):
 def streaming_lifecycle(spark, sf):
     """The stream's events: 30 polls replayed as files, one or more polls a micro-batch."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stormglass-")
-    folder = f"{base.rstrip('/')}/replay-{spark.sparkContext.applicationId}-{abs(hash(sf)) % 10**8}-{len(QUERIES)}"
+    folder = f"{base.rstrip('/')}/replay-{uuid.uuid4()}"
     rows = normalised(spark, sf).select("entry_id", "poll_seq", "poll_ts", "ordinal", "id", *lifecycle.CARRIED).withColumn("is_marker", F.lit(False))
     marks = polls(spark).withColumn("is_marker", F.lit(True))
     rows.unionByName(marks, allowMissingColumns=True).repartition(10, "poll_seq").sortWithinPartitions("poll_seq").write.mode("overwrite").parquet(f"{folder}/in")
