@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +23,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and read it from there.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (tests) a temporary one is made.
+    That cuts lineage as checkpoint() does, in compressed columns, of which later steps read
+    what they need.  The folder is the cluster's ``spark.checkpoint.dir``, and clearing
+    it is the cluster's; only where it is unset (tests) a temporary one is made.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stormglass-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir().rstrip('/')}/cut-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def id_remainder(doc_id: Column, mod: int) -> Column:

@@ -44,14 +44,14 @@ from .components import components
 from .sketch import count_repeats
 
 SHINGLE_WORDS, THRESHOLD = 5, 80
-#: Sketches of all shingles (32 MB are broadcast) and of those of the classes left (8 MB).
-LOG2_CELLS, LOG2_CELLS_AGAIN = 28, 26
+#: Sketches of all shingles (16 MB are broadcast) and of those of the classes left (8 MB).
+LOG2_CELLS, LOG2_CELLS_AGAIN = 27, 26
 #: Shingles of a group, queries that visit a group in one task, rows of a hot-key table that is broadcast.
 CAP_TOKENS, BLOCK_QUERIES, HOT_KEYS = 2**19, 256, 5_000
 #: Prefixes are longer than needed by a shingle in so many, so that more must be shared.
 EXTRA = 16
 #: Buckets of the counts that order shingles from rare to frequent.
-ORDER_BITS = 20
+ORDER_BITS = 18
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.string()), ("tokens", pa.list_(pa.int64()))])
 MEMBERS = pa.schema([("node", pa.string()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("k0", pa.int64()), ("k1", pa.int64())])
@@ -266,4 +266,21 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(documents(spark, sf_dir))
 
 
+#: All pairs with a shingle in common, then all that each document reaches.
+ORACLE_SQL = {
+    "op3_jaccard_join": rf"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, CASE WHEN len(ws) < {SHINGLE_WORDS} THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + {SHINGLE_WORDS - 1}], ' ') END AS shingle
+        FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - {SHINGLE_WORDS - 1}))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= {THRESHOLD} * (x.n + y.n - m)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN ways e ON e.a = r.other)
+    SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+    FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+    """
+}
 QUERIES = {"op3_jaccard_join": op3_jaccard_join}
