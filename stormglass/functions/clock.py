@@ -10,6 +10,6 @@ _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?([+-]\d{2}:?\d{2}
 
 def instant(x: Column) -> Column:
     """The instant of an ISO text, UTC where it names no zone; null for anything else."""
-    timed = F.when(F.length(x) == 10, F.concat(x, F.lit("T00:00:00"))).when(F.regexp_like(x, F.lit(r"^.{10}.\d{2}([+Z-].*)?$")), F.regexp_replace(x, r"^(.{10}.\d{2})", "$1:00")).otherwise(x)
+    timed = F.when(F.length(x) == 10, F.concat(x, F.lit("T00:00:00"))).when(F.regexp_like(x, F.lit(r"^.{10}.\d{2}([+Z-].*)?$")), F.regexp_replace(x, r"^(.{10}.\d{2})", "$1:00:00")).when(F.regexp_like(x, F.lit(r"^.{10}.\d{2}:\d{2}([+Z-].*)?$")), F.regexp_replace(x, r"^(.{10}.\d{2}:\d{2})", "$1:00")).otherwise(x)
     zoned = F.when(F.regexp_like(timed, F.lit(r"([+-]\d{2}:?\d{2}|Z)$")) & (F.length(timed) > 10), F.regexp_replace(F.regexp_replace(timed, "Z$", "+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(F.concat(timed, F.lit("+00:00")))
     return F.when(F.regexp_like(x, F.lit(_ISO)), F.try_to_timestamp(zoned))
