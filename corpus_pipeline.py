@@ -7,7 +7,7 @@ cannot name them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormglass.llm import jaccard_join, language_id, packing, quality_rules, substring_dedup
@@ -19,19 +19,23 @@ LEAST_CERTAIN = 0.5
 ORACLE_SQL = None
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one named ``row``, so that no name of theirs can clash."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: not ``und``, and certain enough."""
     predict = language_id.predictor(spark, language_id.fit(docs))
-    found = docs.withColumn("_lang", predict("text"))
-    return found.filter((F.col("_lang.lang_pred") != language_id.UND) & (F.col("_lang.score") >= LEAST_CERTAIN)).drop("_lang")
+    found = docs.select(whole_row(docs), predict("text").alias("lang"))
+    return found.filter((F.col("lang.lang_pred") != language_id.UND) & (F.col("lang.score") >= LEAST_CERTAIN)).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the certified cutoffs keep."""
     cutoffs = quality_rules.learn_cutoffs(quality_rules.text_counts(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = docs.columns
-    counted = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), quality_rules.count_columns("text").alias("_n")).select("_row", "_n.*")
-    return quality_rules.verdicts(counted, cutoffs).filter("kept").select("_row.*")
+    counted = docs.select(whole_row(docs), quality_rules.count_columns("text").alias("n")).select("row", "n.*")
+    return quality_rules.verdicts(counted, cutoffs).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +47,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; those with nothing left go."""
-    changed = substring_dedup.dedup(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("words_sha256").alias("_sha"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_sha"])
+    changed = substring_dedup.dedup(docs).filter("n_removed > 0").select("doc_id", "words_sha256", "kept_text").dropDuplicates(["doc_id", "words_sha256"])
     words = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), WORD_GAP), lambda w: w != ""), " ")
-    joined = docs.join(changed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(words, 256) == F.col("_sha")), "left")
-    text = F.coalesce("_kept", "text")
-    new = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.filter(F.col("_kept").isNull() | (F.col("_kept") != "")).withColumns(new).select(docs.columns)
+    rows = docs.select(whole_row(docs), F.sha2(words, 256).alias("sha"))
+    joined = rows.join(changed, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("words_sha256")), "left").filter("kept_text is null or kept_text <> ''")
+    new = {"text": F.coalesce("kept_text", "row.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
