@@ -9,8 +9,9 @@ segments (Ruzzo and Tompa).  Under the scores' distribution in documents that ar
 not toxic, the best segment of n words exceeds S with an expected number of times
 E = K * n * exp(-lambda * S) (Karlin and Altschul); each segment's normalised score
 is lambda * S - ln(K * n), those above zero add up, and the extreme-value law turns
-the sum x into the score exp(-c * exp(-x)), where c makes the score one half at the
-significance level.
+the sum x into the score exp(-ln 2 * exp(level - x)), one half at the level.  The level
+is what tells the sample's toxic and other documents apart best (least sum of both error
+rates), from the significance level SIGNIFICANCE upwards.
 
 Cases: null and empty texts, and texts without a lexicon word, score 0; without
 labels of both kinds the lexicon is empty; a label that is null or has no document
@@ -42,7 +43,9 @@ BEGINNINGS = (3, 4, 5)
 LEAST_DOCS, LEAST_Z, LEAST_ODDS = 3, 3.5, 2.0
 #: Weight of a token's share in its prior, and what a word outside the lexicon costs.
 PRIOR, GAP = 100.0, 0.25
-#: A text whose best passage is met in fewer texts by chance scores above one half.
+#: Evidence of a text without a segment, and the highest that is told apart when the level is chosen.
+NONE, MOST = -99.0, 100.0
+#: A text scores above one half only if so few texts have such passages by chance.
 SIGNIFICANCE = 0.005
 
 
@@ -96,6 +99,7 @@ class Model:
     lexicon: dict[str, float]
     rate: float = 1.0  # lambda
     scale: float = 1.0  # K
+    level: float = -math.log(SIGNIFICANCE)
     seen: dict[str, float] = field(default_factory=dict)
 
     def word_score(self, word: str) -> float:
@@ -120,11 +124,22 @@ class Model:
     def judge(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The score of a text and its significant passages, as word positions."""
         found, _ = self.passages(text)
-        if not found:
-            return 0.0, []
-        strong = [x for x in found if x[2] > 0]
-        x = sum(s for *_, s in strong) if strong else max(s for *_, s in found)
-        return math.exp(-math.log(2) / SIGNIFICANCE * math.exp(min(50.0, -x))), strong
+        return (math.exp(-math.log(2) * math.exp(min(50.0, self.level - evidence(found)))) if found else 0.0), [x for x in found if x[2] > 0]
+
+
+def evidence(found: list[tuple[int, int, float]]) -> float:
+    """What a text's segments come to: the sum of those above zero, else the best; NONE without any."""
+    strong = [s for *_, s in found if s > 0]
+    return sum(strong) if strong else max((s for *_, s in found), default=NONE)
+
+
+def best_level(tally: dict[tuple[int, float], int]) -> float:
+    """The level, of the evidence seen (toxic, evidence: number of texts), with the least sum of error rates; of equals the lowest."""
+    totals = [max(1, sum(n for (t, _), n in tally.items() if t == label)) for label in (0, 1)]
+    least = -math.log(SIGNIFICANCE)
+    levels = sorted({least, *(x for _, x in tally if x > least)})
+    wrong = lambda level: sum(n / totals[t] for (t, x), n in tally.items() if (x >= level) != t)
+    return min(levels, key=lambda level: (round(wrong(level), 12), level))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -202,6 +217,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model.rate = karlin_altschul({top: 0} | found, n_words)
     # K from the documents with a segment: expected K * words * exp(-lambda * least score), plus one sighting.
     model.scale = min(1.0, (with_hit + 1) / max(1.0, n_words * math.exp(-model.rate * min([top, *found]))))
+    fitted = rows.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many texts of each label have each evidence, to one decimal."""
+        tally: Counter[tuple[int, float]] = Counter()
+        for texts, labels_of in slices(batches):
+            tally.update((t, round(min(MOST, evidence(fitted.value.passages(text)[0])), 1)) for text, t in zip(texts, labels_of, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in tally], pa.int32()), pa.array([x for _, x in tally], pa.float64()), pa.array(list(tally.values()), pa.int64())], names=["toxic", "evidence", "n"])
+
+    tally = rows.select("text", "toxic").mapInArrow(weigh, "toxic int, evidence double, n long").groupBy("toxic", "evidence").agg(F.sum("n").alias("n"))
+    model.level = best_level({(r["toxic"], r["evidence"]): r["n"] for r in tally.collect()})
     return model
 
 

@@ -149,3 +149,16 @@ def test_language_id_cases(spark, awkward, empty):
     assert {r["lang_pred"] for r in language_id.predict(awkward, nothing).collect()} == {"und"}
     digits = spark.createDataFrame([(1, "12 34 !?")], "doc_id long, text string")
     assert language_id.predict(digits, model).first()["lang_pred"] == "und"
+
+
+def test_best_level_by_brute_force():
+    rng = random.Random(1)
+    for _ in range(50):
+        seen = [(int(rng.random() < 0.4), round(rng.uniform(0, 12) + 4 * (rng.random() < 0.5), 1)) for _ in range(rng.randint(0, 60))]
+        tally: dict[tuple[int, float], int] = {}
+        for x in seen:
+            tally[x] = tally.get(x, 0) + 1
+        level = toxicity.best_level(tally)
+        rate = lambda at: sum((x >= at) != t and 1 / sum(u == t for u, _ in seen) for t, x in seen)
+        assert level >= -math.log(toxicity.SIGNIFICANCE)
+        assert all(rate(level) <= rate(x) + 1e-9 for _, x in seen if x > -math.log(toxicity.SIGNIFICANCE))
