@@ -13,7 +13,7 @@ smallest ids, which is all that a query for k can need, so a vector that many ro
 share makes no large leaf.
 
 On vectors without any structure (such as random directions) the recall of 0.9
-takes about a tenth of all leaf entries; on clustered ones a much smaller
+takes several hundredths of all leaf entries; on clustered ones a much smaller
 OPEN_SHARE does.
 
 Cases: vectors that are null, empty or zero, hold null or non-finite components, or
@@ -36,9 +36,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Trees, deepest level, rows that hyperplanes are fitted on, sample rows in a leaf, share of leaves that a query opens.
-TREES, DEPTH, SAMPLE_ROWS, LEAF_ROWS, OPEN_SHARE = 12, 9, 20_000, 24, 0.12
+TREES, DEPTH, SAMPLE_ROWS, LEAF_ROWS, OPEN_SHARE = 12, 11, 20_000, 8, 0.06
 #: Bytes of vectors in a bucket of leaves, queries in a block.
-BUCKET_BYTES, BLOCK_QUERIES = 8_000_000, 4_000
+BUCKET_BYTES, BLOCK_QUERIES = 8_000_000, 20_000
 
 
 @dataclass
