@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dims, geo, text
+from ..functions import checks, dims, geo, text
 
 ENTRY = "entry_id string, provider string, zone_id string, gps_loc string, tracker_entity string, province string, country string, regions array<string>, region_labels map<string,string>, scan_interval int, timeout int, language string"
 #: Seconds between polls and until one is given up.
@@ -36,6 +36,18 @@ def resolve(entries: DataFrame, trackers: DataFrame, host_language: str = "en")
     ).select(entries.columns)
 
 
+def faults(entries: DataFrame) -> DataFrame:
+    """(entry_id, errors): what is wrong with each entry's settings; unset ones are fine."""
+    tests = [
+        F.when(F.col("zone_id").isNotNull(), checks.check_zone(F.col("zone_id"))["error"]),
+        F.when(F.col("gps_loc").isNotNull(), checks.check_gps(F.col("gps_loc"))["error"]),
+        F.when(F.col("province").isNotNull(), checks.check_province(F.col("province"))["error"]),
+        F.when(F.col("country").isNotNull(), checks.check_country(F.col("country"))["error"]),
+        F.when(~checks.options_fine(F.coalesce("scan_interval", F.lit(SCAN_INTERVAL)), F.coalesce("timeout", F.lit(TIMEOUT)), F.coalesce("language", F.lit("auto"))), F.lit("invalid_options")),
+    ]
+    return entries.select("entry_id", F.array_compact(F.array(*tests)).alias("errors"))
+
+
 def request_query(zone_id: Column, gps_loc: Column) -> Column:
     """The query of a US request: by zone, else by point rounded to four places; empty if there is neither."""
     at = geo.gps(gps_loc)

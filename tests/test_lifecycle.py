@@ -139,3 +139,27 @@ def test_one_shuffle_by_key(spark):
     incoming, polls = frames(spark, [alert(0, "a")], [0, 1])
     plan = lifecycle.diff(incoming, polls)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_polling(spark, tmp_path):
+    from stormglass import schema
+    from stormglass.streaming import polling
+
+    feed = lambda *ids: schema.as_alerts(spark.createDataFrame([(i, n, "Flood Watch", "Severe", "Alert") for n, i in enumerate(ids)], "id string, ordinal long, event string, severity string, msg_type string"), ("ordinal",))
+    sink = f"{tmp_path}/snapshots"
+
+    def broken():
+        raise OSError("no answer")
+
+    polls = [lambda: feed("a", "b"), broken, lambda: feed("b").limit(1), lambda: feed("x").limit(0)]
+    done = [polling.poll_once(read, "e", n, sink, START + timedelta(hours=n)) for n, read in enumerate(polls)]
+    assert done == [True, False, True, True]
+    rows = spark.read.schema(polling.SNAPSHOT).parquet(sink)
+    events = lifecycle.events(rows.filter("not is_marker"), rows.filter("is_marker").select("entry_id", "poll_seq", "poll_ts"))
+    assert [x[1:5] for x in flat(events)] == [(0, 1, "created", "a"), (0, 2, "created", "b"), (2, 1, "removed", "a"), (3, 1, "removed", "b")]
+    query = polling.start(spark, lambda: feed("a"), "live", f"{tmp_path}/live", f"{tmp_path}/ticks", scan_interval=1)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert spark.read.parquet(f"{tmp_path}/live").filter("is_marker").count() >= 1

@@ -144,6 +144,9 @@ def test_settings(spark):
     got = {r["entry_id"]: r for r in settings.resolve(df, trackers, "fr-FR").collect()}
     assert [got[str(i)]["gps_loc"] for i in range(5)] == ["1,2", "3.5,4.0", "", "", None]
     assert [got[str(i)]["language"] for i in range(5)] == ["fr-CA"] * 4 + ["fr"] and got["0"]["scan_interval"] == 300
+    odd = [dict(zone_id="txc001"), dict(zone_id="1", gps_loc="x", province="XX", country="us", timeout=1), dict(scan_interval=60, language="de"), {}]
+    wrong = settings.faults(spark.createDataFrame([tuple((r | {"entry_id": str(i)}).get(n) for n in names) for i, r in enumerate(odd)], settings.ENTRY))
+    assert {r["entry_id"]: r["errors"] for r in wrong.collect()} == {"0": [], "1": ["invalid_zone", "invalid_gps", "invalid_province", "invalid_country", "invalid_options"], "2": [], "3": []}
     q = spark.createDataFrame([("OHC1", "1,2"), ("", "40.123456,-80"), (None, "bad"), (None, None)], "z string, g string").select(settings.request_query(F.col("z"), F.col("g"))).collect()
     assert [r[0] for r in q] == ["zone=OHC1", "point=40.1235,-80.0", "", ""]
 
