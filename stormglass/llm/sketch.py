@@ -36,10 +36,12 @@ class Repeats:
 
     def maybe_repeated(self, keys: np.ndarray) -> np.ndarray:
         """False only for keys that were counted once at most."""
-        out = np.ones(len(keys), bool)
+        left = np.arange(len(keys))
         for row, bits in enumerate(self.bits):
-            cell = cells_of(keys, row, self.log2_cells)
-            out &= (bits[cell >> np.uint64(3)] >> (7 - (cell & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+            cell = cells_of(keys[left], row, self.log2_cells)
+            left = left[(bits[cell >> np.uint64(3)] >> (7 - (cell & np.uint64(7))).astype(np.uint8) & 1).astype(bool)]
+        out = np.zeros(len(keys), bool)
+        out[left] = True
         return out
 
 

@@ -8,11 +8,14 @@ the input.
     equal windows have equal anchors.  Partitions count the anchors of their documents
     in count-min sketches, which are merged.  An anchor's estimate is at least the
     number of documents with any of its windows: it overestimates windows.
-2.  Only documents with a window estimated as repeated go on with their text.  Equal
-    documents become one class, of which the smallest id stays; copies lose all.
-    The windows estimated as repeated are grouped exactly (by 128 hash bits of
-    their words), minima are taken before the shuffle, and a window is joined with
-    its group's smallest id.
+2.  Only documents with a window estimated as repeated go on with their text, compressed.
+    Equal documents become one class, of which the smallest id stays; copies lose all.
+    The windows that are left, of these classes, are counted in sketches of their own.
+3.  The windows estimated as repeated are grouped exactly, by 96 hash bits of their words.
+    Tasks first settle the windows that they hold several times: all but the smallest
+    id's are removed there, as runs, and one of each goes on.  So a passage that many
+    documents share sends one row a task and window, and one shuffle finds the smallest
+    id of each.
 
 No window that is repeated is lost: estimates are never too low, and nothing is capped.
 
@@ -29,19 +32,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, Windows, batch_of, cut, documents, slices, words
 from .sketch import count_repeats
 
 WINDOW, ANCHOR_WORDS = 50, 25
-#: Size of the sketch: 2 rows of 2**26 counters, of which 16 MB are broadcast.
-LOG2_CELLS, DEPTH = 26, 2
+#: Size of a sketch: 4 rows of 2**26 counters, of which 32 MB are broadcast.  Over a corpus with many more
+#: anchors than cells every window is estimated as repeated, and step 3 does the work alone.
+LOG2_CELLS, DEPTH = 26, 4
 NO_ID = 2**63 - 1
 
-FIRST_PASS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string())])
-FOUND = pa.schema([("sha", pa.string()), ("doc_id", pa.int64()), ("start", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+#: Windows that a task holds to settle among themselves.
+HELD_WINDOWS = 1_000_000
+
+FIRST_PASS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("packed", pa.binary())])
+#: A document is named by its id and part of its digest.  run: so many windows from start are removed for sure; 0: the one at start takes part in the exact grouping.
+FOUND = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("start", pa.int32()), ("run", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32())])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -65,9 +74,9 @@ class Hasher:
             return np.zeros(0, np.uint64)
         return sliding_min(self.runs.of(self.hashes.of(tokens), self.anchor), self.window - self.anchor + 1)
 
-    def windows(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of each window."""
-        return self.runs.of(self.hashes.of(tokens), self.window), self.runs.of(self.again.of(tokens), self.window)
+    def windows(self, tokens: list[bytes], second: bool = False) -> np.ndarray:
+        """A hash of each window; the second is independent of the first."""
+        return self.runs.of((self.again if second else self.hashes).of(tokens), self.window)
 
 
 def text_anchors(window: int) -> Callable[[str | None], np.ndarray]:
@@ -79,49 +88,107 @@ def sha_of(tokens: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(tokens)).hexdigest()
 
 
-def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of ``starts``."""
+def unpacked(packed: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(packed).split()
+
+
+def covered(n: int, starts: np.ndarray, runs: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words lie in one of the windows that start in the ``runs`` places from ``starts`` on."""
     steps = np.zeros(n + 1, np.int64)
     np.add.at(steps, starts, 1)
-    np.add.at(steps, np.minimum(starts + window, n), -1)
+    np.add.at(steps, np.minimum(starts.astype(np.int64) + runs + window - 1, n), -1)
     return np.cumsum(steps[:n]) > 0
 
 
+def part_of(sha: str) -> int:
+    return int(sha[:15], 16)
+
+
+def settle(held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows of FOUND for some documents (doc_id, part, starts and both hashes of their windows).
+
+    Of each window the one with the smallest id goes on; larger ids' are gone, one row a run.
+    """
+    sizes = np.array([len(h[2]) for h in held], np.int64)
+    if not sizes.sum():
+        return
+    doc = np.repeat(np.arange(len(held)), sizes)
+    ids, parts = (np.repeat(np.array([h[i] for h in held], np.int64), sizes) for i in (0, 1))
+    start, h1, h2 = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
+    order = np.lexsort((ids, h2, h1))
+    new = np.r_[True, (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)]
+    least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]  # the smallest id with the window, in this order
+    gone = np.zeros(len(ids), bool)
+    gone[order] = ids[order] > least
+    # Starts rise within a document, so runs of windows that are gone are runs of rows.
+    edge = np.r_[True, (np.diff(doc) != 0) | (np.diff(start) != 1) | (gone[1:] != gone[:-1])]
+    first = np.flatnonzero(edge & gone)
+    ends = np.append(np.flatnonzero(edge), len(ids))
+    at = np.concatenate([first, np.flatnonzero(~gone)])
+    run = np.zeros(len(at), np.int64)
+    run[: len(first)] = ends[np.searchsorted(ends, first, side="right")] - first
+    # What is settled needs no partner, so its rows are spread by keys of their own.
+    h1[first], h2[first] = ids[first], start[first]
+    columns = (ids[at], parts[at], start[at], run, h1[at], h2[at])
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
+
+
 def find_repeats(df: DataFrame, text_col: str, id_col: str, window: int, log2_cells: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, n_words, sha) and the classes with something to remove (sha, rep, text, starts)."""
+    """The rows (doc_id, n_words, sha) and the classes that may have something to remove (sha, rep, packed, starts, runs)."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     repeats = count_repeats(docs.select("text"), lambda: text_anchors(window), log2_cells, DEPTH)
     sent = df.sparkSession.sparkContext.broadcast(repeats)
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document's word sequence as a digest; its text only if it may have a repeated window."""
-        hasher = Hasher(window)
+        """Each document's word sequence as a digest; its words only if it may have a repeated window."""
+        hasher, packer = Hasher(window), zstandard.ZstdCompressor(3)
         for ids, texts in slices(batches):
             out = []
             for text in texts:
                 tokens = words(text)
                 anchors = hasher.anchors(tokens)
                 anchors = anchors[np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])] if len(anchors) else anchors
-                out.append((len(tokens), sha_of(tokens), text if sent.value.maybe_repeated(anchors).any() else None))
+                joined = b" ".join(tokens)
+                out.append((len(tokens), hashlib.sha256(joined).hexdigest(), packer.compress(joined) if sent.value.maybe_repeated(anchors).any() else None))
             yield batch_of(FIRST_PASS, [ids, *zip(*out, strict=True)])
 
-    rows = cut(docs.mapInArrow(first_pass, "doc_id long, n_words long, sha string, text string"))
+    rows = cut(docs.mapInArrow(first_pass, "doc_id long, n_words long, sha string, packed binary"))
     known = F.coalesce("doc_id", F.lit(NO_ID))
-    classes = cut(rows.groupBy("sha").agg(F.min(known).alias("rep"), F.first("text", ignorenulls=True).alias("text")).filter("text is not null"))
+    reps = cut(rows.groupBy("sha").agg(F.min(known).alias("rep"), F.first("packed", ignorenulls=True).alias("packed")).filter("packed is not null"))
 
-    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows_left() -> Callable[[bytes], np.ndarray]:
         hasher = Hasher(window)
-        for batch in batches:
-            for sha, rep, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = words(text)
-                at = np.flatnonzero(sent.value.maybe_repeated(hasher.anchors(tokens)))
-                h1, h2 = (h[at].view(np.int64) for h in hasher.windows(tokens))
-                yield pa.RecordBatch.from_arrays([pa.array([sha] * len(at), pa.string()), pa.array(np.full(len(at), rep)), pa.array(at, pa.int32()), pa.array(h1), pa.array(h2)], schema=FOUND)
 
-    found = classes.select("sha", "rep", "text").mapInArrow(windows_of, "sha string, doc_id long, start int, h1 long, h2 long")
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
-    removed = found.select("h1", "h2", "doc_id", "sha", "start").join(first, ["h1", "h2"]).filter("doc_id > first").groupBy("sha").agg(F.collect_list("start").alias("starts"))
-    return rows.select("doc_id", "n_words", "sha"), classes.join(removed, "sha", "left")
+        def keys(packed: bytes) -> np.ndarray:
+            tokens = unpacked(packed)
+            return np.unique(hasher.windows(tokens)[np.flatnonzero(sent.value.maybe_repeated(hasher.anchors(tokens)))])
+
+        return keys
+
+    exact = df.sparkSession.sparkContext.broadcast(count_repeats(reps.select("packed"), windows_left, log2_cells, DEPTH))
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = Hasher(window), [], 0
+        for some in slices(batches):
+            for sha, rep, packed in zip(*some, strict=True):
+                tokens = unpacked(packed)
+                h = hasher.windows(tokens)
+                at = np.flatnonzero(exact.value.maybe_repeated(h))
+                if len(at):
+                    again = hasher.windows(tokens, second=True)[at] >> np.uint64(32)
+                    held.append((rep, part_of(sha), at, h[at].view(np.int64), again.astype(np.uint32).view(np.int32)))
+                    size += len(at)
+                if size > HELD_WINDOWS:
+                    yield from settle(held)
+                    held, size = [], 0
+        yield from settle(held)
+
+    found = reps.select("sha", "rep", "packed").mapInArrow(windows_of, "doc_id long, part long, start int, run int, h1 long, h2 int")
+    same = Window.partitionBy("h1", "h2")
+    judged = found.withColumn("first", F.min("doc_id").over(same)).filter((F.col("run") > 0) | (F.col("doc_id") > F.col("first")))
+    removed = judged.groupBy(F.col("doc_id").alias("rep"), "part").agg(F.collect_list("start").alias("starts"), F.collect_list(F.greatest("run", F.lit(1))).alias("runs"))
+    part = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
+    return rows.select("doc_id", "n_words", "sha"), reps.withColumn("part", part).join(removed, ["rep", "part"], "left")
 
 
 def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, log2_cells: int = LOG2_CELLS) -> DataFrame:
@@ -135,13 +202,14 @@ def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("sha", pa.string()), ("rep", pa.int64()), ("gone", pa.int64()), ("kept_sha", pa.string()), ("kept", pa.string())])
         for batch in batches:
-            for sha, rep, text, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = words(text)
-                gone = covered(len(tokens), np.asarray(starts or [], np.int64), window)
+            for i, (sha, rep, packed) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
+                tokens = unpacked(packed)
+                starts, runs = (np.zeros(0, np.int32) if c[i].values is None else c[i].values.to_numpy() for c in batch.columns[3:])
+                gone = covered(len(tokens), starts, runs, window)
                 kept = [t for t, g in zip(tokens, gone, strict=True) if not g]
                 yield batch_of(schema, [[sha], [rep], [int(gone.sum())], [sha_of(kept)], [b" ".join(kept).decode() if gone.any() else None]])
 
-    judged = classes.select("sha", "rep", "text", "starts").mapInArrow(apply, "sha string, rep long, gone long, kept_sha string, kept string")
+    judged = classes.select("sha", "rep", "packed", "starts", "runs").mapInArrow(apply, "sha string, rep long, gone long, kept_sha string, kept string")
     joined = rows.join(judged, "sha", "left")
     copy = (F.coalesce("doc_id", F.lit(NO_ID)) > F.col("rep")) & (F.col("n_words") >= window)
     return joined.select(
