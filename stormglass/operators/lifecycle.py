@@ -6,7 +6,8 @@ one row (entry_id, poll_seq, poll_ts) for each poll that succeeded, empty ones i
 failed polls are not in it and change nothing.
 
 A poll is compared with the non-terminal rows of the poll before it, and nothing
-else, so all history is one full outer join.
+else.  So all history is compared at once: rows are dealt by (entry_id, id), and each looks
+at the row of its id before it and after it.  One shuffle does that, of one scan.
 """
 
 from __future__ import annotations
@@ -34,16 +35,32 @@ def changed_fields(before: str, after: str) -> Column:
     return F.array_compact(F.array(*(F.when(~F.col(f"{before}.{c}").eqNullSafe(F.col(f"{after}.{c}")), F.lit(c)) for c in dims.DIFF_COLUMNS)))
 
 
+def numbered(polls: DataFrame) -> DataFrame:
+    """``polls`` with the number of each among its entry's, and the poll that follows."""
+    order = Window.partitionBy("entry_id").orderBy("poll_seq")
+    following = lambda c: F.lead(c).over(order).alias(f"next_{c[5:]}")
+    return polls.select("entry_id", "poll_seq", "poll_ts", F.row_number().over(order).alias("poll_no"), following("poll_seq"), following("poll_ts"))
+
+
+def in_sequence(incoming: DataFrame, polls: DataFrame) -> DataFrame:
+    """One row for each id of a snapshot, with ``before`` (poll_no, ordinal, row: of the poll before, if the id was active there) and ``next_no``, the id's next poll."""
+    rows = last_of_each(incoming.repartition("entry_id", "id")).join(numbered(polls), ["entry_id", "poll_seq"])
+    order = Window.partitionBy("entry_id", "id").orderBy("poll_no")
+    last = F.lag(F.struct("poll_no", "ordinal", F.struct(*CARRIED).alias("row"))).over(order)
+    rows = rows.withColumns({"before": last, "next_no": F.lead("poll_no").over(order)})
+    was_active = (F.col("before.poll_no") == F.col("poll_no") - 1) & ~classify.is_terminal(F.col("before.row.phase"))
+    return rows.withColumn("before", F.when(was_active, F.col("before")))
+
+
 def diff(incoming: DataFrame, polls: DataFrame) -> DataFrame:
     """Before and after of every alert at every poll: entry_id, poll_seq, id, poll_ts, old, new, old_at, new_at, changed_fields."""
-    rows = last_of_each(incoming.select(*KEY, "ordinal", *CARRIED))
+    rows = in_sequence(incoming.select(*KEY, "ordinal", *CARRIED), polls)
     row = F.struct(*CARRIED)
-    following = Window.partitionBy("entry_id").orderBy("poll_seq")
-    next_poll = polls.select("entry_id", "poll_seq", F.lead("poll_seq").over(following).alias("next_seq"))
-    active = rows.filter(~classify.is_terminal(F.col("phase")))
-    before = active.join(next_poll.filter("next_seq is not null"), ["entry_id", "poll_seq"]).select("entry_id", F.col("next_seq").alias("poll_seq"), "id", row.alias("old"), F.col("ordinal").alias("old_at"))
-    after = rows.select(*KEY, row.alias("new"), F.col("ordinal").alias("new_at"))
-    both = before.join(after, list(KEY), "full_outer").join(polls.select("entry_id", "poll_seq", "poll_ts"), ["entry_id", "poll_seq"])
+    now = F.struct("poll_seq", "poll_ts", F.col("before.row").alias("old"), row.alias("new"), F.col("before.ordinal").alias("old_at"), F.col("ordinal").alias("new_at"))
+    stays = F.coalesce(F.col("next_no") == F.col("poll_no") + 1, F.lit(False))
+    leaves = ~classify.is_terminal(F.col("phase")) & F.col("next_seq").isNotNull() & ~stays
+    then = F.struct(F.col("next_seq").alias("poll_seq"), F.col("next_ts").alias("poll_ts"), row.alias("old"), F.when(F.lit(False), row).alias("new"), F.col("ordinal").alias("old_at"), F.when(F.lit(False), F.col("ordinal")).alias("new_at"))
+    both = rows.select("entry_id", "id", F.explode(F.when(leaves, F.array(now, then)).otherwise(F.array(now))).alias("x")).select("entry_id", "id", "x.*")
     changed = F.when(F.col("old").isNotNull() & F.col("new").isNotNull(), changed_fields("old", "new")).otherwise(F.array().cast("array<string>"))
     return both.withColumn("changed_fields", changed)
 
@@ -86,9 +103,10 @@ def events(incoming: DataFrame, polls: DataFrame, dedupe_terminal: bool = False)
 
 def active(incoming: DataFrame, polls: DataFrame) -> DataFrame:
     """The rows that are current after each poll, with previous_phase and phase_changed."""
-    rows = last_of_each(incoming).filter(~classify.is_terminal(F.col("phase"))).drop("previous_phase", "phase_changed")
-    before = diff(incoming, polls).filter("new is not null").select(*KEY, F.coalesce("old.phase", F.lit("")).alias("previous_phase"))
-    return rows.join(before, list(KEY)).withColumn("phase_changed", F.col("previous_phase") != F.col("phase"))
+    columns = [c for c in incoming.columns if c not in ("previous_phase", "phase_changed", "poll_ts")]
+    rows = in_sequence(incoming.select(columns), polls).filter(~classify.is_terminal(F.col("phase")))
+    previous = F.coalesce("before.row.phase", F.lit(""))
+    return rows.select(*columns, "poll_ts", previous.alias("previous_phase"), (previous != F.col("phase")).alias("phase_changed"))
 
 
 def with_entity_ids(found: DataFrame, registry: DataFrame) -> DataFrame:

@@ -134,11 +134,13 @@ def test_stream_equals_fold(spark, tmp_path):
     assert flat(spark.read.parquet(f"{tmp_path}/out")) == want
 
 
-def test_one_shuffle_by_key(spark):
-    """The comparison joins on the snapshot's key; nothing is collected or crossed."""
+def test_one_shuffle_of_one_scan(spark, tmp_path):
+    """Alerts are read once and shuffled once; only the table of polls is joined."""
     incoming, polls = frames(spark, [alert(0, "a")], [0, 1])
-    plan = lifecycle.diff(incoming, polls)._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+    incoming.write.parquet(f"{tmp_path}/alerts")
+    plan = lifecycle.diff(spark.read.parquet(f"{tmp_path}/alerts"), polls)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert plan.count("Join") == 1 and "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
 def test_polling(spark, tmp_path):
