@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormglass.llm import jaccard_join, language_id, packing, quality_rules, substring_dedup
-from stormglass.llm.common import WORD_GAP, cut, n_words
+from stormglass.llm.common import WORD_GAP, cut, drop, n_words
 
 #: Language predictions that are less certain are rejected.
 LEAST_CERTAIN = 0.5
@@ -75,5 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each on the whole result of the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        kept = cut(stage(spark, docs, sf_dir))
+        drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,8 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read it from there.
 
     That cuts lineage as checkpoint() does, in compressed columns, of which later steps read
-    what they need.  The folder is the cluster's ``spark.checkpoint.dir``, and clearing
-    it is the cluster's; only where it is unset (tests) a temporary one is made.
+    what they need.  ``drop`` removes a table that nothing needs any more; the rest of the
+    folder is the cluster's to clear.  It is the cluster's ``spark.checkpoint.dir``; only
+    where that is unset (tests) a temporary one is made.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -35,7 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stormglass-"))
     path = f"{sc.getCheckpointDir().rstrip('/')}/cut-{uuid.uuid4()}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` has written, once all that is computed from them is written too; others are left alone."""
+    for table in tables:
+        if "cut_path" not in vars(table):
+            continue
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_remainder(doc_id: Column, mod: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
             hook = hook.join(on, F.col("to") == F.col("next"), "left").select("hi", F.coalesce("further", "to").alias("to"))
         hook = cut(hook)
         follow = lambda x, c: x.join(hook, F.col(c) == F.col("hi"), "left").withColumn(c, F.coalesce("to", c)).drop("hi", "to")  # noqa: E731,B023
-        labels = cut(follow(labels, "label"))
-        left = cut(pairs(follow(follow(left.select(F.col("hi").alias("a"), F.col("lo").alias("b")), "a"), "b")))
+        named = cut(follow(labels, "label"))
+        joined = cut(pairs(follow(follow(left.select(F.col("hi").alias("a"), F.col("lo").alias("b")), "a"), "b")))
+        drop(hook, left, labels)
+        left, labels = joined, named
     return labels

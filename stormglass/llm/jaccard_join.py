@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, Windows, batch_of, cut, documents, lower_ascii, mix, slices
+from .common import WordHashes, Windows, batch_of, cut, documents, drop, lower_ascii, mix, slices
 from .components import components
 from .sketch import count_repeats
 
@@ -194,17 +194,18 @@ def open_groups(members: DataFrame, comps: DataFrame) -> DataFrame:
     """
     light = members.select("node", "n", "k0", "salt").join(comps, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     light = cut(light)
-    entries = cut(prefixes(members, token_counts(members)).join(light, "node").select(F.explode("prefix").alias("token"), "node", "n", "k0", "salt", "comp"))
-    contested = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    entries = cut(entries.join(contested, "token", "left_semi"))
-    matrix = entries.groupBy("token", F.col("k0").alias("g0"), F.col("salt").alias("g1")).agg(
+    every = cut(prefixes(members, token_counts(members)).join(light, "node").select(F.explode("prefix").alias("token"), "node", "n", "k0", "salt", "comp"))
+    contested = every.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    contesting = cut(every.join(contested, "token", "left_semi"))
+    drop(every)
+    matrix = contesting.groupBy("token", F.col("k0").alias("g0"), F.col("salt").alias("g1")).agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("comp_lo"), F.max("comp").alias("comp_hi")
     )
     later = (F.col("k0") < F.col("g0")) | ((F.col("k0") == F.col("g0")) & (F.col("salt") < F.col("g1")))
     sized = (100 * F.col("most") >= THRESHOLD * F.col("n")) & (100 * F.col("n") >= THRESHOLD * F.col("least"))
     apart = (F.col("comp_lo") != F.col("comp")) | (F.col("comp_hi") != F.col("comp"))
     bound = 1 + F.floor(F.floor(F.col("n") * THRESHOLD / 100) / EXTRA)
-    visits = cut(entries.join(matrix, "token").filter(later & sized & apart).groupBy("node", "n", "g0", "g1").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= bound).select("node", "g0", "g1"))
+    visits = cut(contesting.join(matrix, "token").filter(later & sized & apart).groupBy("node", "n", "g0", "g1").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= bound).select("node", "g0", "g1"))
     # Groups with many visitors are sent to several tasks, each with a block of them.
     groups = cut(visits.groupBy("g0", "g1").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks")))
     full = members.select("node", "tokens", "k0", "salt").join(light.select("node", "comp"), "node")
@@ -212,7 +213,9 @@ def open_groups(members: DataFrame, comps: DataFrame) -> DataFrame:
     inside = full.join(groups, (F.col("k0") == F.col("g0")) & (F.col("salt") == F.col("g1"))).select("node", "tokens", "comp", "g0", "g1", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     # New names tell the columns of the two sides apart.
     inside = inside.toDF("node", "tokens", "comp", "h0", "h1", "part")
-    return queries.groupBy("g0", "g1", "block").cogroup(inside.groupBy("h0", "h1", "part")).applyInPandas(visit, "a string, b string")
+    found = cut(queries.groupBy("g0", "g1", "block").cogroup(inside.groupBy("h0", "h1", "part")).applyInPandas(visit, "a string, b string"))
+    drop(light, contesting, visits, groups)
+    return found
 
 
 def similarity_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = SHINGLE_WORDS) -> DataFrame:
@@ -253,8 +256,10 @@ def similarity_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc
     edges = grouped.select("k0", "salt", "node", "tokens").groupBy("k0", "salt").applyInPandas(star_edges, schema)
     again = salted(members, "k1").select("k1", "salt", "node", "tokens").groupBy("k1", "salt").applyInPandas(star_edges, schema)
     edges = cut(edges.unionByName(again))
-    more = cut(open_groups(grouped, components(edges)))
+    joined = components(edges)
+    more = open_groups(grouped, joined)
     labels = components(edges.unionByName(more))
+    drop(classes, members, grouped, joined, edges, more)
     reps = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     reps = reps.join(labels, "node", "left")
     smallest = reps.filter("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
