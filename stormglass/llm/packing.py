@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, n_words
+from .common import cut, documents, n_words
 
 #: Permitted sequence lengths in tokens.
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -80,6 +80,7 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard_pie
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("total") / largest).cast("int"))
     pieces = docs.select("doc_id", "total", F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece"))
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(largest).cast("long"), F.col("total") - F.col("piece").cast("long") * largest).alias("n_tokens"))
+    pieces = cut(pieces)  # so that texts are read and lengths are taken once
     shards = max(1, -(-pieces.count() // shard_pieces))
 
     def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
