@@ -142,7 +142,8 @@ def fit(rows: DataFrame, max_train: int = MAX_TRAIN) -> Model:
             yield batch_of(schema, [names, [a.astype(np.int32) for a, _ in found], [t.astype(np.int32) for _, t in found]])
 
     data = sample.select("lang", "text").repartition(8).mapInArrow(featurise, "lang string, at array<int>, times array<int>").toPandas()
-    examples = [((at := np.asarray(a, np.int64)), weighted(at, np.asarray(t, np.int64), idf), langs.index(lang)) for lang, a, t in zip(data["lang"], data["at"], data["times"], strict=True)]
+    examples = [((at := np.asarray(a, np.int32)), weighted(at, np.asarray(t, np.int32), idf).astype(np.float32), langs.index(lang)) for lang, a, t in zip(data["lang"], data["at"], data["times"], strict=True)]
+    del data
     order = np.random.default_rng(0).permutation(len(examples))
     held, seen = np.split(order, [int(CALIBRATION * len(order))])
     model = Ftrl(len(langs))
