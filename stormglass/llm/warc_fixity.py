@@ -23,7 +23,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
 from .common import cut
 
 #: Ids of a file, children of a node.  FILE_IDS is a power of FANOUT.
@@ -77,6 +76,7 @@ def tree(leaf_rows: DataFrame) -> list[DataFrame]:
             .groupBy("file_no", "node")
             .agg(F.sha2(F.array_join(F.transform(kids, lambda x: F.concat(x["child"].cast("string"), F.lit(":"), x["hash"])), ";"), 256).alias("hash"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         )
+        level = cut(level)
         out.append(level)
     return out
 
@@ -100,7 +100,8 @@ def audit(replica_a: DataFrame, replica_b: DataFrame) -> DataFrame:
             keep = suspects.select("file_no", F.col("node").alias("parent"))
             at = lambda side: side.withColumn("parent", F.floor(F.col("node") / FANOUT).cast("int")).join(keep, ["file_no", "parent"], "left_semi").drop("parent")
             a, b = at(a), at(b)
-        suspects = a.join(b, ["file_no", "node"], "full_outer").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+        # Written at each level, so that the next one starts from what differs and no more.
+        suspects = cut(a.join(b, ["file_no", "node"], "full_outer").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b"))))
     place = lambda side, x: side.select("file_no", F.col("slot").alias("node"), F.col("page_id").alias(f"id_{x}"), F.col("offset").alias(f"offset_{x}"), F.col("length").alias(f"length_{x}"))
     found = suspects.join(place(leaf_a, "a"), ["file_no", "node"], "left").join(place(leaf_b, "b"), ["file_no", "node"], "left")
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").otherwise("changed")
