@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: What separates words: space and the five control characters from tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Rows that Python helpers look at together; bounds what a worker holds beside its Arrow batch.
-SLICE_ROWS = 256
+SLICE_ROWS = 128
+#: Row groups of intermediate tables; bounds what a writer holds.
+ROW_GROUP_BYTES = 16 * 2**20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stormglass-"))
     path = f"{sc.getCheckpointDir().rstrip('/')}/cut-{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -74,7 +76,7 @@ def lower_ascii(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen lately."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000) -> None:
+    def __init__(self, seed: int = 0, limit: int = 200_000) -> None:
         self.seed, self.limit = seed, limit
 
     def __missing__(self, word: bytes) -> int:

@@ -22,7 +22,7 @@ from .common import mix, slices
 
 SHARD_BITS = 16
 #: Keys that a task holds before it sends its counters on.
-HELD_KEYS = 1_500_000
+HELD_KEYS = 1_000_000
 #: Shards, of 64 kB each, that one task adds up.
 SHARDS_OF_TASK = 128
 
@@ -75,8 +75,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.frombuffer(once, np.uint16)
             counts[at] = np.minimum(counts[at] + 1, 2)
             counts[np.frombuffer(more, np.uint16)] = 2
-    bits = [np.packbits(c > 1).tobytes() for c in sums.values()]
-    yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in sums], pa.int32()), pa.array([s for _, s in sums], pa.int32()), pa.array(bits, pa.binary())], names=["row", "shard", "bits"])
+    # One row a task: the driver gets few large values, not many small ones.
+    bits = b"".join(np.packbits(c > 1).tobytes() for c in sums.values())
+    yield pa.RecordBatch.from_arrays([pa.array([[r for r, _ in sums]], pa.list_(pa.int32())), pa.array([[s for _, s in sums]], pa.list_(pa.int32())), pa.array([bits], pa.binary())], names=["rows", "shards", "bits"])
 
 
 def count_repeats(rows: DataFrame, keys_of: Callable[[], Callable[[object], np.ndarray]], log2_cells: int, depth: int) -> Repeats:
@@ -98,9 +99,10 @@ def count_repeats(rows: DataFrame, keys_of: Callable[[], Callable[[object], np.n
 
     parts = rows.mapInArrow(count, "row int, shard int, once binary, more binary")
     tasks = max(1, depth * 2 ** (log2_cells - SHARD_BITS) // SHARDS_OF_TASK)
-    merged = parts.repartition(tasks, "row", "shard").mapInArrow(_merge, "row int, shard int, bits binary")
+    merged = parts.repartition(tasks, "row", "shard").mapInArrow(_merge, "rows array<int>, shards array<int>, bits binary")
     width = 2 ** (SHARD_BITS - 3)
     bits = np.zeros((depth, max(1, 2 ** (log2_cells - SHARD_BITS)) * width), np.uint8)
-    for row, shard, packed in merged.select("row", "shard", "bits").collect():
-        bits[row, shard * width : (shard + 1) * width] = np.frombuffer(bytes(packed), np.uint8)
+    for rows_of, shards, packed in merged.collect():
+        for row, shard, part in zip(rows_of, shards, np.frombuffer(packed, np.uint8).reshape(-1, width), strict=True):
+            bits[row, shard * width : (shard + 1) * width] = part
     return Repeats(log2_cells, bits)

@@ -40,9 +40,9 @@ from .common import WordHashes, Windows, batch_of, cut, documents, slices, words
 from .sketch import count_repeats
 
 WINDOW, ANCHOR_WORDS = 50, 25
-#: Size of a sketch: 4 rows of 2**26 counters, of which 32 MB are broadcast.  Over a corpus with many more
+#: Size of a sketch: 4 rows of 2**25 counters, of which 16 MB are broadcast.  Over a corpus with many more
 #: anchors than cells every window is estimated as repeated, and step 3 does the work alone.
-LOG2_CELLS, DEPTH = 26, 4
+LOG2_CELLS, DEPTH = 25, 4
 NO_ID = 2**63 - 1
 
 #: Windows that a task holds to settle among themselves.
