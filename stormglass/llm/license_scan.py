@@ -4,6 +4,7 @@ A text is normalised (case, punctuation, copyright lines, equivalent spellings,
 white space) and its SHA-256 is joined with the digests of known licences that
 are normalised alike.  Entire texts match, whatever their layout; so do entire
 lines, since documents carry short notices.  Everything is built-in functions.
+The known licences are the rows of licenses.jsonl: whole texts and customary notices.
 
 Cases: null, empty and merely copyright texts have no digest and match nothing;
 repeated rows give repeated results; several licences with one digest are all
@@ -12,29 +13,25 @@ reported, in order; a null id is kept; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
 
-# Short public licence texts and customary notices, by SPDX identifier.
-KNOWN = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."),
-    ("MIT", "Released under the MIT license."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "No rights reserved. CC0 1.0 Universal."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-)
+#: The table of known licences: a line with its version, then lines of license (SPDX identifier), kind, source and text.
+TABLE = "licenses.jsonl"
+
+
+def _table() -> tuple[str, tuple[tuple[str, str], ...]]:
+    first, *rows = map(json.loads, resources.files(__package__).joinpath(TABLE).read_text(encoding="utf-8").rstrip("\n").split("\n"))
+    return first["version"], tuple((r["license"], r["text"]) for r in rows)
+
+
+#: Whole standard texts and customary notices, by SPDX identifier.
+VERSION, KNOWN = _table()
 # Equivalent spellings, as words after folding case and punctuation.
 SPELLINGS = (
     ("licence", "license"),

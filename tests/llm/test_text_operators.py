@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -63,6 +64,44 @@ def test_licenses(spark, awkward, empty):
     assert len(none) == 6 and all(r["text_license"] is None for r in none)
 
 
+MIT_TEXT = """The MIT License (MIT)
+
+Copyright (c) 1999 Some Body
+
+PERMISSION is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicence, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def test_whole_licence_texts_and_usual_notices(spark):
+    files = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    folder = Path("/usr/share/common-licenses")
+    texts = {name: (folder / name).read_text(encoding="utf-8") for name in files if (folder / name).exists()}
+    rows = [(MIT_TEXT, "MIT")] + [(t, files[n]) for n, t in texts.items()] + [(t + "\nand more", None) for t in texts.values()]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    known = license_scan.known_licenses(spark)
+    got = {r["doc_id"]: r["text_license"] for r in license_scan.scan(df, known).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(rows)}
+    notices = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1-or-later",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.": "CC-BY-NC-SA-3.0", "to deal in the Software without restriction.": None,
+    }
+    df = spark.createDataFrame([(i, f"Some prose.\n{t}\nMore.") for i, t in enumerate(notices)], "doc_id long, text string")
+    got = {r["doc_id"]: r["line_licenses"] for r in license_scan.scan(df, known).collect()}
+    assert got == dict(enumerate(notices.values()))
+
+
 def test_licenses_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "BROADCAST_ROWS", 3)
     df = spark.createDataFrame([(1, "Licensed under the MIT License.")], "doc_id long, text string")
