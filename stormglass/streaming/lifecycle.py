@@ -1,4 +1,4 @@
-"""Snapshot comparison as a stream: the same events as operators.lifecycle.events, from keyed state.
+"""Snapshot comparison as a stream: the same events as operators.lifecycle.events, a few polls at a time.
 
 Input rows are alerts (entry_id, poll_seq, poll_ts, ordinal, id, event and the compared
 columns) and one marker row for each poll that succeeded (``is_marker``), without which a
@@ -6,106 +6,65 @@ poll that lists nothing could not remove anything.  A failed poll sends nothing.
 a poll, marker included, come in one micro-batch; a batch may hold several polls.  Polls
 that are not later than the last one seen are replays and are ignored.
 
-State by entry_id: the active alerts of the last poll.  It needs the RocksDB state store:
-``spark.sql.streaming.stateStore.providerClass``.
+State: the last poll of each entry and the alerts that are active after it, as Parquet tables
+beside the checkpoint, one version a micro-batch.  A micro-batch is compared as in batch, with
+its state as the poll before: rows are dealt by (entry_id, id), and no entry is held in one
+task but to number the events of a poll.  Output and state are overwritten by batch
+number, so a batch that is repeated after a failure changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import UTC, datetime
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
 
-from ..functions import dims
-from ..operators.lifecycle import CARRIED, CREATED, REMOVED, UPDATED
+from ..functions import classify
+from ..operators import lifecycle
+from ..operators.lifecycle import CARRIED
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "entry_id string, poll_seq long, poll_ts timestamp, event_type string, event_seq int, incident_id string, event string, severity string, phase string, phase_changed boolean, changed_fields string, area_desc string"
-_STATE = ", ".join(f"{c} string" for c in CARRIED) + ", position long"
-
-
-def _instant(text: str | None) -> datetime | None:
-    try:
-        at = datetime.fromisoformat((text or "").replace("Z", "+00:00"))
-    except ValueError:
-        return None
-    return at if at.tzinfo else at.replace(tzinfo=UTC)
-
-
-class SnapshotDiff(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.active = handle.getMapState("active", "id string", _STATE)
-        self.last = handle.getValueState("last", "poll_seq long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        (entry_id,) = key
-        data = pd.concat(list(rows)).sort_values(["poll_seq", "ordinal"], kind="stable")
-        before = {k[0]: v for k, v in self.active.iterator()}
-        at_start = dict(before)
-        last = self.last.get()[0] if self.last.exists() else None
-        out: list[tuple] = []
-        for poll_seq, poll in data.groupby("poll_seq", sort=True):
-            marker = poll[poll["is_marker"]]
-            if marker.empty or (last is not None and poll_seq <= last):
-                continue
-            last = int(poll_seq)
-            before = self._step(entry_id, last, marker["poll_ts"].iloc[0], poll[~poll["is_marker"]], before, out)
-        for gone in at_start.keys() - before.keys():
-            self.active.removeKey((gone,))
-        for k, v in before.items():
-            if at_start.get(k) != v:
-                self.active.updateValue((k,), v)
-        if last is not None:
-            self.last.update((last,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    @staticmethod
-    def _step(entry_id: str, seq: int, now: pd.Timestamp, poll: pd.DataFrame, before: dict, out: list) -> dict:
-        """Appends one poll's events; gives what is active after it."""
-        snapshot: dict[str, tuple] = {}
-        for r in poll[["id", *CARRIED]].astype(object).where(poll[["id", *CARRIED]].notna(), None).itertuples(index=False):
-            snapshot[r[0]] = tuple(r[1:])  # the last row of an id, at the first one's place
-        field = {c: i for i, c in enumerate(CARRIED)}
-        after: dict[str, tuple] = {}
-        n = 0
-
-        def emit(kind: str, alert_id: str, row: tuple, phase: str, moved: bool, changed: list[str]) -> None:
-            nonlocal n
-            n += 1
-            out.append((entry_id, seq, now, kind, n, alert_id, row[0], row[field["severity_normalized"]], phase, moved, ",".join(changed), row[field["area_desc"]]))
-
-        for place, (alert_id, row) in enumerate(snapshot.items()):
-            old, phase = before.get(alert_id), row[field["phase"]]
-            changed = [c for c in dims.DIFF_COLUMNS if old and old[field[c]] != row[field[c]]]
-            moved = old is None or old[field["phase"]] != phase
-            if phase in dims.TERMINAL:
-                emit(REMOVED, alert_id, row, phase, moved, changed)
-                continue
-            if old is None:
-                emit(CREATED, alert_id, row, phase, True, [])
-            elif changed:
-                emit(UPDATED, alert_id, row, phase, moved, changed)
-            after[alert_id] = (*row, place)
-        clock = now.tz_localize("UTC") if now.tzinfo is None else now
-        for alert_id, old in sorted(before.items(), key=lambda x: x[1][-1]):
-            if alert_id not in snapshot:
-                expires = _instant(old[field["expires"]])
-                phase = "expired" if expires is not None and clock >= expires else "cancel"
-                emit(REMOVED, alert_id, old, phase, old[field["phase"]] != phase, [])
-        return after
-
-    def close(self) -> None:
-        pass
+_LAST = "entry_id string, poll_seq long, poll_ts timestamp"
+_ACTIVE = "entry_id string, poll_seq long, ordinal long, id string, " + ", ".join(f"{c} string" for c in CARRIED)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def compare(rows: DataFrame, last: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The events of the polls in ``rows``, and what ``last`` and ``active`` are after them."""
+    seen = last.select("entry_id", F.col("poll_seq").alias("seen"))
+    later = lambda df: df.join(seen, "entry_id", "left").filter("seen is null or poll_seq > seen").drop("seen")
+    new = later(rows)
+    marks = new.filter("is_marker").groupBy("entry_id", "poll_seq").agg(F.min("poll_ts").alias("poll_ts"))
+    polls = marks.unionByName(last)
+    incoming = new.filter("not is_marker").select(_names(_ACTIVE)).unionByName(active)
+    found = later(lifecycle.events(incoming, polls)).withColumn("changed_fields", F.array_join("changed_fields", ",")).select(_names(OUT))
+    newest = polls.groupBy("entry_id").agg(F.max_by("poll_ts", "poll_seq").alias("poll_ts"), F.max("poll_seq").alias("poll_seq")).select(_names(_LAST))
+    current = lifecycle.last_of_each(incoming.join(newest.select("entry_id", "poll_seq"), ["entry_id", "poll_seq"], "left_semi"))
+    return found, newest, current.filter(~classify.is_terminal(F.col("phase"))).select(_names(_ACTIVE))
+
+
+def step(rows: DataFrame, batch: int, sink: str, state: str) -> None:
+    """Compare one micro-batch with the state of the one before, and write its events and its state."""
+    spark = rows.sparkSession
+    at = lambda n, name: f"{state}/{n}/{name}"
+    before = [spark.read.schema(s).parquet(at(batch - 1, name)) if batch else spark.createDataFrame([], s) for name, s in (("last", _LAST), ("active", _ACTIVE))]
+    found, last, active = compare(rows, *before)
+    found.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+    last.write.mode("overwrite").parquet(at(batch, "last"))
+    active.write.mode("overwrite").parquet(at(batch, "active"))
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/{batch - 2}")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def events(stream: DataFrame) -> DataFrame:
-    """Events of a stream of rows; changed_fields is joined by commas."""
-    return stream.groupBy("entry_id").transformWithStateInPandas(SnapshotDiff(), OUT, "append", "none")
+    """A stream of rows in the columns that ``drain`` compares."""
+    return stream.select(*dict.fromkeys([*_names(_LAST), *_names(_ACTIVE)]), "is_marker")
 
 
 def drain(out: DataFrame, sink: str, checkpoint: str) -> None:
-    """Run ``out`` over what is there and append it to a Parquet table at ``sink``."""
-    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    """Compare what is there of ``out`` and add the events to a Parquet table at ``sink``, with the ``batch`` of each; changed_fields is joined by commas."""
+    each = lambda rows, batch: step(rows, batch, sink, f"{checkpoint}/alerts")
+    out.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -134,6 +135,21 @@ def test_stream_equals_fold(spark, tmp_path):
     assert flat(spark.read.parquet(f"{tmp_path}/out")) == want
 
 
+def test_stream_deals_one_entry_by_id(spark, tmp_path):
+    """One entry's alerts are many keys, without Python; a repeated batch changes nothing."""
+    rows = [alert(seq, f"a{i}", i) for seq in range(4) for i in range(300) if (i + seq) % 3]
+    incoming, polls = frames(spark, rows, range(4))
+    marked = incoming.join(polls, ["entry_id", "poll_seq"]).withColumn("is_marker", F.lit(False)).unionByName(polls.withColumn("is_marker", F.lit(True)), allowMissingColumns=True)
+    want = flat(lifecycle.events(incoming, polls))
+    for batch in (0, 1, 1, 2):
+        stream.step(stream.events(marked.filter(F.col("poll_seq").between(2 * batch, 2 * batch + 1))), batch, f"{tmp_path}/out", f"{tmp_path}/state")
+    assert flat(spark.read.parquet(f"{tmp_path}/out")) == want
+    last, active = (spark.read.parquet(f"{tmp_path}/state/1/{name}") for name in ("last", "active"))
+    assert active.count() == 200
+    plan = stream.compare(marked, last, active)[0]._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(entry_id#\d+, id#\d+", plan) and "Python" not in plan and "Pandas" not in plan
+
+
 def test_one_shuffle_of_one_scan(spark, tmp_path):
     """Alerts are read once and shuffled once; only the table of polls is joined."""
     incoming, polls = frames(spark, [alert(0, "a")], [0, 1])
