@@ -3,23 +3,24 @@
 Documents are sets of word shingles, and two link if their Jaccard similarity is at
 least THRESHOLD percent.  The join is exact:
 
-1.  A count-min sketch of all shingles tells which were met once only.  A set needs
-    THRESHOLD percent of its shingles elsewhere to have a partner, so all others end
-    here, without a shuffle of their shingles.  Equal sets become one class.
-2.  Classes are partitioned into groups of similar ones, by the least of their hashed
-    shingles, twice with different hashes.  A group that would exceed CAP_TOKENS
-    shingles is split by a salt.  Within a group all pairs in different components
-    are compared; a component needs no further comparison within itself.
-3.  The token-group matrix holds, for each group of the first partition, the union of
-    its members' prefix shingles (rarest first).  A set that links to any member must
-    share with that union a number of its own prefix shingles that follows from the
-    threshold and its size; the matrix bounds each set's overlap with each group, and only
-    groups that qualify, and are not wholly in the set's component already, are opened and
-    compared exactly.  Shingles within one component only are left out beforehand,
-    so a large cluster of near copies makes no pairs.
+1.  A set's prefix are its shingles with the smallest hashes, EXTRA more than a partner
+    must leave over: partners share at least ``least_shared`` shingles of both prefixes.
+    A count-min sketch of all prefixes tells which shingles were met once only, and a
+    set with too few others ends here.  Equal sets of the rest become one class.
+2.  Prefix shingles are counted exactly, those of one class only are set aside, and so
+    are classes with too few others (twice over).  The shingles that a class has alone bound
+    its overlap with any partner.  Only classes that are left have their whole sets made.
+3.  Classes are partitioned into groups of similar ones, by the most frequent shingle of
+    their prefix.  A group of more than CAP_TOKENS shingles is split by size and by a salt.
+    Within a group all pairs are compared that are not connected already.
+4.  The token-group matrix holds each group's union of prefix shingles, with the sizes and
+    overlap bounds of the sets behind it.  It bounds each set's overlap with each group;
+    groups that qualify are opened and compared exactly.  As sets that share a frequent
+    shingle are in few groups, a shingle meets few groups, however many sets have it.
 
 Links never come from hashing alone: similarities are computed on the whole sets (of
-64-bit shingle hashes).
+64-bit shingle hashes).  Beyond some 10^8 prefix shingles the sketch lets everything
+through; results and the later steps, which are plain joins, stay the same.
 
 Cases: null, empty and blank texts are empty sets and link with nothing, not even
 with each other; with fewer words than a shingle the whole sequence is the one
@@ -36,25 +37,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, Windows, batch_of, cut, documents, drop, lower_ascii, mix, slices
+from .common import WordHashes, Windows, batch_of, cut, documents, drop, lower_ascii, slices
 from .components import components
-from .sketch import count_repeats
+from .sketch import count_keys
 
 SHINGLE_WORDS, THRESHOLD = 5, 80
-#: Sketches of all shingles (16 MB are broadcast) and of those of the classes left (8 MB).
-LOG2_CELLS, LOG2_CELLS_AGAIN = 27, 26
-#: Shingles of a group, queries that visit a group in one task, rows of a hot-key table that is broadcast.
-CAP_TOKENS, BLOCK_QUERIES, HOT_KEYS = 2**19, 256, 5_000
+#: Cells of the sketch of all prefixes (16 MB are broadcast), and most cells of the filter of texts (twice 64 MB).
+LOG2_CELLS, LOG2_FILTER = 27, 29
+#: Shingles of a group, queries that visit a group in one task.
+CAP_TOKENS, BLOCK_QUERIES = 2**19, 256
 #: Prefixes are longer than needed by a shingle in so many, so that more must be shared.
 EXTRA = 16
-#: Buckets of the counts that order shingles from rare to frequent.
-ORDER_BITS = 18
+#: Rounds in which classes without enough contested shingles are set aside.
+ROUNDS = 2
+#: Digests that a task remembers, so as to send equal sets on once.
+HELD_DIGESTS = 500_000
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.string()), ("tokens", pa.list_(pa.int64()))])
-MEMBERS = pa.schema([("node", pa.string()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("k0", pa.int64()), ("k1", pa.int64())])
+ROWS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+SETS = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
 
 def required(n: int) -> int:
@@ -63,7 +66,17 @@ def required(n: int) -> int:
 
 
 def prefix_size(n: int) -> int:
-    return min(n, n - required(n) + 1 + n // EXTRA)
+    return n - required(n) + 1 + n // EXTRA if n else 0
+
+
+def least_shared(n: int) -> int:
+    """Shingles that the prefixes of a set of n and of any partner, of ``required(n)`` or more, have in common."""
+    return 1 + required(n) // EXTRA
+
+
+def ceil_share(n: str) -> str:
+    """SQL for ``required``."""
+    return f"({THRESHOLD} * {n} + 99) div 100"
 
 
 def shingler(k: int) -> Callable[[str | None], np.ndarray]:
@@ -122,153 +135,206 @@ def cluster(tokens: list[np.ndarray]) -> np.ndarray:
 
 def star_edges(rows: pd.DataFrame) -> pd.DataFrame:
     """An edge from each member of a group to one member of its component."""
-    if len(rows) < 2:
-        return pd.DataFrame({"a": [], "b": []}, dtype=object)
-    nodes = rows["node"].to_numpy()
+    ids = rows["id"].to_numpy()
     labels = cluster(rows["tokens"].to_list())
-    at = np.flatnonzero(labels != np.arange(len(nodes)))
-    return pd.DataFrame({"a": nodes[at], "b": nodes[labels[at]]})
+    at = np.flatnonzero(labels != np.arange(len(ids)))
+    return pd.DataFrame({"a": ids[at], "b": ids[labels[at]]})
 
 
 def visit(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    """Edges from each query to the members it links to, one for each of their components."""
-    out: list[tuple] = []
+    """Edges from each query to the members it links to, one for each that are not connected by earlier queries."""
+    out: list[pd.DataFrame] = [pd.DataFrame({"a": [], "b": []}, dtype=np.int64)]
     if len(queries) and len(members):
-        sets = Sets(members["tokens"].to_list())
-        nodes, comps = members["node"].to_numpy(), members["comp"].to_numpy()
-        for node, tokens, comp in zip(queries["node"], queries["tokens"], queries["comp"], strict=True):
-            near = linked(sets.overlaps(sets.find(tokens)), len(tokens), sets.sizes) & (comps != comp)
-            first = {c: m for c, m in zip(comps[near], nodes[near], strict=True)}
-            out += [(node, m) for m in first.values()]
-    return pd.DataFrame(out, columns=["a", "b"], dtype=object)
-
-
-def salted(members: DataFrame, key: str) -> DataFrame:
-    """``members`` with a salt that splits the keys of more than CAP_TOKENS shingles."""
-    hot = cut(members.groupBy(key).agg(F.ceil(F.sum("n") / CAP_TOKENS).cast("int").alias("parts")).filter("parts > 1"))
-    hot = F.broadcast(hot) if hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS else hot
-    return members.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-
-
-def token_counts(members: DataFrame) -> np.ndarray:
-    """How many sets have a token of each bucket; 2**ORDER_BITS numbers come to the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2**ORDER_BITS, np.int64)
-        for (sets,) in slices(batches):
-            for tokens in sets:
-                np.add.at(total, bucket_of(np.array(tokens, np.int64)), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "count"])
-
-    found = members.select("tokens").mapInArrow(count, "bucket long, count long").groupBy("bucket").agg(F.sum("count").alias("count")).toPandas()
-    out = np.zeros(2**ORDER_BITS, np.int64)
-    out[found["bucket"]] = found["count"]
-    return out
+        sets, ids = Sets(members["tokens"].to_list()), members["id"].to_numpy()
+        labels = np.arange(len(ids))
+        for query, tokens in zip(queries["id"], queries["tokens"], strict=True):
+            near = np.flatnonzero(linked(sets.overlaps(sets.find(tokens)), len(tokens), sets.sizes))
+            apart, at = np.unique(labels[near], return_index=True)
+            out.append(pd.DataFrame({"a": query, "b": ids[near[at]]}))
+            if len(apart) > 1:
+                labels[np.isin(labels, apart)] = apart[0]
+    return pd.concat(out)
 
 
-def bucket_of(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens.view(np.uint64), 5) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+def to_rows(docs: DataFrame, k: int, repeats: object) -> DataFrame:
+    """ROWS of ``docs`` (doc_id, text, text_key): each set's size and digest, and its prefix if it can have a partner.
 
+    Of equal sets in a task only the first has its prefix.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(repeats)
 
-def prefixes(members: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(node, prefix): the prefix_size rarest tokens of each set."""
-    sent = members.sparkSession.sparkContext.broadcast(counts)
-    schema = pa.schema([("node", pa.string()), ("prefix", pa.list_(pa.int64()))])
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, met = shingler(k), set()
+        for ids, texts, keys in slices(batches):
+            out = []
+            for text in texts:
+                s = shingles(text)
+                if not len(s):
+                    out.append((0, None, None, None))
+                    continue
+                digest, prefix = digest_of(s), s[: prefix_size(len(s))]
+                able = digest not in met and np.count_nonzero(sent.value.maybe(prefix)) >= least_shared(len(s))
+                if able:
+                    remember(met, digest)
+                out.append((len(s), *digest, prefix.view(np.int64) if able else None))
+            yield batch_of(ROWS, [ids, keys, *zip(*out, strict=True)])
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, sets in slices(batches):
+    return docs.mapInArrow(apply, "doc_id long, text_key long, n long, hi long, lo long, prefix array<long>")
+
+
+def digest_of(s: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit digest, as two signed numbers."""
+    hi, lo = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
+    return hi, lo
+
+
+def remember(met: set, digest: tuple[int, int]) -> None:
+    if len(met) >= HELD_DIGESTS:
+        met.clear()
+    met.add(digest)
+
+
+def to_sets(docs: DataFrame, k: int, wanted: object) -> DataFrame:
+    """SETS of those ``docs`` (text, text_key) whose key may be wanted."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, met = shingler(k), set()
+        for texts, keys in slices(batches):
             out = []
-            for tokens in (np.array(t, np.int64) for t in sets):
-                rare = np.lexsort((tokens, sent.value[bucket_of(tokens)]))
-                out.append(tokens[rare[: prefix_size(len(tokens))]])
-            yield batch_of(schema, [nodes, out])
+            for at in np.flatnonzero(sent.value.maybe(np.array(keys, np.int64).view(np.uint64))):
+                s = shingles(texts[at])
+                if len(s) and (digest := digest_of(s)) not in met:
+                    remember(met, digest)
+                    out.append((*digest, s.view(np.int64)))
+            if out:
+                yield batch_of(SETS, [*zip(*out, strict=True)])
 
-    return members.select("node", "tokens").mapInArrow(pick, "node string, prefix array<long>")
+    return docs.select("text", "text_key").mapInArrow(apply, "hi long, lo long, tokens array<long>")
 
 
-def open_groups(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Edges between sets of different groups (k0, salt), found by way of the token-group matrix.
+def contested(held: DataFrame) -> DataFrame:
+    """(token, often): tokens of more than one class."""
+    return held.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("often")).filter("first < last").select("token", "often")
 
-    ``members`` has node, n, tokens, k0 and salt; ``comps`` (node, label) what is connected already.
+
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left of the prefixes of ``classes`` (id, n, prefix) when uncontested tokens and hopeless classes are gone.
+
+    Gives (token, id) and, for each class, (id, n, most, key): the most that it can share with another class,
+    and the most frequent token of its prefix.
+    """
+    held = classes.select("id", "n", F.explode("prefix").alias("token"))
+    for _ in range(ROUNDS):
+        tokens = cut(contested(held))
+        left = cut(held.join(tokens, "token"))
+        drop(held, tokens)
+        able = left.groupBy("id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("shared"), F.max(F.struct("often", "token")).alias("top"))
+        able = able.filter(f"shared >= 1 + {ceil_share('n')} div {EXTRA}")
+        alone = f"(n - {ceil_share('n')} + 1 + n div {EXTRA} - shared)"
+        able = cut(able.select("id", "n", F.expr(f"n - {alone}").alias("most"), F.col("top.token").alias("key")))
+        held = cut(left.join(able.select("id"), "id", "left_semi").select("token", "id", "n"))
+        drop(left)
+    return held.select("token", "id"), able
+
+
+def grouped(able: DataFrame) -> DataFrame:
+    """``able`` with its group (g, part, salt) and how many classes that has.
+
+    The groups of a key with more than CAP_TOKENS shingles are apart by bands of sizes, and those split by a salt.
+    """
+    banded = able.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / THRESHOLD))).cast("int"))
+    sizes = cut(banded.groupBy("key", "band").agg(F.sum("n").alias("size")))
+    large = sizes.groupBy("key").agg(F.sum("size").alias("total")).filter(f"total > {CAP_TOKENS}").select("key")
+    large = sizes.join(large, "key").select("key", "band", F.ceil(F.col("size") / CAP_TOKENS).alias("salts"))
+    split = banded.join(large, ["key", "band"], "left")
+    out = split.select(
+        "id", "n", "most", F.col("key").alias("g"),
+        F.when(F.col("salts").isNull(), -1).otherwise(F.col("band")).alias("part"),
+        F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int").alias("salt"),
+    )
+    out = cut(out)
+    drop(sizes)
+    crowds = out.groupBy("g", "part", "salt").agg(F.count(F.lit(1)).alias("crowd"))
+    return out.join(crowds, ["g", "part", "salt"])
+
+
+def ranked(prefix: str = "") -> Column:
+    """Groups in the order of their sizes."""
+    return F.struct(*(F.col(prefix + c) for c in ("crowd", "g", "part", "salt")))
+
+
+def visits_of(held: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, h_g, h_part, h_salt): the groups that each class has to be compared with, by the token-group matrix.
+
+    Of two groups the classes of the smaller visit the larger.
     """
-    light = members.select("node", "n", "k0", "salt").join(comps, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    light = cut(light)
-    every = cut(prefixes(members, token_counts(members)).join(light, "node").select(F.explode("prefix").alias("token"), "node", "n", "k0", "salt", "comp"))
-    contested = every.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    contesting = cut(every.join(contested, "token", "left_semi"))
-    drop(every)
-    matrix = contesting.groupBy("token", F.col("k0").alias("g0"), F.col("salt").alias("g1")).agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("comp_lo"), F.max("comp").alias("comp_hi")
-    )
-    later = (F.col("k0") < F.col("g0")) | ((F.col("k0") == F.col("g0")) & (F.col("salt") < F.col("g1")))
-    sized = (100 * F.col("most") >= THRESHOLD * F.col("n")) & (100 * F.col("n") >= THRESHOLD * F.col("least"))
-    apart = (F.col("comp_lo") != F.col("comp")) | (F.col("comp_hi") != F.col("comp"))
-    bound = 1 + F.floor(F.floor(F.col("n") * THRESHOLD / 100) / EXTRA)
-    visits = cut(contesting.join(matrix, "token").filter(later & sized & apart).groupBy("node", "n", "g0", "g1").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= bound).select("node", "g0", "g1"))
+    rows = cut(held.join(members, "id"))
+    matrix = rows.groupBy("token", *(F.col(c).alias(f"h_{c}") for c in ("crowd", "g", "part", "salt"))).agg(F.min("n").alias("h_least"), F.max("n").alias("h_largest"), F.max("most").alias("h_most"))
+    # A partner has THRESHOLD percent of the larger set's size, and both overlaps are bounded by what each can share.
+    sized = (100 * F.col("h_largest") >= THRESHOLD * F.col("n")) & (100 * F.col("n") >= THRESHOLD * F.col("h_least"))
+    enough = (100 + THRESHOLD) * F.least("most", "h_most") >= THRESHOLD * (F.col("n") + F.greatest(F.col("h_least"), F.expr(ceil_share("n"))))
+    found = rows.join(matrix, "token").filter((ranked() < ranked("h_")) & sized & enough)
+    found = found.groupBy("id", "n", "h_g", "h_part", "h_salt").agg(F.count(F.lit(1)).alias("shared")).filter(f"shared >= 1 + {ceil_share('n')} div {EXTRA}")
+    out = cut(found.select("id", "h_g", "h_part", "h_salt"))
+    drop(rows)
+    return out
+
+
+def open_groups(visits: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges between visiting classes and ``members`` (id, tokens, g, part, salt) of the groups they visit."""
     # Groups with many visitors are sent to several tasks, each with a block of them.
-    groups = cut(visits.groupBy("g0", "g1").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks")))
-    full = members.select("node", "tokens", "k0", "salt").join(light.select("node", "comp"), "node")
-    queries = visits.join(groups, ["g0", "g1"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks").join(full.select("node", "tokens", "comp"), "node")
-    inside = full.join(groups, (F.col("k0") == F.col("g0")) & (F.col("salt") == F.col("g1"))).select("node", "tokens", "comp", "g0", "g1", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    blocks = cut(visits.groupBy("h_g", "h_part", "h_salt").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks")))
+    queries = visits.join(blocks, ["h_g", "h_part", "h_salt"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks").join(members.select("id", "tokens"), "id")
+    same = (F.col("g") == F.col("h_g")) & (F.col("part") == F.col("h_part")) & (F.col("salt") == F.col("h_salt"))
+    inside = members.join(blocks, same).select("id", "tokens", "g", "part", "salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("of_block"))
     # New names tell the columns of the two sides apart.
-    inside = inside.toDF("node", "tokens", "comp", "h0", "h1", "part")
-    found = cut(queries.groupBy("g0", "g1", "block").cogroup(inside.groupBy("h0", "h1", "part")).applyInPandas(visit, "a string, b string"))
-    drop(light, contesting, visits, groups)
-    return found
+    inside = inside.toDF("id", "tokens", "of_g", "of_part", "of_salt", "of_block")
+    return queries.groupBy("h_g", "h_part", "h_salt", "block").cogroup(inside.groupBy("of_g", "of_part", "of_salt", "of_block")).applyInPandas(visit, "a long, b long")
 
 
 def similarity_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable by links) for each row of ``df``."""
+    """doc_id, n_shingles and component_id (the smallest id reachable by links) for each row of ``df``.
+
+    Also text_key, the xxhash64 of the text, and component, a name of the component that also tells
+    those apart in which all ids are null; both are null for empty sets' components and null texts' keys.
+    """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark = df.sparkSession
-    once = spark.sparkContext.broadcast(count_repeats(docs.select("text"), lambda: shingler(k), LOG2_CELLS, 1))
+    keyed = docs.withColumn("text_key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document's set as a digest; its shingles only if it can have a partner."""
+    def prefix_keys() -> Callable[[str | None], np.ndarray]:
         shingles = shingler(k)
-        for ids, texts in slices(batches):
-            out = []
-            for text in texts:
-                s = shingles(text)
-                able = len(s) and np.count_nonzero(once.value.maybe_repeated(s)) >= required(len(s))
-                out.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None, s.view(np.int64) if able else None))
-            yield batch_of(SETS, [ids, *zip(*out, strict=True)])
-
-    rows = cut(docs.mapInArrow(to_sets, "doc_id long, n long, node string, tokens array<long>"))
-    classes = cut(rows.filter("tokens is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-    twice = spark.sparkContext.broadcast(count_repeats(classes.select("tokens"), lambda: lambda t: np.array(t, np.int64).view(np.uint64), LOG2_CELLS_AGAIN, 1))
-
-    def to_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Classes that can have another class as a partner, with the keys of both partitions."""
-        for nodes, sizes, sets in slices(batches):
-            out = []
-            for node, n, tokens in zip(nodes, sizes, sets, strict=True):
-                s = np.array(tokens, np.int64).view(np.uint64)
-                if np.count_nonzero(twice.value.maybe_repeated(s)) >= required(n):
-                    out.append((node, n, s.view(np.int64), *(int(mix(s, seed).min().view(np.int64)) for seed in (101, 102))))
-            if out:
-                yield batch_of(MEMBERS, [*zip(*out, strict=True)])
-
-    members = cut(classes.select("node", "n", "tokens").mapInArrow(to_members, "node string, n long, tokens array<long>, k0 long, k1 long"))
-    grouped = cut(salted(members, "k0"))
-    schema = "a string, b string"
-    edges = grouped.select("k0", "salt", "node", "tokens").groupBy("k0", "salt").applyInPandas(star_edges, schema)
-    again = salted(members, "k1").select("k1", "salt", "node", "tokens").groupBy("k1", "salt").applyInPandas(star_edges, schema)
-    edges = cut(edges.unionByName(again))
+        return lambda text: (s := shingles(text))[: prefix_size(len(s))]
+
+    rows = cut(to_rows(keyed, k, count_keys(docs.select("text"), prefix_keys, LOG2_CELLS, 1, least=2)))
+    classes = rows.filter("prefix is not null").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("text_key").alias("text_key"), F.first("prefix").alias("prefix"))
+    # Row numbers are stable once they are written.
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    held, able = candidates(classes.select("id", "n", "prefix"))
+    members = cut(grouped(able))
+    names = cut(classes.join(members.select("id"), "id", "left_semi").select("id", "hi", "lo", "text_key"))
+    drop(classes)
+    cells = min(LOG2_FILTER, max(16, (8 * names.count()).bit_length()))
+    wanted = count_keys(names.select("text_key"), lambda: lambda key: np.array([key], np.int64).view(np.uint64), cells, 2, least=1)
+    sets = to_sets(keyed.filter("text is not null"), k, wanted).groupBy("hi", "lo").agg(F.first("tokens").alias("tokens"))
+    full = cut(sets.join(names.drop("text_key"), ["hi", "lo"]).join(members.select("id", "g", "part", "salt", "crowd"), "id").drop("hi", "lo"))
+    inside = full.filter("crowd > 1").select("g", "part", "salt", "id", "tokens").groupBy("g", "part", "salt").applyInPandas(star_edges, "a long, b long")
+    visits = visits_of(held, members)
+    edges = cut(inside.unionByName(open_groups(visits, full.drop("crowd"))))
+    drop(full, visits, members)
     joined = components(edges)
-    more = open_groups(grouped, joined)
-    labels = components(edges.unionByName(more))
-    drop(classes, members, grouped, joined, edges, more)
-    reps = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    reps = reps.join(labels, "node", "left")
+    labels = cut(joined.withColumnRenamed("node", "id").join(names, "id").select("hi", "lo", "label"))
+    drop(edges, names)
+    reps = rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")).join(labels, ["hi", "lo"], "left")
     smallest = reps.filter("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
-    named = reps.join(smallest, "label", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.coalesce(F.col("label").cast("string"), F.concat_ws("/", "hi", "lo")).alias("component")
+    named = reps.join(smallest, "label", "left").select("hi", "lo", F.coalesce("least", "rep").alias("component_id"), component)
+    found = rows.select("doc_id", F.col("n").alias("n_shingles"), "text_key", "hi", "lo").join(named, ["hi", "lo"], "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key", "component")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_classes(documents(spark, sf_dir))
+    return similarity_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 #: All pairs with a shingle in common, then all that each document reaches.

@@ -1,9 +1,9 @@
-"""Count-min sketches that partitions build and a shuffle merges, reduced to "counted twice or more".
+"""Count-min sketches that partitions build and a shuffle merges, reduced to "counted so often".
 
 A sketch has ``depth`` rows of 2**log2_cells counters.  Every partition counts its own
 texts' keys and sends its non-zero cells, packed by shard of SHARD_CELLS cells; the
 partitions' counters of one shard are added in one task.  All that is asked of the sum is
-whether a cell was counted at least twice, so one bit a cell is broadcast: 2**log2_cells *
+whether a cell was counted at least once, or twice, so one bit a cell is broadcast: 2**log2_cells *
 depth / 8 bytes, whatever the corpus.  Estimates never fall below the true count.  Over a
 corpus with many more keys than cells most estimates are too high; results do not
 depend on that, only the work that the filter saves does.
@@ -28,14 +28,14 @@ SHARDS_OF_TASK = 128
 
 
 @dataclass
-class Repeats:
-    """The merged sketch: which cells were counted twice or more."""
+class Cells:
+    """The merged sketch: which cells were counted often enough."""
 
     log2_cells: int
     bits: np.ndarray  # depth, bytes
 
-    def maybe_repeated(self, keys: np.ndarray) -> np.ndarray:
-        """False only for keys that were counted once at most."""
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        """False only for keys that were not counted so often."""
         left = np.arange(len(keys))
         for row, bits in enumerate(self.bits):
             cell = cells_of(keys[left], row, self.log2_cells)
@@ -66,7 +66,7 @@ def _packed(keys: list[np.ndarray], depth: int, log2_cells: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), row), pa.int32()), pa.array(names, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["row", "shard", "once", "more"])
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Adds up the counters of the shards that were dealt to a task; gives a bit for each cell."""
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
@@ -76,12 +76,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[at] = np.minimum(counts[at] + 1, 2)
             counts[np.frombuffer(more, np.uint16)] = 2
     # One row a task: the driver gets few large values, not many small ones.
-    bits = b"".join(np.packbits(c > 1).tobytes() for c in sums.values())
+    bits = b"".join(np.packbits(c >= least).tobytes() for c in sums.values())
     yield pa.RecordBatch.from_arrays([pa.array([[r for r, _ in sums]], pa.list_(pa.int32())), pa.array([[s for _, s in sums]], pa.list_(pa.int32())), pa.array([bits], pa.binary())], names=["rows", "shards", "bits"])
 
 
-def count_repeats(rows: DataFrame, keys_of: Callable[[], Callable[[object], np.ndarray]], log2_cells: int, depth: int) -> Repeats:
-    """Count the keys of the rows of a one-column DataFrame.
+def count_keys(rows: DataFrame, keys_of: Callable[[], Callable[[object], np.ndarray]], log2_cells: int, depth: int, least: int) -> Cells:
+    """Count the keys of the rows of a one-column DataFrame; ``least`` is 1 or 2.
 
     ``keys_of()`` makes, in each task, the function that gives a value's distinct keys (uint64).
     """
@@ -99,10 +99,10 @@ def count_repeats(rows: DataFrame, keys_of: Callable[[], Callable[[object], np.n
 
     parts = rows.mapInArrow(count, "row int, shard int, once binary, more binary")
     tasks = max(1, depth * 2 ** (log2_cells - SHARD_BITS) // SHARDS_OF_TASK)
-    merged = parts.repartition(tasks, "row", "shard").mapInArrow(_merge, "rows array<int>, shards array<int>, bits binary")
+    merged = parts.repartition(tasks, "row", "shard").mapInArrow(lambda batches: _merge(batches, least), "rows array<int>, shards array<int>, bits binary")
     width = 2 ** (SHARD_BITS - 3)
     bits = np.zeros((depth, max(1, 2 ** (log2_cells - SHARD_BITS)) * width), np.uint8)
     for rows_of, shards, packed in merged.collect():
         for row, shard, part in zip(rows_of, shards, np.frombuffer(packed, np.uint8).reshape(-1, width), strict=True):
             bits[row, shard * width : (shard + 1) * width] = part
-    return Repeats(log2_cells, bits)
+    return Cells(log2_cells, bits)

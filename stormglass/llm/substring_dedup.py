@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, Windows, batch_of, cut, documents, slices, words
-from .sketch import count_repeats
+from .sketch import count_keys
 
 WINDOW, ANCHOR_WORDS = 50, 25
 #: Size of a sketch: 4 rows of 2**25 counters, of which 16 MB are broadcast.  Over a corpus with many more
@@ -136,7 +136,7 @@ def settle(held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> I
 def find_repeats(df: DataFrame, text_col: str, id_col: str, window: int, log2_cells: int) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, n_words, sha) and the classes that may have something to remove (sha, rep, packed, starts, runs)."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    repeats = count_repeats(docs.select("text"), lambda: text_anchors(window), log2_cells, DEPTH)
+    repeats = count_keys(docs.select("text"), lambda: text_anchors(window), log2_cells, DEPTH, least=2)
     sent = df.sparkSession.sparkContext.broadcast(repeats)
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def find_repeats(df: DataFrame, text_col: str, id_col: str, window: int, log2_ce
                 anchors = hasher.anchors(tokens)
                 anchors = anchors[np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])] if len(anchors) else anchors
                 joined = b" ".join(tokens)
-                out.append((len(tokens), hashlib.sha256(joined).hexdigest(), packer.compress(joined) if sent.value.maybe_repeated(anchors).any() else None))
+                out.append((len(tokens), hashlib.sha256(joined).hexdigest(), packer.compress(joined) if sent.value.maybe(anchors).any() else None))
             yield batch_of(FIRST_PASS, [ids, *zip(*out, strict=True)])
 
     rows = cut(docs.mapInArrow(first_pass, "doc_id long, n_words long, sha string, packed binary"))
@@ -161,11 +161,11 @@ def find_repeats(df: DataFrame, text_col: str, id_col: str, window: int, log2_ce
 
         def keys(packed: bytes) -> np.ndarray:
             tokens = unpacked(packed)
-            return np.unique(hasher.windows(tokens)[np.flatnonzero(sent.value.maybe_repeated(hasher.anchors(tokens)))])
+            return np.unique(hasher.windows(tokens)[np.flatnonzero(sent.value.maybe(hasher.anchors(tokens)))])
 
         return keys
 
-    exact = df.sparkSession.sparkContext.broadcast(count_repeats(reps.select("packed"), windows_left, log2_cells, DEPTH))
+    exact = df.sparkSession.sparkContext.broadcast(count_keys(reps.select("packed"), windows_left, log2_cells, DEPTH, least=2))
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = Hasher(window), [], 0
@@ -173,7 +173,7 @@ def find_repeats(df: DataFrame, text_col: str, id_col: str, window: int, log2_ce
             for sha, rep, packed in zip(*some, strict=True):
                 tokens = unpacked(packed)
                 h = hasher.windows(tokens)
-                at = np.flatnonzero(exact.value.maybe_repeated(h))
+                at = np.flatnonzero(exact.value.maybe(h))
                 if len(at):
                     again = hasher.windows(tokens, second=True)[at] >> np.uint64(32)
                     held.append((rep, part_of(sha), at, h[at].view(np.int64), again.astype(np.uint32).view(np.int32)))

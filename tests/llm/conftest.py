@@ -11,7 +11,6 @@ def small_sketches(monkeypatch):
     from stormglass.llm import jaccard_join, substring_dedup
 
     monkeypatch.setattr(jaccard_join, "LOG2_CELLS", 17)
-    monkeypatch.setattr(jaccard_join, "LOG2_CELLS_AGAIN", 17)
     monkeypatch.setattr(substring_dedup, "LOG2_CELLS", 17)
 
 
