@@ -5,11 +5,11 @@ least THRESHOLD percent.  The join is exact:
 
 1.  A set's prefix are its shingles with the smallest hashes, EXTRA more than a partner
     must leave over: partners share at least ``least_shared`` shingles of both prefixes.
-    A count-min sketch of all prefixes tells which shingles were met once only, and a
-    set with too few others ends here.  Equal sets of the rest become one class.
-2.  Prefix shingles are counted exactly, those of one class only are set aside, and so
-    are classes with too few others (twice over).  The shingles that a class has alone bound
-    its overlap with any partner.  Only classes that are left have their whole sets made.
+    Prefix shingles are counted exactly; sets with too few that another set has end here.
+2.  Equal sets of the rest become one class.  Counts are repeated among the classes, and
+    classes with too few contested shingles are set aside (twice over).  The shingles that a
+    class has alone bound its overlap with any partner.  Only classes that are left have
+    their whole sets made.
 3.  Classes are partitioned into groups of similar ones, by the most frequent shingle of
     their prefix.  A group of more than CAP_TOKENS shingles is split by size and by a salt.
     Within a group all pairs are compared that are not connected already.
@@ -19,8 +19,8 @@ least THRESHOLD percent.  The join is exact:
     shingle are in few groups, a shingle meets few groups, however many sets have it.
 
 Links never come from hashing alone: similarities are computed on the whole sets (of
-64-bit shingle hashes).  Beyond some 10^8 prefix shingles the sketch lets everything
-through; results and the later steps, which are plain joins, stay the same.
+64-bit shingle hashes).  Filters of contested shingles and of texts are broadcast, as bits
+sized by counts up to a bound; beyond it they let more through, which plain joins then drop.
 
 Cases: null, empty and blank texts are empty sets and link with nothing, not even
 with each other; with fewer words than a shingle the whole sequence is the one
@@ -42,11 +42,11 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, Windows, batch_of, cut, documents, drop, lower_ascii, slices
 from .components import components
-from .sketch import count_keys
+from .sketch import Cells, count_keys
 
 SHINGLE_WORDS, THRESHOLD = 5, 80
-#: Cells of the sketch of all prefixes (16 MB are broadcast), and most cells of the filter of texts (twice 64 MB).
-LOG2_CELLS, LOG2_FILTER = 27, 29
+#: Most cells of the filters of shingles and of texts, in two rows (2 * 64 MB), and cells a key below that.
+LOG2_FILTER, CELLS_OF_KEY = 29, 8
 #: Shingles of a group, queries that visit a group in one task.
 CAP_TOKENS, BLOCK_QUERIES = 2**19, 256
 #: Prefixes are longer than needed by a shingle in so many, so that more must be shared.
@@ -156,12 +156,11 @@ def visit(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def to_rows(docs: DataFrame, k: int, repeats: object) -> DataFrame:
-    """ROWS of ``docs`` (doc_id, text, text_key): each set's size and digest, and its prefix if it can have a partner.
+def to_rows(docs: DataFrame, k: int) -> DataFrame:
+    """ROWS of ``docs`` (doc_id, text, text_key): each set's size and digest, and its prefix.
 
     Of equal sets in a task only the first has its prefix.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(repeats)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, met = shingler(k), set()
@@ -172,16 +171,40 @@ def to_rows(docs: DataFrame, k: int, repeats: object) -> DataFrame:
                 if not len(s):
                     out.append((0, None, None, None))
                     continue
-                digest, prefix = digest_of(s), s[: prefix_size(len(s))]
-                able = digest not in met and np.count_nonzero(sent.value.maybe(prefix)) >= least_shared(len(s))
-                if able:
-                    remember(met, digest)
-                out.append((len(s), *digest, prefix.view(np.int64) if able else None))
+                digest = digest_of(s)
+                prefix = None if digest in met else s[: prefix_size(len(s))].view(np.int64)
+                remember(met, digest)
+                out.append((len(s), *digest, prefix))
             yield batch_of(ROWS, [ids, keys, *zip(*out, strict=True)])
 
     return docs.mapInArrow(apply, "doc_id long, text_key long, n long, hi long, lo long, prefix array<long>")
 
 
+def key_filter(keys: DataFrame) -> Cells:
+    """Which keys may be among those of a one-column DataFrame of longs; all that are pass."""
+    cells = min(LOG2_FILTER, max(16, (CELLS_OF_KEY * keys.count()).bit_length()))
+    return count_keys(keys, lambda: lambda key: np.array([key], np.int64).view(np.uint64), cells, 2, least=1)
+
+
+def hopeful(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Of ``rows`` (text_key, n, hi, lo, prefix) those with enough prefix shingles that may be among ``tokens``, which stay."""
+    sent = rows.sparkSession.sparkContext.broadcast(key_filter(tokens))
+    schema = pa.schema([f for f in ROWS if f.name != "doc_id"])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sizes, his, los, prefixes in slices(batches):
+            out = []
+            for key, n, hi, lo, prefix in zip(keys, sizes, his, los, prefixes, strict=True):
+                p = np.array(prefix, np.int64)
+                p = p[sent.value.maybe(p.view(np.uint64))]
+                if len(p) >= least_shared(n):
+                    out.append((key, n, hi, lo, p))
+            if out:
+                yield batch_of(schema, [*zip(*out, strict=True)])
+
+    return rows.select(schema.names).mapInArrow(apply, "text_key long, n long, hi long, lo long, prefix array<long>")
+
+
 def digest_of(s: np.ndarray) -> tuple[int, int]:
     """A set's 128-bit digest, as two signed numbers."""
     hi, lo = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
@@ -194,7 +217,7 @@ def remember(met: set, digest: tuple[int, int]) -> None:
     met.add(digest)
 
 
-def to_sets(docs: DataFrame, k: int, wanted: object) -> DataFrame:
+def to_sets(docs: DataFrame, k: int, wanted: Cells) -> DataFrame:
     """SETS of those ``docs`` (text, text_key) whose key may be wanted."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -213,9 +236,9 @@ def to_sets(docs: DataFrame, k: int, wanted: object) -> DataFrame:
     return docs.select("text", "text_key").mapInArrow(apply, "hi long, lo long, tokens array<long>")
 
 
-def contested(held: DataFrame) -> DataFrame:
-    """(token, often): tokens of more than one class."""
-    return held.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("often")).filter("first < last").select("token", "often")
+def contested(held: DataFrame, of: str = "id") -> DataFrame:
+    """(token, often): tokens of more than one set."""
+    return held.groupBy("token").agg(F.min(of).alias("first"), F.max(of).alias("last"), F.count(F.lit(1)).alias("often")).filter("first < last").select("token", "often")
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -302,21 +325,22 @@ def similarity_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = docs.withColumn("text_key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
 
-    def prefix_keys() -> Callable[[str | None], np.ndarray]:
-        shingles = shingler(k)
-        return lambda text: (s := shingles(text))[: prefix_size(len(s))]
-
-    rows = cut(to_rows(keyed, k, count_keys(docs.select("text"), prefix_keys, LOG2_CELLS, 1, least=2)))
-    classes = rows.filter("prefix is not null").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("text_key").alias("text_key"), F.first("prefix").alias("prefix"))
+    every = cut(to_rows(keyed, k))
+    able = every.filter("prefix is not null")
+    # Half a digest will do here: it only has to differ where sets do.
+    tokens = cut(contested(able.select("hi", F.explode("prefix").alias("token")), "hi").select("token"))
+    able = cut(hopeful(able, tokens))
+    rows = cut(every.drop("prefix"))
+    drop(every, tokens)
+    classes = able.groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("text_key").alias("text_key"), F.first("prefix").alias("prefix"))
     # Row numbers are stable once they are written.
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    drop(able)
     held, able = candidates(classes.select("id", "n", "prefix"))
     members = cut(grouped(able))
     names = cut(classes.join(members.select("id"), "id", "left_semi").select("id", "hi", "lo", "text_key"))
     drop(classes)
-    cells = min(LOG2_FILTER, max(16, (8 * names.count()).bit_length()))
-    wanted = count_keys(names.select("text_key"), lambda: lambda key: np.array([key], np.int64).view(np.uint64), cells, 2, least=1)
-    sets = to_sets(keyed.filter("text is not null"), k, wanted).groupBy("hi", "lo").agg(F.first("tokens").alias("tokens"))
+    sets = to_sets(keyed.filter("text is not null"), k, key_filter(names.select("text_key"))).groupBy("hi", "lo").agg(F.first("tokens").alias("tokens"))
     full = cut(sets.join(names.drop("text_key"), ["hi", "lo"]).join(members.select("id", "g", "part", "salt", "crowd"), "id").drop("hi", "lo"))
     inside = full.filter("crowd > 1").select("g", "part", "salt", "id", "tokens").groupBy("g", "part", "salt").applyInPandas(star_edges, "a long, b long")
     visits = visits_of(held, members)

@@ -8,9 +8,8 @@ import pytest
 @pytest.fixture(autouse=True)
 def small_sketches(monkeypatch):
     """Sketches of a size that suits a few rows."""
-    from stormglass.llm import jaccard_join, substring_dedup
+    from stormglass.llm import substring_dedup
 
-    monkeypatch.setattr(jaccard_join, "LOG2_CELLS", 17)
     monkeypatch.setattr(substring_dedup, "LOG2_CELLS", 17)
 
 
