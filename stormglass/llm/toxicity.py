@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, documents, id_remainder, slices
+from .common import batch_of, cut, documents, drop, id_remainder, slices
 
 WORD = re.compile(r"[^\W_]+")
 #: Labelled documents that the lexicon is learned from, of each label.
@@ -75,23 +75,22 @@ def segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
     ``hits`` are the positions and scores of the words that score above zero, in order;
     every word between them costs GAP.
     """
-    done: list[list[float]] = []  # first, last, score before, score after
+    done: list[list[float]] = []  # first, last, score before, score after, nearest earlier one that starts lower
     total, end = 0.0, -1
     for at, score in hits:
         total -= GAP * (at - end - 1)
         before, total, end = total, total + score, at
-        now = [at, at, before, total]
-        while True:
-            j = len(done) - 1
-            while j >= 0 and done[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or done[j][3] >= now[3]:
-                # Segments that start no lower than this one may yet join a later one.
-                done.append(now)
-                break
-            now = [done[j][0], now[1], done[j][2], now[3]]
+        first, j = at, len(done) - 1
+        # A link is followed once at most: what it passes over lies behind the link of the segment that is added.
+        while j >= 0 and done[j][2] >= before:
+            j = done[j][4]
+        while j >= 0 and done[j][3] < total:
+            first, _, before, _, link = done[j]
             del done[j:]
-    return [(int(a), int(b), after - before) for a, b, before, after in done]
+            j = link
+        # Segments that start no lower than this one may yet join a later one.
+        done.append([first, at, before, total, j])
+    return [(int(a), int(b), after - before) for a, b, before, after, _ in done]
 
 
 @dataclass
@@ -185,7 +184,15 @@ def karlin_altschul(scores: dict[float, int], n_words: int) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
-    rows = labelled(docs, labels)
+    rows = cut(labelled(docs, labels))
+    try:
+        return fit_sample(rows)
+    finally:
+        drop(rows)
+
+
+def fit_sample(rows: DataFrame) -> Model:
+    """Learn from a sample (text, toxic) that is written, as it is read four times."""
     toxic_rows, other_rows = rows.filter("toxic = 1"), rows.filter("toxic = 0")
     # Tokens of few toxic documents cannot be significant; what is left is bounded by the sample.
     toxic = {r["token"]: r["n"] for r in count_tokens(toxic_rows).filter(f"n >= {LEAST_DOCS}").collect()}
