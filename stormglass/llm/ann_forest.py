@@ -18,8 +18,8 @@ OPEN_SHARE does.
 
 Cases: vectors that are null, empty or zero, hold null or non-finite components, or
 have another dimension than most take no part, neither do null ids; repeated ids
-with equal vectors are one row, with other vectors the nearest counts; equal scores
-go to the smaller id; with fewer candidates than k all are returned; other columns
+with equal vectors are one row, with other vectors the nearest counts; scores that are
+equal to 12 places go to the smaller id; with fewer candidates than k all are returned; other columns
 are ignored.
 """
 
@@ -171,7 +171,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
                 if len(at):
                     score = x[at] @ q
                     # Entries that tie with the last are kept: ids decide at the end.
-                    least = np.partition(score, -k - 1)[-k - 1] - 1e-12 if len(score) > k + 1 else -2
+                    least = np.partition(score, -k - 1)[-k - 1] - 2e-12 if len(score) > k + 1 else -2
                     out += [(query_id, ids[at[j]], float(score[j])) for j in np.flatnonzero(score >= least)]
         return pd.DataFrame(out, columns=["query_id", "ids", "score"])
 
@@ -182,7 +182,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
     walks = walks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     found = index.groupBy("bucket", "block").cogroup(walks.groupBy("bucket", "block")).applyInPandas(rank, "query_id long, ids array<long>, score double")
     pairs = found.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # Cosines of scaled copies of one vector differ in their last bits only, and are ties.
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
