@@ -29,13 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
 
     That cuts lineage as checkpoint() does, in compressed columns, of which later steps read
     what they need.  ``drop`` removes a table that nothing needs any more; the rest of the
-    folder is the cluster's to clear.  It is the cluster's ``spark.checkpoint.dir``; only
-    where that is unset (tests) a temporary one is made.
+    folder is the cluster's to clear.  It is the cluster's ``spark.checkpoint.dir``; where
+    that is unset, a temporary folder serves a local master only.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stormglass-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stormglass-"))
     path = f"{sc.getCheckpointDir().rstrip('/')}/cut-{uuid.uuid4()}"
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

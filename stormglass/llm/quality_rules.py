@@ -13,10 +13,13 @@ documents.  Of a rule's certified cutoffs the one is used that rejects the most
 documents, a good one counting as ``GOOD_WEIGHT`` bad ones; a stratum in which
 that is none has the rule switched off.
 
+The bound needs independent trials, so equal texts are one trial, whatever their ids,
+good only if all their labels say so, and an id with several texts is none.
+
 Cases: a null or blank text has no words and fails the base rules; a label that is
 null or has no document is ignored; a document with several labels counts as good
-only if all say so; repeated rows give repeated results; without labels only the
-base rules act.
+only if all say so; repeated rows give repeated results and change no cutoff; without
+labels only the base rules act; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,13 +71,15 @@ def counts_of(text: str | None) -> tuple[int, ...]:
 
 
 def text_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of COUNTS for each row of ``df``, from the whole text."""
+    """One row of COUNTS for each row of ``df``, from the whole text, and text_key, its xxhash64."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches):
-            yield batch_of(COUNTS, [ids, *zip(*map(counts_of, texts), strict=True)])
+        schema = COUNTS.append(pa.field("text_key", pa.int64()))
+        for ids, texts, keys in slices(batches):
+            yield batch_of(schema, [ids, *zip(*map(counts_of, texts), strict=True), keys])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, ", ".join(f"{c} long" for c in COUNTS.names))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col))
+    return docs.mapInArrow(count, ", ".join(f"{c} long" for c in (*COUNTS.names, "text_key")))
 
 
 @F.pandas_udf(StructType([StructField(c, LongType()) for c in COUNTS.names[1:]]))
@@ -136,13 +141,15 @@ def certified(good: dict[tuple[int, str], list[int]], bad: dict[tuple[int, str],
 
 
 def learn_cutoffs(counts: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, error: float = ERROR) -> dict[tuple[int, str], float]:
-    """Certify cutoffs on the documents of ``counts`` that ``labels`` (doc_id, quality) has.
+    """Certify cutoffs on the documents of ``counts`` (with text_key) that ``labels`` (doc_id, quality) has.
 
-    Only documents that pass the base rules count.  The driver gets one number for each
+    Only documents that pass the base rules count, and equal texts count once.  The driver gets one number for each
     stratum, rule, cutoff and label, however many documents there are.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    held = counts.filter(~base_failed()).select("doc_id", stratum().alias("band"), *(F.ceil(x * 100).alias(name) for name, x in ratios().items())).join(marks, "doc_id")
+    held = counts.filter(~base_failed()).select("doc_id", F.struct("text_key", stratum().alias("band"), *(F.ceil(x * 100).alias(name) for name, x in ratios().items())).alias("trial")).join(marks, "doc_id")
+    one = held.groupBy("doc_id").agg(F.min("trial").alias("trial"), F.max("trial.text_key").alias("last"), F.min("good").alias("good")).filter("trial.text_key = last")
+    held = one.groupBy("trial").agg(F.min("good").alias("good")).select("trial.*", "good")
     # The cutoffs below a ratio, which reject it, are a prefix of the grid.
     below = lambda x: F.least(F.greatest(x - 1, F.lit(0)), F.lit(len(GRID))).cast("int")
     cells = held.select("band", "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), below(F.col(r)).alias("j")) for r in ratios()))).alias("x"))
