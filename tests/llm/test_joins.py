@@ -282,3 +282,13 @@ def test_recall_on_the_table(spark):
         hits += len(found[int(ids[at])] & set(ids[np.lexsort((ids, -score))[:5]].tolist()))
         total += 5
     assert total >= 200 and hits / total >= 0.9
+
+
+def test_search_orders_scaled_copies_by_id(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 7))
+    vectors = {i: (base[i % 30] * (1.0, 3.0, 0.7, 11.0)[i % 4]).tolist() for i in rng.permutation(600).tolist()}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = near_rows(df, df.filter("vec_id % 20 = 0"), open_share=1.0)
+    for q, found in got.items():
+        assert [i for _, i, _ in found] == [i for _, i in exact(vectors, q)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -162,3 +163,85 @@ def test_best_level_by_brute_force():
         rate = lambda at: sum((x >= at) != t and 1 / sum(u == t for u, _ in seen) for t, x in seen)
         assert level >= -math.log(toxicity.SIGNIFICANCE)
         assert all(rate(level) <= rate(x) + 1e-9 for _, x in seen if x > -math.log(toxicity.SIGNIFICANCE))
+
+
+def test_segments_take_linear_time():
+    rng = random.Random(6)
+    hits = [(40 * i, rng.uniform(0.1, 2.0)) for i in range(1_000_000)]
+    start = time.process_time()
+    found = toxicity.segments(hits)
+    assert time.process_time() - start < 20 and len(found) > 900_000
+    # Hits close together, so that segments join again and again.
+    assert len(toxicity.segments([(i + i // 3, s) for i, (_, s) in enumerate(hits)])) < 10
+
+
+def test_every_label_is_learned(spark):
+    """More labels than a model of all bits has: each is told from the others, and the model stays of one size."""
+    rows = [(20 * i + j, " ".join(f"{chr(0x4E00 + i)}{chr(0x5E00 + i)}{k}" for k in range(j, j + 6)), f"l{i}") for i in range(450) for j in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, max_train=3_000)
+    assert len(model.langs) == 450 and model.bits == 14 and model.weights.size <= 1.3 * language_id.BUCKETS * language_id.FULL_LANGS
+    some = rows[::97]
+    assert np.mean([model.predict(t)[0] == lang for _, t, lang in some]) > 0.9
+    assert [language_id.bits_for(n) for n in (1, 200, 201, 400, 401, 800, 5_000)] == [16, 16, 15, 15, 14, 14, 11]
+
+
+def slow_model(examples, langs, counts, n_docs):
+    """FTRL over {bucket: weight} by plain loops, from the examples in the order of learning."""
+    z: dict = {}
+    n: dict = {}
+    bias = language_id.BUCKETS
+
+    def weight(b, c):
+        v = z.get((b, c), 0.0)
+        return 0.0 if abs(v) <= language_id.L1 else (math.copysign(language_id.L1, v) - v) / ((language_id.BETA + math.sqrt(n.get((b, c), 0.0))) / language_id.ALPHA + language_id.L2)
+
+    def features(text):
+        at, times = language_id.ngram_counts(text)
+        x = {int(b): (1 + math.log(t)) * (math.log((1 + n_docs) / (1 + counts.get(int(b), 0))) + 1) for b, t in zip(at, times, strict=True)}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {b: v / size for b, v in x.items()} | {bias: 1.0}
+
+    def chances(x):
+        e = [sum(v * weight(b, c) for b, v in x.items()) for c in range(len(langs))]
+        e = [math.exp(v - max(e)) for v in e]
+        return [v / sum(e) for v in e]
+
+    for text, lang in examples:
+        x = features(text)
+        w = {(b, c): weight(b, c) for b in x for c in range(len(langs))}
+        p = chances(x)
+        for b, v in x.items():
+            for c, name in enumerate(langs):
+                g = v * (p[c] - (name == lang))
+                old = n.get((b, c), 0.0)
+                z[b, c] = z.get((b, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / language_id.ALPHA * w[b, c]
+                n[b, c] = old + g * g
+    return lambda text: chances(features(text))
+
+
+def test_language_model_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CALIBRATION", 0.0)
+    rng = random.Random(8)
+    letters = {"a": "abcdefg", "b": "defghij", "c": "ghijklm"}
+    rows = [(i, " ".join("".join(rng.choice(letters[lang]) for _ in range(4)) for _ in range(8)), lang) for i, lang in enumerate("abc" * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    order = []
+    learn = language_id.Ftrl.learn
+
+    def spy(self, at, x, y):
+        order.append((frozenset(at.tolist()), y))
+        learn(self, at, x, y)
+
+    monkeypatch.setattr(language_id.Ftrl, "learn", spy)
+    model = language_id.fit(df)
+    of = {(frozenset(language_id.ngram_counts(t)[0].tolist()), model.langs.index(lang)): (t, lang) for _, t, lang in rows}
+    counts: dict[int, int] = {}
+    for _, t, _ in rows:
+        for b in language_id.ngram_counts(t)[0].tolist():
+            counts[b] = counts.get(b, 0) + 1
+    slow = slow_model([of[x] for x in order], model.langs, counts, len(rows))
+    for _, t, _ in rows[:9]:
+        want = slow(t)
+        assert model.predict(t)[0] == model.langs[want.index(max(want))]
+        assert np.allclose(language_id.softmax(model.logits(t).astype(float)), want, atol=1e-4)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_joins import slow_classes, slow_dedup, tokens
 
 from stormglass.llm import language_id, packing, quality_rules
@@ -85,3 +86,19 @@ def test_clean_documents_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs, SF).count() == 60, name
+
+
+def test_one_of_each_class_stays(spark):
+    """Content decides, not ids: one id with two texts, near copies without an id, repeated rows, blank texts, odd names."""
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    near = lambda i: body(i) + " tail"
+    rows = [(1, body(1)), (1, body(2)), (2, body(1)), (1, body(2)), (None, near(1)), (None, body(3)), (None, near(3)), (None, body(3)), (7, near(3)), (None, body(4)), (None, near(4)), (5, None), (5, None), (6, " "), (None, ""), (8, body(5)), (8, near(5))]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, `a.b` int").withColumn("single", F.lit(1)).withColumn("text_key", F.lit("k"))
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got.pop((5, None)) == 2 and got.pop((6, " ")) == 1 and got.pop((None, "")) == 1
+    assert got.pop((1, body(1))) == got.pop((1, body(2))) == got.pop((7, near(3))) == 1
+    assert sorted(got.values()) == [1, 1] and {i for i, _ in got} == {None, 8} and all(t in (body(4), near(4), body(5), near(5)) for _, t in got)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs.withColumn("lang", F.lit("xx")), SF).columns == [*docs.columns, "lang"], name

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 from conftest_data import rows_of
@@ -256,3 +257,40 @@ def test_queries_on_small_tables(spark):
     for r in rows:
         ids = enc.encode_ordinary(texts[r["doc_id"]])
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_licences_whatever_their_lines_and_script(spark):
+    whole = MIT_TEXT.replace("Copyright (c) 1999 Some Body\n", "")
+    wrapped = "\n".join(whole.split()) + "\nCopyright 2001 X\nAll rights reserved.\n"
+    text = "Предоставлено по лицензии. 日本語の文 licence licence"
+    rows = [whole, wrapped, " ".join(whole.split()), whole.upper().replace(",", " ,"), whole + "текст", text, text.replace("licence licence", "LICENSE - license"), "日本語", "日本文", "copyright notice, this list"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text_digest"], r["text_license"]) for r in license_scan.scan(df, license_scan.known_licenses(spark)).collect()}
+    assert [got[i][1] for i in range(5)] == ["MIT"] * 4 + [None]
+    assert got[5][0] == got[6][0] and got[7][0] not in (None, got[8][0])
+    assert got[9][0] == hashlib.sha256(b"copyright notice this list").hexdigest()
+
+
+def test_repeated_rows_certify_nothing(spark):
+    """The promise on false rejections needs independent trials."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60 + i % 40)), 1 if i % 2 else 0) for i in range(300)]
+    rows = [(i, t if q else t + " ### $$$ ***" * 5, q) for i, t, q in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    once = quality_rules.learn_cutoffs(quality_rules.text_counts(df), df.select("doc_id", "quality"))
+    for many in (df.crossJoin(spark.range(16)).select(df.columns), df.crossJoin(spark.range(16)).selectExpr("doc_id + 1000 * id as doc_id", "text", "quality")):
+        assert quality_rules.learn_cutoffs(quality_rules.text_counts(many), many.select("doc_id", "quality")) == once == {}
+
+
+def test_false_rejections_stay_within_the_promise():
+    """Over many draws of good documents whose ratios are alike, few certify cutoffs that reject too many."""
+    rng = np.random.default_rng(5)
+    broken = 0
+    for _ in range(200):
+        share = rng.beta(0.5, 8, 4000)
+        js = np.minimum(np.ceil(share * 100).astype(int) - 1, len(quality_rules.GRID)).clip(0)
+        tally = np.bincount(js, minlength=len(quality_rules.GRID) + 1).tolist()
+        cutoffs = quality_rules.certified({(0, r): tally for r in quality_rules.ratios()}, {(0, r): [10**6] * len(tally) for r in quality_rules.ratios()})
+        truth = rng.beta(0.5, 8, 200_000)
+        broken += any((np.ceil(truth * 100) > round(c * 100)).mean() > quality_rules.MAX_FALSE_REJECTION / 4 for c in cutoffs.values())
+    assert broken <= 200 * quality_rules.ERROR
