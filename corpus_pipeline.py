@@ -1,8 +1,9 @@
 """A corpus, from documents to packed sequences, by five of the operators.
 
 Every stage but the last takes and returns the columns of documents, whatever they
-are.  Documents without an id pass the deduplicating stages unchanged where these
-cannot name them.
+are called; doc_id, text and (for language ID) lang are needed, the others go along.
+An empty table gives an empty table.  What each stage does with nulls, empty texts,
+ties and repeated rows its docstring says.
 """
 
 from __future__ import annotations
@@ -25,28 +26,51 @@ def whole_row(docs: DataFrame) -> Column:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: not ``und``, and certain enough."""
+    """Documents whose language can be told: not ``und``, and certain enough.
+
+    Null and empty texts, and those without a letter, go; nulls in other columns do not
+    matter; repeated rows stay or go together, and are kept as often as they are there.
+    """
     predict = language_id.predictor(spark, language_id.fit(docs))
     found = docs.select(whole_row(docs), predict("text").alias("lang"))
     return found.filter((F.col("lang.lang_pred") != language_id.UND) & (F.col("lang.score") >= LEAST_CERTAIN)).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the certified cutoffs keep."""
-    cutoffs = quality_rules.learn_cutoffs(quality_rules.text_counts(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    counted = docs.select(whole_row(docs), quality_rules.count_columns("text").alias("n")).select("row", "n.*")
+    """Documents that the base rules and the certified cutoffs keep.
+
+    Null and empty texts have too few words and go; a ratio of just its cutoff stays; a
+    null id has no label; repeated rows stay or go together, and teach as one.  Texts are
+    counted once, and written with their counts.
+    """
+    counted = docs.select(whole_row(docs), F.xxhash64("text").alias("text_key"), quality_rules.count_columns("text").alias("n"))
+    counted = cut(counted.select("row", "text_key", F.col("row.doc_id").cast("long").alias("doc_id"), "n.*"))
+    cutoffs = quality_rules.learn_cutoffs(counted, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.verdicts(counted, cutoffs).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id."""
-    classes = jaccard_join.similarity_classes(docs)
-    keep = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """One document of each class of near copies.
+
+    It is the one with the smallest id, a null id being the largest; of equal ids the text with the
+    smaller hash; of repeated rows any one.  Texts are told apart by their content, not by their
+    id.  Null and blank texts are like nothing and all stay.
+    """
+    found = cut(jaccard_join.similarity_classes(docs).select("doc_id", "text_key", "n_shingles", "component"))
+    first = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("x"))
+    keep = first.select(F.col("x.doc_id").alias("id"), F.col("x.text_key").alias("key"), F.lit(True).alias("single"))
+    keep = keep.unionByName(found.filter("n_shingles = 0").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.lit(False).alias("single")).distinct())
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_key"))
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_key").eqNullSafe(F.col("key")))
+    return kept.filter("single").dropDuplicates(["id", "key"]).select("row.*").unionByName(kept.filter("not single").select("row.*"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has; those with nothing left go."""
+    """Documents without the passages that an earlier one has; those with nothing left go.
+
+    Rows with one id are no earlier than one another, null ids the last; null, empty and
+    short texts stay as they are, and so do the columns but for text and n_chars.
+    """
     changed = substring_dedup.dedup(docs).filter("n_removed > 0").select("doc_id", "words_sha256", "kept_text").dropDuplicates(["doc_id", "words_sha256"])
     words = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), WORD_GAP), lambda w: w != ""), " ")
     rows = docs.select(whole_row(docs), F.sha2(words, 256).alias("sha"))
@@ -58,7 +82,10 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, in bins of permitted lengths."""
+    """Pieces of the documents, in bins of permitted lengths; a word counts as a token here.
+
+    Null and empty texts give a row without a bin; repeated rows and rows without an id are packed like all others.
+    """
     return packing.pack(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens")))
 
 
