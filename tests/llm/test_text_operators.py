@@ -282,7 +282,7 @@ def test_repeated_rows_certify_nothing(spark):
         assert quality_rules.learn_cutoffs(quality_rules.text_counts(many), many.select("doc_id", "quality")) == once == {}
 
 
-def test_false_rejections_stay_within_the_promise():
+def test_false_rejections_stay_within_the_promise(spark):
     """Over many draws of good documents whose ratios are alike, few certify cutoffs that reject too many."""
     rng = np.random.default_rng(5)
     broken = 0
