@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 from collections.abc import Iterator
 from urllib.request import urlopen
@@ -32,6 +33,14 @@ def open_document(place: str, timeout: float) -> str:
         return f.read()
 
 
+def point_of(text: str) -> str | None:
+    """The request for a position, rounded to four places; none for a malformed one, which then gives no rows."""
+    if not re.match(dims.GPS, text):
+        return None
+    lat, lon = (round(float(x), 4) for x in text.split(","))
+    return f"point={lat},{lon}" if abs(lat) <= 90 and abs(lon) <= 180 else None
+
+
 class FeedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.provider = options.get("provider", "nws")
@@ -39,7 +48,7 @@ class FeedReader(DataSourceReader):
             raise ValueError(f"unknown provider: {self.provider}")
         self.path, self.timeout = options["path"].rstrip("/"), float(options.get("timeout", "30"))
         if self.provider == "nws":
-            self.requests = [r for r in (options.get("zone") and f"zone={options['zone']}", options.get("point") and f"point={options['point']}") if r][:1]
+            self.requests = [r for r in (options.get("zone") and f"zone={options['zone']}", point_of(options.get("point", ""))) if r][:1]
         elif self.provider == "eccc":
             self.requests = ["national"]
         else:
@@ -69,9 +78,11 @@ class FeedReader(DataSourceReader):
         ending = "xml" if self.provider == "eccc" else "json"
         place: str | None = f"{self.path}/{request}.{ending}"
         for page_no in range(dims.PAGE_LIMIT if self.provider == "nws" else 1):
-            if time.monotonic() - began > self.timeout:
+            # The limit is one for all pages of a fetch.
+            left = self.timeout - (time.monotonic() - began)
+            if left <= 0:
                 raise TimeoutError(f"{request}: no answer within {self.timeout:g} s")
-            body = open_document(place, self.timeout)
+            body = open_document(place, left)
             yield (self.provider, request, page_no, body)
             if self.provider != "nws":
                 return

@@ -56,5 +56,5 @@ def request_query(zone_id: Column, gps_loc: Column) -> Column:
 
 
 def country_dimension(spark) -> DataFrame:
-    """(country, name, slug) of the European feeds."""
-    return spark.createDataFrame([(c, n, dims.country_slug(c)) for c, n in dims.COUNTRIES.items()], "country string, name string, slug string")
+    """(country, name, slug) of the European feeds, by name as a list of choices shows them."""
+    return spark.createDataFrame([(c, n, dims.country_slug(c)) for c, n in dims.COUNTRIES.items()], "country string, name string, slug string").orderBy("name")

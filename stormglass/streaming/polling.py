@@ -1,9 +1,9 @@
 """Polls at an interval: each tick reads a feed and appends one snapshot, which streaming.lifecycle compares.
 
-A poll that succeeds appends its alerts and a marker row in one write, also if it lists
-nothing; one that fails appends nothing, so that it changes no state.  ``poll_seq`` is the
-micro-batch's number, so a poll that is repeated after a failure of the driver is a replay,
-which the comparison ignores.
+A poll that succeeds writes its alerts and a marker row as one partition (entry_id,
+poll_seq), also if it lists nothing; one that fails writes nothing, so that it changes no
+state.  ``poll_seq`` is the micro-batch's number, so a poll that is repeated after a failure of
+the driver replaces itself.  The rate source is the clock only.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ def snapshot(alerts: DataFrame, entry_id: str, poll_seq: int, now: datetime) ->
 
 
 def poll_once(read: Callable[[], DataFrame], entry_id: str, poll_seq: int, sink: str, now: datetime | None = None) -> bool:
-    """Append the snapshot of one poll to the Parquet table at ``sink``; False if reading fails."""
+    """Write the snapshot of one poll to the Parquet table at ``sink``, in place of an earlier try; False if reading fails."""
     try:
         # One file a poll, so that a stream over the table never sees a part of it.
-        snapshot(read(), entry_id, poll_seq, now or datetime.now(UTC)).coalesce(1).write.mode("append").parquet(sink)
+        snapshot(read(), entry_id, poll_seq, now or datetime.now(UTC)).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entry_id", "poll_seq").parquet(sink)
     except Exception as error:  # whatever the feed or the network brings
         LOG.warning("poll %d of %s failed: %s", poll_seq, entry_id, error)
         return False

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -177,7 +178,12 @@ def test_polling(spark, tmp_path):
     assert [x[1:5] for x in flat(events)] == [(0, 1, "created", "a"), (0, 2, "created", "b"), (2, 1, "removed", "a"), (3, 1, "removed", "b")]
     query = polling.start(spark, lambda: feed("a"), "live", f"{tmp_path}/live", f"{tmp_path}/ticks", scan_interval=1)
     try:
-        query.processAllAvailable()
+        # The clock never runs dry, so wait for a batch, not for all.
+        deadline = time.monotonic() + 60
+        while time.monotonic() < deadline and not (query.lastProgress and query.lastProgress["batchId"] >= 1):
+            time.sleep(0.2)
     finally:
         query.stop()
+    assert polling.poll_once(lambda: feed("a"), "live", 0, f"{tmp_path}/live")  # a repeated poll replaces itself
+    assert spark.read.parquet(f"{tmp_path}/live").filter("is_marker and poll_seq = 0").count() == 1
     assert spark.read.parquet(f"{tmp_path}/live").filter("is_marker").count() >= 1
