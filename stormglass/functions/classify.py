@@ -53,14 +53,14 @@ def first_needle(text: Column, needles: tuple[tuple[str, str], ...]) -> Column:
     out = None
     for needle, icon_name in needles:
         hit = F.contains(text, F.lit(needle))
-        value = F.lit(dims.ICON_PREFIX + icon_name)
+        value = F.lit(icon_name)
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out
 
 
 def icon(provider: Column, event: Column) -> Column:
     name = F.lower(strip(text_of(event)))
-    exact = F.try_element_at(dims.literal_map({k: dims.ICON_PREFIX + v for k, v in dims.EXACT_ICONS.items()}), name)
+    exact = F.try_element_at(dims.literal_map(dims.EXACT_ICONS), name)
     folded = F.translate(name, "-_", "  ")
     found = F.when(provider == "meteoalarm", first_needle(folded, dims.EUROPEAN_NEEDLES)).when(provider == "nws", F.coalesce(exact, first_needle(name, dims.NEEDLES))).otherwise(first_needle(name, dims.NEEDLES))
     return F.coalesce(F.when(name != "", found), F.lit(dims.DEFAULT_ICON))

@@ -20,53 +20,55 @@ COUNTRIES = {
     "AT": "Austria", "BE": "Belgium", "BA": "Bosnia and Herzegovina", "BG": "Bulgaria", "HR": "Croatia", "CY": "Cyprus",
     "CZ": "Czechia", "DK": "Denmark", "EE": "Estonia", "FI": "Finland", "FR": "France", "DE": "Germany", "GR": "Greece",
     "HU": "Hungary", "IS": "Iceland", "IE": "Ireland", "IL": "Israel", "IT": "Italy", "LV": "Latvia", "LT": "Lithuania",
-    "LU": "Luxembourg", "MT": "Malta", "MD": "Moldova", "ME": "Montenegro", "NL": "Netherlands", "MK": "North Macedonia",
+    "LU": "Luxembourg", "MT": "Malta", "MD": "Moldova", "ME": "Montenegro", "NL": "Netherlands", "MK": "Republic of North Macedonia",
     "NO": "Norway", "PL": "Poland", "PT": "Portugal", "RO": "Romania", "RS": "Serbia", "SK": "Slovakia", "SI": "Slovenia",
     "ES": "Spain", "SE": "Sweden", "CH": "Switzerland", "UA": "Ukraine", "UK": "United Kingdom",
 }
-#: Feed names that do not follow from the country's name.
-ODD_SLUGS = {"BA": "bosnia-herzegovina", "MK": "republic-of-north-macedonia"}
+#: The feed name that does not follow from the country's name.
+ODD_SLUGS = {"BA": "bosnia-herzegovina"}
 
 EXACT_ICONS = {
-    "tornado warning": "weather-tornado", "tornado watch": "weather-tornado",
-    "severe thunderstorm warning": "weather-lightning", "severe thunderstorm watch": "weather-lightning",
-    "flood warning": "home-flood", "flood watch": "home-flood",
-    "flash flood warning": "water", "flash flood watch": "water",
-    "coastal flood warning": "waves", "coastal flood watch": "waves",
-    "winter storm warning": "snowflake-alert", "winter storm watch": "snowflake-alert", "blizzard warning": "snowflake-alert",
-    "winter weather advisory": "snowflake", "ice storm warning": "snowflake-melt",
-    "excessive heat warning": "weather-sunny-alert", "excessive heat watch": "weather-sunny-alert", "heat advisory": "weather-sunny-alert",
-    "red flag warning": "fire", "fire weather watch": "fire",
-    "high wind warning": "weather-windy", "high wind watch": "weather-windy", "wind advisory": "weather-windy",
-    "dense fog advisory": "weather-fog", "air quality alert": "smog", "special weather statement": "alert-circle",
-    "hurricane warning": "weather-hurricane", "hurricane watch": "weather-hurricane",
-    "tropical storm warning": "weather-hurricane", "tropical storm watch": "weather-hurricane",
-    "tsunami warning": "tsunami", "tsunami watch": "tsunami",
+    "tornado warning": "mdi:weather-tornado", "tornado watch": "mdi:weather-tornado",
+    "severe thunderstorm warning": "mdi:weather-lightning", "severe thunderstorm watch": "mdi:weather-lightning",
+    "flood warning": "mdi:home-flood", "flood watch": "mdi:home-flood",
+    "flash flood warning": "mdi:water", "flash flood watch": "mdi:water",
+    "coastal flood warning": "mdi:waves", "coastal flood watch": "mdi:waves",
+    "winter storm warning": "mdi:snowflake-alert", "winter storm watch": "mdi:snowflake-alert",
+    "winter weather advisory": "mdi:snowflake", "blizzard warning": "mdi:snowflake-alert", "ice storm warning": "mdi:snowflake-melt",
+    "excessive heat warning": "mdi:weather-sunny-alert", "excessive heat watch": "mdi:weather-sunny-alert", "heat advisory": "mdi:weather-sunny-alert",
+    "red flag warning": "mdi:fire", "fire weather watch": "mdi:fire",
+    "high wind warning": "mdi:weather-windy", "high wind watch": "mdi:weather-windy", "wind advisory": "mdi:weather-windy",
+    "dense fog advisory": "mdi:weather-fog", "air quality alert": "mdi:smog", "special weather statement": "mdi:alert-circle",
+    "hurricane warning": "mdi:weather-hurricane", "hurricane watch": "mdi:weather-hurricane",
+    "tropical storm warning": "mdi:weather-hurricane", "tropical storm watch": "mdi:weather-hurricane",
+    "tsunami warning": "mdi:tsunami", "tsunami watch": "mdi:tsunami",
 }
 NEEDLES = (
-    ("tornado", "weather-tornado"), ("thunderstorm", "weather-lightning"), ("blizzard", "snowflake-alert"), ("snowfall", "snowflake"),
-    ("snow squall", "snowflake-alert"), ("winter storm", "snowflake-alert"), ("freezing rain", "snowflake-melt"),
-    ("freezing drizzle", "snowflake-melt"), ("rainfall", "weather-pouring"), ("wind", "weather-windy"), ("heat", "weather-sunny-alert"),
-    ("extreme cold", "snowflake-thermometer"), ("frost", "snowflake-thermometer"), ("fog", "weather-fog"), ("smog", "smog"),
-    ("air quality", "smog"), ("hurricane", "weather-hurricane"), ("tropical storm", "weather-hurricane"), ("tsunami", "tsunami"),
-    ("flood", "home-flood"),
+    ("tornado", "mdi:weather-tornado"), ("thunderstorm", "mdi:weather-lightning"), ("blizzard", "mdi:snowflake-alert"), ("snowfall", "mdi:snowflake"),
+    ("snow squall", "mdi:snowflake-alert"), ("winter storm", "mdi:snowflake-alert"), ("freezing rain", "mdi:snowflake-melt"),
+    ("freezing drizzle", "mdi:snowflake-melt"), ("rainfall", "mdi:weather-pouring"), ("wind", "mdi:weather-windy"), ("heat", "mdi:weather-sunny-alert"),
+    ("extreme cold", "mdi:snowflake-thermometer"), ("frost", "mdi:snowflake-thermometer"), ("fog", "mdi:weather-fog"), ("smog", "mdi:smog"),
+    ("air quality", "mdi:smog"), ("hurricane", "mdi:weather-hurricane"), ("tropical storm", "mdi:weather-hurricane"), ("tsunami", "mdi:tsunami"),
+    ("flood", "mdi:home-flood"),
 )
 EUROPEAN_NEEDLES = (
-    ("avalanche", "snowflake-alert"), ("fire", "fire"), ("thunderstorm", "weather-lightning"), ("snow/ice", "snowflake"),
-    ("snow", "snowflake"), ("ice", "snowflake-melt"), ("frost", "snowflake-thermometer"), ("rain flood", "home-flood"),
-    ("flood", "home-flood"), ("rain", "weather-pouring"), ("wind", "weather-windy"), ("gale", "weather-windy"), ("fog", "weather-fog"),
-    ("extreme high temp", "weather-sunny-alert"), ("extreme low temp", "snowflake-thermometer"),
-    ("high temperature", "weather-sunny-alert"), ("low temperature", "snowflake-thermometer"), ("coastal event", "waves"),
-    ("coastal", "waves"), ("wave", "waves"),
+    ("avalanche", "mdi:snowflake-alert"), ("fire", "mdi:fire"), ("thunderstorm", "mdi:weather-lightning"), ("snow/ice", "mdi:snowflake"),
+    ("snow", "mdi:snowflake"), ("ice", "mdi:snowflake-melt"), ("frost", "mdi:snowflake-thermometer"), ("rain flood", "mdi:home-flood"),
+    ("flood", "mdi:home-flood"), ("rain", "mdi:weather-pouring"), ("wind", "mdi:weather-windy"), ("gale", "mdi:weather-windy"), ("fog", "mdi:weather-fog"),
+    ("extreme high temp", "mdi:weather-sunny-alert"), ("extreme low temp", "mdi:snowflake-thermometer"),
+    ("high temperature", "mdi:weather-sunny-alert"), ("low temperature", "mdi:snowflake-thermometer"), ("coastal event", "mdi:waves"),
+    ("coastal", "mdi:waves"), ("wave", "mdi:waves"),
 )
 DEFAULT_ICON = "mdi:alert"
-ICON_PREFIX = "mdi:"
 
 VTEC = r"^/[A-Z]\.([A-Z]{3})\.([A-Z]{4})\.([A-Z]{2})\.([A-Z])\.(\d{4})\.(\d{2})\d{4}T\d{4}Z-\d{6}T\d{4}Z/"
 VTEC_FIELDS = ("action", "office", "phenomena", "significance", "tracking", "year")
 GPS = r"^-?\d+\.?\d*\s*,\s*-?\d+\.?\d*$"
 ZONES = r"^[A-Za-z]{2}[CZ]\d{3}(,[A-Za-z]{2}[CZ]\d{3})*$"
-LANGUAGES = tuple("auto bg bs cs da de el en es et fi fr he hr hu is it lt lv me mk mt nl no pl pt ro ru sk sl sr sv uk".split())
+LANGUAGES = (
+    "auto", "bg", "bs", "cs", "da", "de", "el", "en", "es", "et", "fi", "fr", "he", "hr", "hu", "is", "it", "lt", "lv", "me", "mk", "mt", "nl", "no",
+    "pl", "pt", "ro", "ru", "sk", "sl", "sr", "sv", "uk",
+)
 
 TEXT_LIMIT_BYTES, STATE_LIMIT_CHARS, GEOMETRY_LIMIT_CHARS, PAGE_LIMIT = 4096, 255, 5_000_000, 6
 

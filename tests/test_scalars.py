@@ -46,6 +46,8 @@ def test_phases_at_the_very_instant(spark):
     ("written", "want"),
     [
         ("2026-04-20T18:00:00+02:00", datetime(2026, 4, 20, 16, tzinfo=UTC)), ("2026-04-20T18:00:00Z", datetime(2026, 4, 20, 18, tzinfo=UTC)), ("2026-04-20T18:00:00", datetime(2026, 4, 20, 18, tzinfo=UTC)),
+        ("20260420T070000Z", datetime(2026, 4, 20, 7, tzinfo=UTC)), ("2026-W17-1", datetime(2026, 4, 20, tzinfo=UTC)), ("2026W171T0730+0200", datetime(2026, 4, 20, 5, 30, tzinfo=UTC)), ("2025-W53-1", None),
+        ("2026-04-20T07:00:00,5Z", datetime(2026, 4, 20, 7, 0, 0, 500000, tzinfo=UTC)), ("20260420", datetime(2026, 4, 20, tzinfo=UTC)), ("2026-W17", datetime(2026, 4, 20, tzinfo=UTC)), ("202604", None),
         ("2026-04-20", datetime(2026, 4, 20, tzinfo=UTC)), ("2026-04-20 18:30", datetime(2026, 4, 20, 18, 30, tzinfo=UTC)), ("2026-04-20T18:00:00.25-0330", datetime(2026, 4, 20, 21, 30, 0, 250000, tzinfo=UTC)),
         ("2026", None), ("T18:00:00", None), (" 2026-04-20", None), ("2026-13-20", None), ("", None), (None, None), ("soon", None),
     ],
