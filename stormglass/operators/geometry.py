@@ -2,7 +2,8 @@
 
 ``touches`` is an append-only log: ref, geometry, size (characters of the text) and
 touch_seq, growing.  A put appends a row; a read appends one with a null geometry, which
-only makes the entry newer.
+only makes the entry newer.  A store, which ``entries`` makes of a log, is a log too, without what
+was deleted; so ``sync`` takes and gives stores, and nothing that is gone comes back.
 """
 
 from __future__ import annotations
@@ -63,10 +64,10 @@ def evict(store: DataFrame, cap: int = dims.GEOMETRY_LIMIT_CHARS, by: tuple[str,
     return placed.filter(F.col("_run") + F.col("_newer") <= cap).select(store.columns)
 
 
-def sync(store_touches: DataFrame, alerts: DataFrame, seq: Column, provider: str) -> DataFrame:
-    """The store after a poll of ``provider``: the poll's geometries are put, then those of the provider that it lacks go."""
+def sync(store: DataFrame, alerts: DataFrame, seq: Column, provider: str) -> DataFrame:
+    """The store after a poll of ``provider``, from the one before (and touches since): the poll's geometries are put, then those of the provider that it lacks go."""
     new = puts(alerts, seq)
-    return evict(purge(entries(store_touches.unionByName(new)), new.select("ref").distinct(), f"{provider}:"))
+    return evict(purge(entries(store.unionByName(new)), new.select("ref").distinct(), f"{provider}:"))
 
 
 def collections(store: DataFrame) -> DataFrame:

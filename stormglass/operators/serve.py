@@ -26,19 +26,20 @@ def sync_history(current: DataFrame, polls: DataFrame, hydrated: DataFrame) -> D
     ``current`` has (entry_id, poll_seq, id), ``hydrated`` (entry_id, id) what was tracked
     before the first poll; its ids are exempt from removal at that poll alone.
     """
-    ids = current.select("entry_id", "poll_seq", "id").distinct()
-    bounds = polls.groupBy("entry_id").agg(F.min("poll_seq").alias("first_seq"))
-    numbered = polls.select("entry_id", "poll_seq").join(bounds, "entry_id")
-    start = hydrated.join(bounds, "entry_id").select("entry_id", (F.col("first_seq") - 1).alias("poll_seq"), "id")
-    # Exempt ids stay tracked through the first poll.
-    kept = hydrated.join(bounds, "entry_id").select("entry_id", F.col("first_seq").alias("poll_seq"), "id")
-    tracked = ids.unionByName(start).unionByName(kept).distinct()
     order = Window.partitionBy("entry_id").orderBy("poll_seq")
-    spine = numbered.select("entry_id", F.col("poll_seq").alias("next_seq"), F.coalesce(F.lag("poll_seq").over(order), F.col("first_seq") - 1).alias("poll_seq"))
-    before = tracked.join(spine, ["entry_id", "poll_seq"]).select("entry_id", F.col("next_seq").alias("poll_seq"), "id")
-    add = ids.join(before, ["entry_id", "poll_seq", "id"], "left_anti").withColumn("action", F.lit("add"))
-    remove = before.join(tracked, ["entry_id", "poll_seq", "id"], "left_anti").withColumn("action", F.lit("remove"))
-    return add.unionByName(remove)
+    numbers = polls.select("entry_id", "poll_seq").distinct().withColumn("poll_no", F.row_number().over(order))
+    last = numbers.groupBy("entry_id").agg(F.max("poll_no").alias("last_no"))
+    # Exempt ids are tracked before the first poll and through it.
+    kept = hydrated.select("entry_id", "id", F.explode(F.array(F.lit(0), F.lit(1))).alias("poll_no"), F.lit(False).alias("there"))
+    rows = current.join(numbers, ["entry_id", "poll_seq"]).select("entry_id", "id", "poll_no", F.lit(True).alias("there"))
+    tracked = rows.unionByName(kept).join(last, "entry_id").repartition("entry_id", "id").groupBy("entry_id", "id", "poll_no", "last_no").agg(F.max("there").alias("there"))
+    # One shuffle by id: each row looks at the polls before and after it.
+    of_id = Window.partitionBy("entry_id", "id").orderBy("poll_no")
+    comes = F.col("there") & (F.coalesce(F.lag("poll_no").over(of_id), F.lit(-1)) != F.col("poll_no") - 1)
+    goes = (F.coalesce(F.lead("poll_no").over(of_id), F.lit(-1)) != F.col("poll_no") + 1) & (F.col("poll_no") < F.col("last_no"))
+    steps = F.array_compact(F.array(F.when(comes, F.struct("poll_no", F.lit("add").alias("action"))), F.when(goes, F.struct((F.col("poll_no") + 1).alias("poll_no"), F.lit("remove").alias("action")))))
+    found = tracked.select("entry_id", "id", steps.alias("steps")).select("entry_id", "id", F.explode("steps").alias("x")).select("entry_id", "id", "x.poll_no", "x.action")
+    return found.join(numbers, ["entry_id", "poll_no"]).select("entry_id", "poll_seq", "id", "action")
 
 
 def attributes(extra: dict[str, Column] | None = None) -> Column:

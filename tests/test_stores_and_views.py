@@ -136,6 +136,17 @@ def test_store_cycle(spark):
     assert geometry.evict(geometry.entries(log), 3).count() == 0
 
 
+def test_nothing_gone_comes_back(spark):
+    """Three polls of two providers: each works on the store of the one before."""
+    seq = lambda n: F.lit(n).cast("long")
+    rows = lambda *ids: alerts(spark, *({"id": i, "geometry": SQUARE, "geometry_ref": i, "phase": "new"} for i in ids))
+    store = geometry.entries(geometry.puts(rows("nws:a", "nws:b"), seq(1)))
+    store = geometry.sync(store, rows("nws:b"), seq(2), "nws")
+    store = geometry.sync(store, rows("eccc:c"), seq(3), "eccc")
+    assert sorted(r["ref"] for r in store.collect()) == ["eccc:c", "nws:b"]
+
+
+
 def test_entity_sync(spark):
     frame = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
     cases = [("ab", "", "", "ab", ""), ("", "ab", "", "", "ab"), ("ac", "ab", "", "c", "b"), ("", "abc", "abc", "", ""), ("", "abn", "ab", "", "n"), ("", "", "", "", "")]
