@@ -57,24 +57,24 @@ def terminal_inference(spark, sf):
     return raw(spark, sf).select("event_id", classify.last_phase(clock.instant(F.col("expires")), F.col("poll_ts")).alias("last_phase"))
 
 
-@query(f"""WITH x AS (SELECT doc_id, {snapshots._pick_sql(snapshots.PROVIDERS, "doc_id % 3")} AS provider, substr(text, 1, 40) || CASE doc_id % 6 WHEN 0 THEN ' Tornado Warning' WHEN 1 THEN ' snow/ice' WHEN 2 THEN ' COASTAL-event' WHEN 3 THEN ' Frost' ELSE '' END AS event FROM documents),
+@query(f"""WITH x AS (SELECT doc_id, {snapshots._pick_sql(snapshots.PROVIDERS, "doc_id % 3")} AS provider, text || CASE doc_id % 6 WHEN 0 THEN ' Tornado Warning' WHEN 1 THEN ' snow/ice' WHEN 2 THEN ' COASTAL-event' WHEN 3 THEN ' Frost' ELSE '' END AS event FROM documents),
     y AS (SELECT doc_id, provider, CASE WHEN doc_id % 5 = 0 THEN 'Heat Advisory' ELSE event END AS event FROM x)
     SELECT doc_id, {snapshots.icon_sql("provider", "event")} AS icon FROM y""")
 def icon_dispatch(spark, sf):
     d = table(spark, sf, "documents")
     tail = F.element_at(F.array(*map(F.lit, (" Tornado Warning", " snow/ice", " COASTAL-event", " Frost", "", ""))), (F.col("doc_id") % 6 + 1).cast("int"))
-    event = F.when(F.col("doc_id") % 5 == 0, "Heat Advisory").otherwise(F.concat(F.substring("text", 1, 40), tail))
+    event = F.when(F.col("doc_id") % 5 == 0, "Heat Advisory").otherwise(F.concat("text", tail))
     provider = F.get(F.array(*map(F.lit, snapshots.PROVIDERS)), (F.col("doc_id") % 3).cast("int"))
     return d.select("doc_id", classify.icon(provider, event).alias("icon"))
 
 
-_NEEDLE_ROWS = ", ".join(f"({i}, '{n}', '{dims.ICON_PREFIX}{v}')" for i, (n, v) in enumerate(dims.NEEDLES))
+_NEEDLE_ROWS = ", ".join(f"({i}, '{n}', '{v}')" for i, (n, v) in enumerate(dims.NEEDLES))
 
 
 @query(f"""WITH n(pos, needle, icon) AS (VALUES {_NEEDLE_ROWS})
     SELECT doc_id, coalesce(arg_min(icon, pos), '{dims.DEFAULT_ICON}') AS icon FROM documents LEFT JOIN n ON contains(lower(text), needle) GROUP BY doc_id""")
 def icon_theta_join(spark, sf):
-    needles = spark.createDataFrame([(i, n, dims.ICON_PREFIX + v) for i, (n, v) in enumerate(dims.NEEDLES)], "pos int, needle string, icon string")
+    needles = spark.createDataFrame([(i, n, v) for i, (n, v) in enumerate(dims.NEEDLES)], "pos int, needle string, icon string")
     d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
     hits = d.join(F.broadcast(needles), F.contains("low", "needle"), "left")  # 20 rows
     return hits.groupBy("doc_id").agg(F.coalesce(F.min_by("icon", "pos"), F.lit(dims.DEFAULT_ICON)).alias("icon"))
@@ -156,19 +156,19 @@ def category_kv(spark, sf):
     return e.select("event_id", *(text.category_value(terms, k).alias(k) for k in ("event", "code", "missing")))
 
 
-@query("""SELECT conv_id, role, string_agg(v, '; ' ORDER BY turn) AS value FROM (SELECT conv_id, role, turn, substr(text, 1, 20) AS v FROM conversations WHERE length(text) > 0) GROUP BY conv_id, role""")
+@query("""SELECT conv_id, role, string_agg(v, '; ' ORDER BY turn) AS value FROM (SELECT conv_id, role, turn, text AS v FROM conversations WHERE length(text) > 0) GROUP BY conv_id, role""")
 def parameter_flatten(spark, sf):
     c = table(spark, sf, "conversations").filter(F.length("text") > 0)
-    entry = F.struct(F.col("role").alias("valueName"), F.substring("text", 1, 20).alias("value"))
+    entry = F.struct(F.col("role").alias("valueName"), F.col("text").alias("value"))
     lists = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("p")))), lambda x: x["p"]).alias("parameters"))
     flat = lists.select("conv_id", F.explode(text.flatten_parameters(F.col("parameters"))).alias("role", "values"))
     return flat.select("conv_id", "role", F.col("values")[0].alias("value"))
 
 
-@query("""WITH f AS (SELECT conv_id, split_part(text, ' ', 1) AS w, min(turn) AS t FROM conversations GROUP BY ALL)
+@query("""WITH f AS (SELECT conv_id, text AS w, min(turn) AS t FROM conversations GROUP BY ALL)
     SELECT conv_id, coalesce(string_agg(w, ', ' ORDER BY t) FILTER (w <> ''), '') AS area_desc FROM f GROUP BY conv_id""")
 def area_join_distinct(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.substring_index("text", " ", 1).alias("w"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("w"))
     area = F.struct(F.col("w").alias("areaDesc"))
     lists = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", area.alias("a")))), lambda x: x["a"]).alias("areas"))
     return lists.select("conv_id", text.join_areas(F.col("areas")).alias("area_desc"))
@@ -305,7 +305,7 @@ def snapshot_dedup_last(spark, sf):
 
 
 def _events(spark, sf):
-    return lifecycle.events(normalised(spark, sf), polls(spark))
+    return lifecycle.events(normalised(spark, sf), polls(spark, sf))
 
 
 _EVENT_COLUMNS = ("poll_seq", "event_type", "event_seq", "incident_id", "event", "severity", "phase", "phase_changed", "changed_fields", "area_desc")
@@ -325,19 +325,20 @@ def changed_fields(spark, sf):
 
 @query(f"WITH {EVENTS_SQL} SELECT poll_seq, incident_id, phase FROM e WHERE nid IS NULL")
 def silent_removals(spark, sf):
-    rows = lifecycle.diff(normalised(spark, sf), polls(spark)).filter("new is null")
+    rows = lifecycle.diff(normalised(spark, sf), polls(spark, sf)).filter("new is null")
     return rows.select("poll_seq", F.col("id").alias("incident_id"), classify.last_phase(clock.instant(F.col("old.expires")), F.col("poll_ts")).alias("phase"))
 
 
 @query(f"WITH {EVENTS_SQL} SELECT poll_seq, incident_id, phase FROM e WHERE oid IS NULL AND event_type = 'incident_removed'")
 def removed_first_sight(spark, sf):
-    rows = lifecycle.diff(normalised(spark, sf), polls(spark)).filter(F.col("old").isNull() & classify.is_terminal(F.col("new.phase")))
+    rows = lifecycle.diff(normalised(spark, sf), polls(spark, sf)).filter(F.col("old").isNull() & classify.is_terminal(F.col("new.phase")))
     return rows.select("poll_seq", F.col("id").alias("incident_id"), F.col("new.phase").alias("phase"))
 
 
 @query(f"WITH {EVENTS_SQL} SELECT n.poll_seq, n.id, n.phase, coalesce(o.phase, '') AS previous_phase, coalesce(o.phase, '') <> n.phase AS phase_changed FROM d n LEFT JOIN d o ON o.id = n.id AND o.poll_seq = n.poll_seq - 1 AND o.phase NOT IN ('cancel', 'expired') WHERE n.phase NOT IN ('cancel', 'expired')")
 def active_state(spark, sf):
-    return lifecycle.active(normalised(spark, sf), polls(spark)).select("poll_seq", "id", "phase", "previous_phase", "phase_changed")
+    rows = normalised(spark, sf).select(*lifecycle.KEY, "ordinal", *lifecycle.CARRIED)
+    return lifecycle.active(rows, polls(spark, sf)).select("poll_seq", "id", "phase", "previous_phase", "phase_changed")
 
 
 _HYDRATED = 20
@@ -346,17 +347,17 @@ _HYDRATED = 20
 @query(f"""WITH {SNAPSHOT_SQL}, cur AS (SELECT poll_seq, id FROM d WHERE phase NOT IN ('cancel', 'expired')),
     tracked AS (SELECT poll_seq, id FROM cur UNION SELECT p, CAST(u AS VARCHAR) FROM generate_series(0, {_HYDRATED - 1}) AS a(u), (VALUES (-1), (0)) AS b(p)),
     a AS (SELECT c.poll_seq, c.id FROM cur c ANTI JOIN tracked t ON t.id = c.id AND t.poll_seq = c.poll_seq - 1),
-    r AS (SELECT t.poll_seq + 1 AS poll_seq, t.id FROM tracked t ANTI JOIN tracked c ON c.id = t.id AND c.poll_seq = t.poll_seq + 1 WHERE t.poll_seq + 1 < 30)
+    r AS (SELECT t.poll_seq + 1 AS poll_seq, t.id FROM tracked t ANTI JOIN tracked c ON c.id = t.id AND c.poll_seq = t.poll_seq + 1 WHERE t.poll_seq + 1 <= (SELECT max(poll_seq) FROM ev))
     SELECT poll_seq, id, 'add' AS action FROM a UNION ALL SELECT poll_seq, id, 'remove' FROM r""")
 def entity_sync(spark, sf):
-    current = lifecycle.active(normalised(spark, sf), polls(spark))
+    current = lifecycle.active(normalised(spark, sf).select(*lifecycle.KEY, "ordinal", *lifecycle.CARRIED), polls(spark, sf))
     hydrated = spark.range(_HYDRATED).select(F.lit("e1").alias("entry_id"), F.col("id").cast("string").alias("id"))
-    return serve.sync_history(current, polls(spark), hydrated).select("poll_seq", "id", "action")
+    return serve.sync_history(current, polls(spark, sf), hydrated).select("poll_seq", "id", "action")
 
 
-@query(f"WITH {SNAPSHOT_SQL} SELECT p.poll_seq, count(d.id) AS active_count FROM (SELECT unnest(range(30)) AS poll_seq) p LEFT JOIN d ON d.poll_seq = p.poll_seq AND d.phase NOT IN ('cancel', 'expired') GROUP BY 1")
+@query(f"WITH {SNAPSHOT_SQL} SELECT p.poll_seq, count(d.id) AS active_count FROM (SELECT unnest(range((SELECT max(poll_seq) + 1 FROM ev))) AS poll_seq) p LEFT JOIN d ON d.poll_seq = p.poll_seq AND d.phase NOT IN ('cancel', 'expired') GROUP BY 1")
 def active_count_per_poll(spark, sf):
-    return serve.counts(lifecycle.active(normalised(spark, sf), polls(spark)), polls(spark)).select("poll_seq", "active_count")
+    return serve.counts(lifecycle.active(normalised(spark, sf).select(*lifecycle.KEY, "ordinal", *lifecycle.CARRIED), polls(spark, sf)), polls(spark, sf)).select("poll_seq", "active_count")
 
 
 @query("SELECT user_id, max(ts) FILTER (event_type <> 'error') AS last_updated FROM events GROUP BY user_id")
@@ -437,12 +438,13 @@ def provider_union(spark, sf):
 
 @query(_LIFECYCLE_SQL)
 def streaming_lifecycle(spark, sf):
-    """The stream's events: 30 polls replayed as files, ten polls a micro-batch."""
+    """The stream's events: daily polls replayed as files, ten polls a micro-batch."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stormglass-")
     folder = f"{base.rstrip('/')}/replay-{uuid.uuid4()}"
     rows = normalised(spark, sf).select("entry_id", "poll_seq", "poll_ts", "ordinal", "id", *lifecycle.CARRIED).withColumn("is_marker", F.lit(False))
-    replay = rows.unionByName(polls(spark).withColumn("is_marker", F.lit(True)), allowMissingColumns=True)
-    for first in range(0, 30, 10):  # a poll may be many files, so polls bound a micro-batch and not files
+    replay = rows.unionByName(polls(spark, sf).withColumn("is_marker", F.lit(True)), allowMissingColumns=True)
+    n_polls = polls(spark, sf).count()
+    for first in range(0, n_polls, 10):  # a poll may be many files, so polls bound a micro-batch and not files
         replay.filter(F.col("poll_seq").between(first, first + 9)).write.mode("append").parquet(f"{folder}/in")
         source = spark.readStream.schema(replay.schema).parquet(f"{folder}/in")
         stream.drain(stream.events(source), f"{folder}/out", f"{folder}/state")

@@ -62,10 +62,12 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize(raw(spark, sf_dir))
 
 
-def polls(spark: SparkSession) -> DataFrame:
-    """The 30 daily polls."""
+def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A poll for each day up to the last event's."""
     day = F.lit("2024-01-01T00:00:00+00:00").cast("timestamp")
-    return spark.range(30).select(F.lit("e1").alias("entry_id"), F.col("id").alias("poll_seq"), (day + F.make_dt_interval(F.lit(0), ((F.col("id") + 1) * 24).cast("int"))).alias("poll_ts"))
+    last = table(spark, sf_dir, "events").agg(F.max(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))).alias("last")).filter("last >= 0")
+    days = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("n"))
+    return days.select(F.lit("e1").alias("entry_id"), F.col("n").alias("poll_seq"), (day + F.make_dt_interval(F.lit(0), ((F.col("n") + 1) * 24).cast("int"))).alias("poll_ts"))
 
 
 def case_sql(x: str, values: dict[str, str], other: str = "NULL") -> str:
@@ -77,12 +79,12 @@ def _pick_sql(values: tuple[str, ...], n: str) -> str:
 
 
 def needles_sql(x: str, needles: tuple[tuple[str, str], ...]) -> str:
-    return "CASE " + " ".join(f"WHEN contains({x}, '{n}') THEN '{dims.ICON_PREFIX}{i}'" for n, i in needles) + " END"
+    return "CASE " + " ".join(f"WHEN contains({x}, '{n}') THEN '{i}'" for n, i in needles) + " END"
 
 
 def icon_sql(provider: str, event: str) -> str:
     name = f"lower(trim({event}))"
-    exact = case_sql(name, {k: dims.ICON_PREFIX + v for k, v in dims.EXACT_ICONS.items()})
+    exact = case_sql(name, dims.EXACT_ICONS)
     listed = needles_sql(name, dims.NEEDLES)
     return (
         f"coalesce(CASE WHEN {name} = '' THEN NULL WHEN {provider} = 'nws' THEN coalesce({exact}, {listed}) "
@@ -120,7 +122,7 @@ EVENTS_SQL = f"""{SNAPSHOT_SQL},
             coalesce(n.event, o.event) AS event, coalesce(n.severity_normalized, o.severity_normalized) AS severity, coalesce(n.area_desc, o.area_desc) AS area_desc, n.ordinal AS n_at, o.ordinal AS o_at,
             CASE WHEN n.id IS NULL OR o.id IS NULL THEN '' ELSE ltrim({_DIFFERS}, ',') END AS changed_fields
         FROM (SELECT * FROM d WHERE phase NOT IN ('cancel', 'expired')) o FULL OUTER JOIN d n ON n.id = o.id AND n.poll_seq = o.poll_seq + 1
-        WHERE coalesce(n.poll_seq, o.poll_seq + 1) < 30),
+        WHERE coalesce(n.poll_seq, o.poll_seq + 1) <= (SELECT max(poll_seq) FROM ev)),
     e0 AS (
         SELECT *, CASE WHEN nid IS NULL OR np IN ('cancel', 'expired') THEN 'incident_removed' WHEN oid IS NULL THEN 'incident_created' WHEN changed_fields <> '' THEN 'incident_updated' END AS event_type,
             CASE WHEN nid IS NULL THEN CASE WHEN (poll_seq + 1) * 24 >= oh THEN 'expired' ELSE 'cancel' END ELSE np END AS phase FROM j),
