@@ -1,34 +1,20 @@
-"""All registered queries.  ``@query(sql)`` adds a function under its own name."""
+"""Queries of the scalars, the lifecycle and the views; those of whole feed documents are in ``feed_queries``."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import checks, classify, clock, dims, geo, ident, text
 from ..operators import geometry, lifecycle, locate, serve
 from ..streaming import lifecycle as stream
-from . import snapshots
+from . import feed_queries, snapshots  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .snapshots import EVENTS_SQL, SNAPSHOT_SQL, normalised, polls, raw, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Normalisation
 
 
