@@ -4,16 +4,18 @@ Records are serialised as WARC/1.1 response records and hashed.  A file holds th
 pages of a range of ids; its records lie in order of id, and each has an offset, the
 sum of the lengths before it.  Records are the leaves of a tree, whose nodes cover
 ranges of ids in order, FANOUT children a node, up to one root a file; a node's hash
-covers its children's hashes in order, and a node knows the range of offsets below
-it.  The audit compares roots of two replicas and descends only into nodes that
+covers its children's hashes and offset ranges in order.  The audit compares roots of two replicas and descends only into nodes that
 differ, level by level, down to records.
 
 Ranges are cut by id, not by count, so a lost record changes one branch and not all
 that follow.  Everything is built-in functions; only ids, lengths and hashes are
 shuffled.
 
-Cases: a null html or url is an empty one; rows with a null id belong to a file of their own;
-equal ids in one replica are one leaf of all their records, in order of hash;
+Cases: a null html or url is an empty one; records with a null id belong to a file of their own,
+spread over its leaves by their hashes, so that an altered one is missing from one leaf and extra in
+another, or changes both where other records share them; records that share an id (or such a leaf) in one
+replica are one leaf, hashed from their number and the sums of their hashes' pieces, so that no list of
+them is gathered;
 a record that one replica lacks is reported as missing or extra; empty replicas have
 no roots; other columns are ignored.
 """
@@ -51,15 +53,14 @@ def leaves(pages: DataFrame) -> DataFrame:
     """One row for each id: file_no, slot (its place in the file's range), page_id, offset, length and hash."""
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
     hashed = pages.select(F.col("page_id").cast("long").alias("page_id"), record.alias("record")).select("page_id", F.sha2("record", 256).alias("record_hash"), F.octet_length("record").cast("long").alias("length"))
-    by_id = hashed.groupBy("page_id").agg(F.array_sort(F.collect_list("record_hash")).alias("hashes"), F.sum("length").alias("length"))
+    spread = F.conv(F.substring("record_hash", 1, 3), 16, 10).cast("long")
+    slot = F.coalesce(F.pmod("page_id", F.lit(FILE_IDS)), spread).cast("int")
+    piece = lambda i: F.conv(F.substring("record_hash", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")
+    sums = [F.sum(piece(i)).alias(f"sum_{i}") for i in range(4)]
+    by_id = hashed.groupBy("page_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.min("record_hash").alias("least"), *sums, F.sum("length").alias("length"))
     file_no = F.coalesce(F.floor(F.col("page_id") / FILE_IDS), F.lit(NO_ID_FILE)).cast("long")
-    placed = by_id.select(
-        file_no.alias("file_no"),
-        F.coalesce(F.pmod("page_id", F.lit(FILE_IDS)), F.lit(0)).cast("int").alias("slot"),
-        "page_id",
-        "length",
-        F.when(F.size("hashes") == 1, F.col("hashes")[0]).otherwise(F.sha2(F.array_join("hashes", ""), 256)).alias("hash"),
-    )
+    several = F.sha2(F.concat_ws(":", "n", *(f"sum_{i}" for i in range(4))), 256)
+    placed = by_id.select(file_no.alias("file_no"), "slot", "page_id", "length", F.when(F.col("n") == 1, F.col("least")).otherwise(several).alias("hash"))
     before = Window.partitionBy("file_no").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
@@ -70,12 +71,11 @@ def tree(leaf_rows: DataFrame) -> list[DataFrame]:
     out = [level]
     for _ in range(LEVELS):
         parent = F.floor(F.col("node") / FANOUT).cast("int").alias("node")
-        kids = F.array_sort(F.collect_list(F.struct("child", "hash")))
-        level = (
-            level.select("file_no", parent, F.col("node").alias("child"), "hash", "lo", "hi")
-            .groupBy("file_no", "node")
-            .agg(F.sha2(F.array_join(F.transform(kids, lambda x: F.concat(x["child"].cast("string"), F.lit(":"), x["hash"])), ";"), 256).alias("hash"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        )
+        kids = F.array_sort(F.collect_list(F.struct("child", "hash", "lo", "hi"))).alias("kids")
+        nodes = level.select("file_no", parent, F.col("node").alias("child"), "hash", "lo", "hi").groupBy("file_no", "node").agg(kids, F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        # Ranges count from the node's own begin, so that what is lost before it leaves the node as it is.
+        covered = F.transform("kids", lambda x: F.concat_ws(":", x["child"], x["lo"] - F.col("lo"), x["hi"] - F.col("lo"), x["hash"]))
+        level = nodes.select("file_no", "node", F.sha2(F.array_join(covered, ";"), 256).alias("hash"), "lo", "hi")
         level = cut(level)
         out.append(level)
     return out

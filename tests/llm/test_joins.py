@@ -202,7 +202,7 @@ def test_merkle_audit(spark):
     damaged = [(i, u, (h or "") + "!") if i in (0, 300, None) else (i, u, h) for i, u, h in damaged] + [(20_000, "new", "")]
     b = spark.createDataFrame([(*p, 2) for p in damaged], names)
     got = {(r["page_id"], r["status"]) for r in warc_fixity.audit(a, b).collect()}
-    assert got == {(12, "missing"), (4098, "missing"), (8997, "missing"), (0, "changed"), (300, "changed"), (None, "changed"), (20_000, "extra")}
+    assert got == {(12, "missing"), (4098, "missing"), (8997, "missing"), (0, "changed"), (300, "changed"), (None, "missing"), (None, "extra"), (20_000, "extra")}
     found = {r["page_id"]: r for r in warc_fixity.audit(a, b).collect()}
     record = lambda i, u, h: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Target-URI: {u}\r\nContent-Type: text/html\r\nContent-Length: {len(h)}\r\n\r\n{h}\r\n\r\n"
     assert found[300]["hash_a"] == hashlib.sha256(record(300, "http://h/300", "<p>300</p>").encode()).hexdigest()
@@ -213,6 +213,24 @@ def test_merkle_audit(spark):
     assert {r["status"] for r in warc_fixity.audit(a, nothing).collect()} == {"missing"} and warc_fixity.audit(nothing, a).count() == len(pages) - 1
 
 
+def test_merkle_audit_of_shared_ids(spark):
+    names = "page_id long, url string, html string"
+    rows = [(None, "u", str(i)) for i in range(300)] + [(None, "u", "same")] * 40 + [(7, "u", str(i)) for i in range(50)] + [(7, "u", "twice")] * 2
+    a = spark.createDataFrame(rows, names)
+    assert warc_fixity.audit(a, a.repartition(5)).count() == 0
+    found = lambda b: sorted((r["page_id"] or 0, r["status"]) for r in warc_fixity.audit(a, spark.createDataFrame(b, names)).collect())
+    assert found(rows[:-1]) == [(7, "changed")]
+    assert len(found([*rows[:300], *rows[301:]])) == 1  # one copy of 40 lost
+    altered = found([(None, "u", "other"), *rows[1:]])
+    assert len(altered) == 2 and {k for k, _ in altered} == {0}
+
+
+def test_roots_cover_offset_ranges(spark):
+    leaf = lambda *cuts: spark.createDataFrame([(0, i, i, lo, hi - lo, f"h{i}") for i, (lo, hi) in enumerate(zip((0, *cuts), (*cuts, 100), strict=True))], "file_no long, slot int, page_id long, offset long, length long, hash string")
+    root = lambda rows: warc_fixity.tree(rows)[-1].first()["hash"]
+    assert root(leaf(10, 20)) == root(leaf(10, 20)) != root(leaf(10, 21))
+
+
 def test_roots_differ_only_where_leaves_do(spark):
     pages = spark.createDataFrame([(i, "u", str(i)) for i in range(0, 20_000, 7)], "page_id long, url string, html string")
     changed = pages.withColumn("html", F.when(F.col("page_id") == 700, "other").otherwise(F.col("html")))
