@@ -4,7 +4,7 @@ Each tree halves the space at hyperplanes between two random sample points, at t
 median, ``DEPTH`` times.  Hyperplanes are fitted on a bounded sample; every row is
 indexed under its leaf in every tree.  A query walks all trees through one priority
 queue, ordered by the squared distance to the hyperplanes crossed so far, until it
-has opened ``OPEN_SHARE`` of all leaves, and candidates in the opened leaves are ranked
+has opened ``OPEN_SHARE`` of all leaves (``LEAST_OPEN`` at least), and candidates in the opened leaves are ranked
 by their exact cosine in double precision.
 
 Leaves lie in buckets of bounded size, which are joined with the queries that open
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 
 #: Trees, deepest level, rows that hyperplanes are fitted on, sample rows in a leaf, share of leaves that a query opens.
 TREES, DEPTH, SAMPLE_ROWS, LEAF_ROWS, OPEN_SHARE = 12, 11, 20_000, 8, 0.06
+#: Leaves that a query opens at least: in small tables a share of the few leaves there are finds too little.
+LEAST_OPEN = 300
 #: Bytes of vectors in a bucket of leaves, queries in a block.
 BUCKET_BYTES, BLOCK_QUERIES = 8_000_000, 20_000
 
@@ -129,7 +131,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
     n_leaves = 2**forest.depth
     per_tree = min(n_leaves, max(2, -(-n * 8 * dim // BUCKET_BYTES)))
     blocks = max(1, -(-n_asked // BLOCK_QUERIES))
-    n_open = max(TREES, int(np.ceil(open_share * TREES * n_leaves)))
+    n_open = max(LEAST_OPEN, int(np.ceil(open_share * TREES * n_leaves)))
     key = pa.int32()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
