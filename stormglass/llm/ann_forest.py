@@ -7,10 +7,13 @@ queue, ordered by the squared distance to the hyperplanes crossed so far, until
 has opened ``OPEN_SHARE`` of all leaves (``LEAST_OPEN`` at least), and candidates in the opened leaves are ranked
 by their exact cosine in double precision.
 
-Leaves lie in buckets of bounded size, which are joined with the queries that open
-any of them; queries come in blocks.  Equal vectors are one entry with their k + 1
-smallest ids, which is all that a query for k can need, so a vector that many rows
-share makes no large leaf.
+Rows and queries meet in buckets: leaves of one tree that hold ``BUCKET_BYTES`` of
+vectors together, by the counted size of each leaf.  A larger leaf (many nearly equal
+vectors) is dealt over several buckets by a hash, and its queries go to all of them.
+In each partition a bucket's rows come before its queries, so a task holds one
+bucket and lets the queries pass, however many they are.  Equal vectors are one entry
+with their k + 1 smallest ids, which is all that a query for k can need, and a bucket
+gives k + 1 entries a query, so many equal or scaled copies make no large result.
 
 On vectors without any structure (such as random directions) the recall of 0.9
 takes several hundredths of all leaf entries; on clustered ones a much smaller
@@ -30,17 +33,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
+
+from .common import cut, mix
 
 #: Trees, deepest level, rows that hyperplanes are fitted on, sample rows in a leaf, share of leaves that a query opens.
 TREES, DEPTH, SAMPLE_ROWS, LEAF_ROWS, OPEN_SHARE = 12, 11, 20_000, 8, 0.06
 #: Leaves that a query opens at least: in small tables a share of the few leaves there are finds too little.
 LEAST_OPEN = 300
-#: Bytes of vectors in a bucket of leaves, queries in a block.
-BUCKET_BYTES, BLOCK_QUERIES = 8_000_000, 20_000
+#: Bytes of vectors in a bucket of leaves, partitions that buckets are dealt to at most.
+BUCKET_BYTES, MAX_PARTITIONS = 8_000_000, 20_000
 
 
 @dataclass
@@ -112,77 +117,145 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def assign_buckets(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For leaves (tree, leaf) of given sizes: first bucket and number of buckets, of at most 2 * ``rows`` entries of one tree each."""
+    shares = np.maximum(1, -(-sizes // rows))
+    small = np.where(shares > 1, 0, sizes)
+    at = (np.cumsum(small, axis=1) - small) // rows
+    first = at + np.arange(len(sizes))[:, None] * (at.max(initial=0) + 1)
+    large = shares > 1
+    ends = np.cumsum(shares[large])
+    first[large] = first.max(initial=-1) + 1 + ends - shares[large]
+    return first, shares
+
+
+def vectors(column: pa.Array) -> np.ndarray:
+    """Arrow lists of one length as unit vectors in double precision."""
+    return unit(column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1))
+
+
+class Bucket:
+    """The entries of one bucket, which come in the order of their leaves."""
+
+    def __init__(self, parts: list[pa.RecordBatch]) -> None:
+        self.x = np.concatenate([vectors(p["v"]) for p in parts])
+        self.ids = pa.concat_arrays([p["ids"] for p in parts])
+        self.first_id = pa.concat_arrays([p["ids"].flatten().take(pa.array(p["ids"].offsets.to_numpy()[:-1] - p["ids"].offsets[0].as_py())) for p in parts]).to_numpy()
+        self.leaf = np.concatenate([p["leaf"].to_numpy() for p in parts])
+
+    def nearest(self, asked: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Position of each query, its n best entries in the leaves that it opens, and their scores."""
+        for i, (q, leaves) in enumerate(zip(vectors(asked["v"]), asked["leaves"].to_pylist(), strict=True)):
+            begin, end = np.searchsorted(self.leaf, leaves), np.searchsorted(self.leaf, leaves, "right")
+            at = np.concatenate([np.arange(lo, hi) for lo, hi in zip(begin, end, strict=True)])
+            if len(at):
+                score = self.x[at] @ q
+                if len(at) > n:
+                    # Scores that are equal to 12 places are ties, of which the smaller ids stay.
+                    fair = np.flatnonzero(score >= np.partition(score, -n)[-n] - 2e-12)
+                    best = fair[np.lexsort((self.first_id[at[fair]], -np.round(score[fair], 12)))[:n]]
+                    at, score = at[best], score[best]
+                yield i, at, score
+
+
 def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", open_share: float = OPEN_SHARE) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found in ``df`` for each row of ``queries``, its own id left out."""
     spark = df.sparkSession
-    named = lambda x: x.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    single = all(x.schema[vector_col].dataType == ArrayType(FloatType(), x.schema[vector_col].dataType.containsNull) for x in (df, queries))
+    kind = "array<float>" if single else "array<double>"
+    named = lambda x: x.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     rows = named(df)
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim, n = sizes[0] if sizes else (1, 0)
+    dim = sizes[0]["dim"] if sizes else 1
     rows = rows.filter(F.size("v") == dim)
     # Equal vectors are one entry; the limit on row_number() is applied before the shuffle too.
     first = Window.partitionBy("v").orderBy("vec_id")
-    entries = rows.distinct().withColumn("at", F.row_number().over(first)).filter(F.col("at") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    entries = cut(rows.distinct().withColumn("at", F.row_number().over(first)).filter(F.col("at") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     asked = named(queries).filter(F.size("v") == dim).distinct()
     n_asked = asked.count()
     sample = entries.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
-    forest = plant(unit(np.stack(list(sample))) if len(sample) else np.zeros((0, dim)))
+    forest = plant(unit(np.stack(list(sample)).astype(np.float64)) if len(sample) else np.zeros((0, dim)))
     sent = spark.sparkContext.broadcast(forest)
     n_leaves = 2**forest.depth
-    per_tree = min(n_leaves, max(2, -(-n * 8 * dim // BUCKET_BYTES)))
-    blocks = max(1, -(-n_asked // BLOCK_QUERIES))
     n_open = max(LEAST_OPEN, int(np.ceil(open_share * TREES * n_leaves)))
     key = pa.int32()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """An entry's leaf in each tree, as (bucket, leaf)."""
+        """An entry's leaf in each tree; leaves are numbered through all trees."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(np.stack(batch["v"].to_numpy(zero_copy_only=False)))
-            leaf = sent.value.leaves(x)
-            bucket = np.arange(TREES) * per_tree + leaf * per_tree // n_leaves
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(bucket), pa.list_(key)), pa.array(list(leaf), pa.list_(key))], names=["v", "ids", "buckets", "leaves"])
+            if batch.num_rows:
+                leaf = sent.value.leaves(vectors(batch["v"])) + np.arange(TREES) * n_leaves
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(leaf), pa.list_(key))], names=["v", "ids", "leaves"])
+
+    placed = entries.mapInArrow(place, f"v {kind}, ids array<long>, leaves array<int>")
+    placed = cut(placed)
+    found = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().toPandas()
+    size = np.zeros(TREES * n_leaves, np.int64)
+    size[found["leaf"]] = found["count"]
+    n = int(size[:n_leaves].sum())
+    first_bucket, shares = (x.ravel() for x in assign_buckets(size.reshape(TREES, n_leaves), max(1, min(BUCKET_BYTES // (8 * dim), -(-n // 2)))))
+    where = spark.sparkContext.broadcast((first_bucket, shares))
+    n_buckets = int((first_bucket + shares).max())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each entry and tree, with its bucket; entries of a large leaf are dealt by their smallest id."""
+        begin, share = where.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                leaf = part["leaves"].flatten().to_numpy()
+                src = np.repeat(np.arange(part.num_rows), TREES)
+                salt = mix(np.array([ids[0] for ids in part["ids"].to_pylist()], np.int64).view(np.uint64))[src] % share[leaf].astype(np.uint64)
+                bucket = begin[leaf] + salt.astype(np.int64)
+                src = pa.array(src)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, key), pa.array(leaf, key), part["v"].take(src), part["ids"].take(src)], names=["bucket", "leaf", "v", "ids"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each query and bucket, with the leaves that it opens there."""
+        begin, share = where.value
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                out: list[tuple] = []
-                for i, (vec_id, v, q) in enumerate(zip(part["vec_id"].to_pylist(), part["v"], unit(np.stack(part["v"].to_numpy(zero_copy_only=False))), strict=True)):
-                    opened: dict[int, list[int]] = {}
+                ids, src, to, opened = [], [], [], []
+                for i, (vec_id, q) in enumerate(zip(part["vec_id"].to_pylist(), vectors(part["v"]), strict=True)):
+                    there: dict[int, list[int]] = {}
                     for t, leaf in sent.value.nearest_leaves(q, n_open):
-                        opened.setdefault(t * per_tree + leaf * per_tree // n_leaves, []).append(leaf)
-                    out += [(vec_id, i, b, ls) for b, ls in opened.items()]
-                    del v
-                ids, src, bs, ls = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), part["v"].take(pa.array(src)), pa.array(bs, key), pa.array(ls, pa.list_(key))], names=["query_id", "v", "bucket", "leaves"])
-
-    def rank(there: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        """The k best entries of a bucket's opened leaves, for each query."""
-        out: list[tuple] = []
-        if len(there) and len(asked):
-            there = there.sort_values("leaf", kind="stable")
-            x = unit(np.stack(there["v"].to_list()))
-            ids = there["ids"].to_list()
-            begin = np.searchsorted(there["leaf"].to_numpy(), np.arange(n_leaves + 1))
-            queries = unit(np.stack(asked["v"].to_list()))
-            for query_id, q, leaves in zip(asked["query_id"], queries, asked["leaves"], strict=True):
-                at = np.concatenate([np.arange(begin[j], begin[j + 1]) for j in leaves])
-                if len(at):
-                    score = x[at] @ q
-                    # Entries that tie with the last are kept: ids decide at the end.
-                    least = np.partition(score, -k - 1)[-k - 1] - 2e-12 if len(score) > k + 1 else -2
-                    out += [(query_id, ids[at[j]], float(score[j])) for j in np.flatnonzero(score >= least)]
-        return pd.DataFrame(out, columns=["query_id", "ids", "score"])
-
-    index = entries.mapInArrow(place, "v array<double>, ids array<long>, buckets array<int>, leaves array<int>")
-    index = index.select("v", "ids", F.explode(F.arrays_zip("buckets", "leaves")).alias("x"), F.sequence(F.lit(0), F.lit(blocks - 1)).alias("block"))
-    index = index.select("v", "ids", F.col("x.buckets").alias("bucket"), F.col("x.leaves").alias("leaf"), F.explode("block").alias("block"))
-    walks = asked.repartition(max(1, n_asked // 64 + 1) if n_asked < 4096 else 64 * blocks).mapInArrow(walk, "query_id long, v array<double>, bucket int, leaves array<int>")
-    walks = walks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    found = index.groupBy("bucket", "block").cogroup(walks.groupBy("bucket", "block")).applyInPandas(rank, "query_id long, ids array<long>, score double")
+                        leaf += t * n_leaves
+                        for b in range(begin[leaf], begin[leaf] + share[leaf]):
+                            there.setdefault(b, []).append(leaf)
+                    ids += [vec_id] * len(there)
+                    src += [i] * len(there)
+                    to += there.keys()
+                    opened += there.values()
+                yield pa.RecordBatch.from_arrays([pa.array(to, key), pa.array(ids, pa.int64()), part["v"].take(pa.array(src, pa.int64())), pa.array(opened, pa.list_(key))], names=["bucket", "query_id", "v", "leaves"])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best entries of each bucket for each query that opens leaves there."""
+        number, parts, held = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, asks = batch["bucket"].to_numpy(), batch["query_id"].is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((bucket[1:] != bucket[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(bucket)], strict=True):
+                if bucket[lo] != number:
+                    number, parts, held = bucket[lo], [], None
+                if not asks[lo]:
+                    parts.append(batch.slice(lo, hi - lo))
+                elif parts:
+                    held = held or Bucket(parts)
+                    for at in range(lo, hi, 256):
+                        part = batch.slice(at, min(256, hi - at))
+                        best = list(held.nearest(part, k + 1))
+                        if best:
+                            src, which, score = np.concatenate([np.full(len(x), i) for i, x, _ in best]), np.concatenate([x for _, x, _ in best]), np.concatenate([x for _, _, x in best])
+                            yield pa.RecordBatch.from_arrays([part["query_id"].take(pa.array(src)), held.ids.take(pa.array(which)), pa.array(score)], names=["query_id", "ids", "score"])
+
+    index = placed.mapInArrow(deal, f"bucket int, leaf int, v {kind}, ids array<long>")
+    walks = asked.repartition(max(1, min(MAX_PARTITIONS, n_asked // 64 + 1))).mapInArrow(walk, f"bucket int, query_id long, v {kind}, leaves array<int>")
+    meet = index.unionByName(walks, allowMissingColumns=True).repartitionById(min(MAX_PARTITIONS, n_buckets), F.col("bucket") % MAX_PARTITIONS)
+    # Null query ids come first: the rows of a bucket, by leaf.
+    found = meet.sortWithinPartitions("bucket", "query_id", "leaf").mapInArrow(rank, "query_id long, ids array<long>, score double")
     pairs = found.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     # Cosines of scaled copies of one vector differ in their last bits only, and are ties.
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")

@@ -262,7 +262,22 @@ def exact(vectors, query, k=5):
     return sorted(((-round(s, 12), i) for i, s in score.items()))[:k]
 
 
-def test_search_with_all_leaves_is_exact(spark):
+def test_buckets_are_of_bounded_size():
+    sizes = np.array([[3, 0, 4, 25, 2, 9], [10, 11, 0, 0, 7, 1]])
+    first, shares = ann_forest.assign_buckets(sizes, 10)
+    assert shares.tolist() == [[1, 1, 1, 3, 1, 1], [1, 2, 1, 1, 1, 1]]
+    held: dict[int, list] = {}
+    for (tree, leaf), n in np.ndenumerate(sizes):
+        for b in range(first[tree, leaf], first[tree, leaf] + shares[tree, leaf]):
+            held.setdefault(b, []).append((tree, -(-n // shares[tree, leaf]), shares[tree, leaf]))
+    for there in held.values():
+        assert len({tree for tree, *_ in there}) == 1 and sum(n for _, n, _ in there) <= 20
+        assert len(there) == 1 or all(s == 1 for *_, s in there)
+
+
+@pytest.mark.parametrize("bucket_bytes", [ann_forest.BUCKET_BYTES, 8 * 6 * 7])
+def test_search_with_all_leaves_is_exact(spark, monkeypatch, bucket_bytes):
+    monkeypatch.setattr(ann_forest, "BUCKET_BYTES", bucket_bytes)
     rng = np.random.default_rng(2)
     vectors = {i: rng.normal(size=6).round(1).tolist() for i in range(400)} | {i: [1.0, 2.0, 0.0, 0.0, 0.0, 1.0] for i in range(400, 460)}
     df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").withColumn("embedding", F.col("embedding").cast("array<double>"))
@@ -304,7 +319,10 @@ def test_recall_on_the_table(spark, monkeypatch, sample_rows):
     assert total >= 200 and hits / total >= 0.95
 
 
-def test_search_orders_scaled_copies_by_id(spark):
+@pytest.mark.parametrize("bucket_bytes", [ann_forest.BUCKET_BYTES, 8 * 7 * 10])
+def test_search_orders_scaled_copies_by_id(spark, monkeypatch, bucket_bytes):
+    """Leaves of more scaled copies than a bucket holds are dealt over several."""
+    monkeypatch.setattr(ann_forest, "BUCKET_BYTES", bucket_bytes)
     rng = np.random.default_rng(9)
     base = rng.normal(size=(30, 7))
     vectors = {i: (base[i % 30] * (1.0, 3.0, 0.7, 11.0)[i % 4]).tolist() for i in rng.permutation(600).tolist()}
