@@ -5,7 +5,9 @@ pre-tokenise apart from each other.  Chunk 0 starts at a true boundary, so all
 its boundaries are true; a later chunk starts anywhere, but once one of its
 boundaries meets a true one, all that follow are true, because the pattern only
 looks ahead.  Chunks are stitched at the first boundary that both neighbours have
-in their overlap, and the pieces between the stitches are encoded.  A text with a
+in their overlap, and the pieces between the stitches are encoded.  Chunks are written
+once; only boundaries are brought together by text, so that one very long text stays
+the work of many tasks until its ids are put in a row.  A text with a
 seam that never resynchronises (a run of one character class that is longer than
 the overlap) is encoded in one piece.
 
@@ -27,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, documents, slices
+from .common import batch_of, cut, documents, slices
 
 #: Characters of a chunk, and characters that neighbours have in common.
 CHUNK_CHARS = 32_768
@@ -37,8 +39,8 @@ LOOKAHEAD = 4
 #: Texts that a worker holds in encoded form at a time.
 CODE_ROWS = 64
 
-CHUNKS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("n", pa.int64()), ("chunk", pa.int64()), ("text", pa.string())])
-BOUNDS = pa.schema([*CHUNKS, ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))])
+CHUNKS = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.string()), ("n", pa.int64()), ("chunk", pa.int64()), ("text", pa.string())])
+BOUNDS = pa.schema([("doc_key", pa.string()), ("chunk", pa.int64()), ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))])
 
 
 @cache
@@ -103,20 +105,21 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
                 found = [seam_bounds(t, i, last, pat, chunk_chars, overlap_chars) for t, i, last in zip(part["text"].to_pylist(), part["chunk"].to_pylist(), part["last"].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([h for h, _ in found], BOUNDS.field("head").type), pa.array([t for _, t in found], BOUNDS.field("tail").type)], schema=BOUNDS)
+                yield pa.RecordBatch.from_arrays([part["doc_key"], part["chunk"], pa.array([h for h, _ in found], BOUNDS.field("head").type), pa.array([t for _, t in found], BOUNDS.field("tail").type)], schema=BOUNDS)
 
     # Equal rows become one with a count, which also deals the long texts out.
-    once = docs.filter(is_long).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "text", F.sha2("text", 256).alias("text_key"), "n")
-    cut_up = once.mapInArrow(to_chunks, "doc_id long, text_key string, n long, chunk long, text string")
-    by_doc = Window.partitionBy("doc_id", "text_key")
+    once = docs.filter(is_long).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    doc_key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), "text"), 256)
+    cut_up = once.select("doc_id", "text", doc_key.alias("doc_key"), "n").mapInArrow(to_chunks, "doc_id long, doc_key string, n long, chunk long, text string")
     # Chunks are dealt out alone, so that one very long text is the work of many tasks.
-    dealt = cut_up.withColumn("last", F.length("text") < chunk_chars + overlap_chars).repartition("doc_id", "text_key", "chunk")
-    bounds = dealt.mapInArrow(to_bounds, "doc_id long, text_key string, n long, chunk long, text string, head array<long>, tail array<long>")
+    chunks = cut(cut_up.withColumn("last", F.length("text") < chunk_chars + overlap_chars).repartition("doc_key", "chunk"))
+    bounds = chunks.select("doc_key", "chunk", "last", "text").mapInArrow(to_bounds, "doc_key string, chunk long, head array<long>, tail array<long>")
+    by_doc = Window.partitionBy("doc_key")
     in_order = by_doc.orderBy("chunk")
     seam = F.array_min(F.array_intersect("head", F.lag("tail").over(in_order)))
-    stitched = (
+    stitches = (
         bounds.withColumn("start", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(seam))
-        .withColumn("stop", F.lead("start").over(in_order))
+        .select("doc_key", "chunk", "start", F.lead("start").over(in_order).alias("stop"), F.lead("chunk").over(in_order).isNull().alias("final"))
         .withColumn("broken", F.max(F.col("start").isNull()).over(by_doc))
     )
     offset = F.col("chunk") * chunk_chars
@@ -124,21 +127,21 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
     piece = F.when(
         F.col("broken"),
         # The stride of each chunk, joined below before it is encoded.
-        F.when(F.lead("chunk").over(in_order).isNull(), F.col("text")).otherwise(F.substring("text", 1, chunk_chars)),
+        F.when(F.col("final"), F.col("text")).otherwise(F.substring("text", 1, chunk_chars)),
     ).otherwise(F.substring(F.col("text"), (F.col("start") - offset + 1).cast("int"), length.cast("int")))
-    pieces = stitched.withColumn("piece", piece).select("doc_id", "text_key", "n", "chunk", "broken", "piece")
-    sound = pieces.filter(~F.col("broken")).select("doc_id", "text_key", "n", "chunk", "piece")
+    pieces = chunks.join(stitches, ["doc_key", "chunk"]).select("doc_id", "doc_key", "n", "chunk", "broken", piece.alias("piece"))
+    sound = pieces.filter(~F.col("broken")).drop("broken")
     whole = (
         pieces.filter("broken")
-        .groupBy("doc_id", "text_key", "n")
+        .groupBy("doc_id", "doc_key", "n")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "piece"))), lambda x: x["piece"]), "").alias("piece"))
-        .select("doc_id", "text_key", "n", F.lit(0).cast("long").alias("chunk"), "piece")
+        .select("doc_id", "doc_key", "n", F.lit(0).cast("long").alias("chunk"), "piece")
     )
     parts = F.array_sort(F.collect_list(F.struct("chunk", "ids", "decoded")))
     long = (
         sound.unionByName(whole)
-        .mapInArrow(code, f"doc_id long, text_key string, n long, chunk long{coded}")
-        .groupBy("doc_id", "text_key", "n")
+        .mapInArrow(code, f"doc_id long, doc_key string, n long, chunk long{coded}")
+        .groupBy("doc_id", "doc_key", "n")
         .agg(parts.alias("parts"))
         .select(
             "doc_id",
