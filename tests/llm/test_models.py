@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -94,6 +95,62 @@ def test_toxicity_finds_planted_documents(spark, awkward, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def plain_toxicity(train: list[tuple[str, int]], texts: list[str]) -> list[float]:
+    """The scores of ``texts`` by the formulas of the method, in plain loops over what ``train`` (text, toxic) has."""
+    words = lambda text: re.findall(r"[^\W_]+", text.lower())
+    beginnings = lambda w: {f"^{w[:n]}" for n in (3, 4, 5) if len(w) > n}
+    seen: dict[int, dict[str, int]] = {0: {}, 1: {}}
+    for text, label in train:
+        for token in {t for w in words(text) for t in {w} | beginnings(w)}:
+            seen[label][token] = seen[label].get(token, 0) + 1
+    among = {t for t, n in seen[1].items() if n >= 3}
+    # All tokens of all documents count, those of no lexicon too.
+    total = {label: sum(of.values()) for label, of in seen.items()}
+    lexicon = {}
+    for t in among:
+        prior = 1 + 100 * (seen[1][t] + seen[0].get(t, 0)) / (total[0] + total[1])
+        a, b = seen[1][t] + prior, seen[0].get(t, 0) + prior
+        odds = math.log(a / (total[1] + 100 - a)) - math.log(b / (total[0] + 100 - b))
+        if odds >= 2 and odds / math.sqrt(1 / a + 1 / b) >= 3.5:
+            lexicon[t] = odds
+    score = lambda w: max((lexicon[t] for t in {w} | beginnings(w) if t in lexicon), default=-0.25)
+    other = [[score(w) for w in words(text)] for text, label in train if not label]
+    times: dict[float, int] = {max(lexicon.values()): 1}
+    for x in (round(x, 1) for text in other for x in text if x > 0):
+        times[x] = times.get(x, 0) + 1
+    n_words = sum(map(len, other))
+    times = times | {-0.25: n_words - sum(times.values()) + 1}
+    # One more sighting goes to the highest score, rounded or not.
+    if (top := max(times)) != max(lexicon.values()):
+        times[top] += 1
+        times[max(lexicon.values())] -= 1
+    excess = lambda rate: sum(n * math.exp(min(700, rate * x)) for x, n in times.items()) - sum(times.values())
+    low, high = 1e-6, 20.0
+    while high - low > 1e-12:
+        low, high = ((low + high) / 2, high) if excess((low + high) / 2) < 0 else (low, (low + high) / 2)
+    hits = sum(any(x > 0 for x in text) for text in other)
+    least = min(x for x in [max(lexicon.values()), *times] if x > 0)
+    scale = min(1.0, (hits + 1) / max(1.0, n_words * math.exp(-low * least)))
+
+    def evidence(text: str) -> float:
+        scores = [score(w) for w in words(text)]
+        found = [low * sum(scores[a : b + 1]) - math.log(scale * len(scores)) for a, b in slow_segments(scores)]
+        return sum(x for x in found if x > 0) or max(found, default=-99.0)
+
+    judged = [(round(min(100.0, evidence(text)), 1), label) for text, label in train]
+    wrong = lambda level: sum((x >= level) != label and 1 / sum(u == label for _, u in judged) for x, label in judged)
+    level = min(sorted({-math.log(0.005)} | {x for x, _ in judged if x > -math.log(0.005)}), key=lambda at: round(wrong(at), 9))
+    return [math.exp(-math.log(2) * math.exp(min(50.0, level - x))) if (x := evidence(text)) > -99 else 0.0 for text in texts]
+
+
+def test_toxicity_against_plain_loops(spark):
+    df, rows = synthetic(spark, 240)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, toxicity.fit(df.filter("doc_id % 5 > 0"), df.select("doc_id", "toxic"))).collect()}
+    want = plain_toxicity([(text, t) for i, text, t in rows if i % 5], [text for _, text, _ in rows])
+    assert sum(x >= 0.5 for x in want) > 20
+    assert max(abs(got[i] - x) for (i, *_), x in zip(rows, want, strict=True)) < 1e-6
+
+
 def test_toxicity_without_labels(spark, awkward, empty):
     for docs, labels in ((awkward, awkward.limit(0)), (empty, awkward), (awkward, awkward.selectExpr("doc_id", "cast(null as int) as toxic"))):
         model = toxicity.fit(docs, labels.select("doc_id", "toxic"))
