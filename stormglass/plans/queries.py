@@ -382,8 +382,8 @@ def feature_collection(spark, sf):
 
 @query(f"WITH {SNAPSHOT_SQL} SELECT event_id, provider, phase, CASE WHEN sig = '' THEN 0 ELSE 1 END + CASE WHEN phen = '' THEN 0 ELSE 1 END + 15 AS n_attributes FROM s")
 def sparse_attributes(spark, sf):
-    rows = normalised(spark, sf).select("event_id", "provider", "phase", serve.attributes().alias("a"))
-    return rows.select("event_id", F.get_json_object("a", "$.provider").alias("provider"), F.get_json_object("a", "$.phase").alias("phase"), F.size(F.json_object_keys("a")).alias("n_attributes"))
+    rows = normalised(spark, sf).select("event_id", serve.attributes().alias("a"))
+    return rows.select("event_id", F.json_tuple("a", "provider", "phase").alias("provider", "phase"), F.size(F.json_object_keys("a")).alias("n_attributes"))
 
 
 @query("""SELECT c_custkey, 'Alerts NWS (' || CASE c_custkey % 7 WHEN 0 THEN 'TXC' || c_custkey WHEN 1 THEN c_acctbal || ',1' WHEN 2 THEN 'phone' || c_custkey WHEN 3 THEN 'ON' WHEN 4 THEN 'DE — ' || least('A' || c_custkey, n_name) || ' +1' WHEN 5 THEN 'Germany' ELSE 'Unknown' END || ')' AS title FROM customer JOIN nation ON n_nationkey = c_nationkey""")
