@@ -60,10 +60,8 @@ _NEEDLE_ROWS = ", ".join(f"({i}, '{n}', '{v}')" for i, (n, v) in enumerate(dims.
 @query(f"""WITH n(pos, needle, icon) AS (VALUES {_NEEDLE_ROWS})
     SELECT doc_id, coalesce(arg_min(icon, pos), '{dims.DEFAULT_ICON}') AS icon FROM documents LEFT JOIN n ON contains(lower(text), needle) GROUP BY doc_id""")
 def icon_theta_join(spark, sf):
-    needles = spark.createDataFrame([(i, n, v) for i, (n, v) in enumerate(dims.NEEDLES)], "pos int, needle string, icon string")
-    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
-    hits = d.join(F.broadcast(needles), F.contains("low", "needle"), "left")  # 20 rows
-    return hits.groupBy("doc_id").agg(F.coalesce(F.min_by("icon", "pos"), F.lit(dims.DEFAULT_ICON)).alias("icon"))
+    # The needles are few and constant, so the join is a chain of conditions in one projection, without a shuffle.
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(classify.first_needle(F.lower("text"), dims.NEEDLES), F.lit(dims.DEFAULT_ICON)).alias("icon"))
 
 
 @query("""WITH c AS (SELECT doc_id, text, CASE WHEN strlen(text) <= 4096 THEN NULL ELSE (SELECT max(n) FROM generate_series(1023, 4093) AS g(n) WHERE n <= length(text) AND strlen(left(text, n)) <= 4093) END AS cut FROM documents)
