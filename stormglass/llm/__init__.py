@@ -20,6 +20,8 @@ MODULES = (
     "packing",
     "quality_rules",
     "substring_dedup",
+    "dataset_manifest",
+    "exact_dedup",
 )
 
 
