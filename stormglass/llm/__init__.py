@@ -21,6 +21,7 @@ MODULES = (
     "quality_rules",
     "substring_dedup",
     "dataset_manifest",
+    "source_divergence",
     "exact_dedup",
 )
 
