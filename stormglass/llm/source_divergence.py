@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,7 +45,9 @@ MOST_TERMS, LONGEST = 200_000, 64
 #: Terms of a shard, and bytes of text that one automaton of it reads.
 SHARD_TERMS, SHARD_BYTES = 50_000, 2**24
 #: Counters, and tokens for the shards, that a task holds.
-HELD_TERMS, HELD_TOKENS = 400_000, 1_000_000
+HELD_TERMS, HELD_TOKENS = 800_000, 1_000_000
+#: Sources up to which sums of pairs are a table and not a dictionary.
+TABLE_SOURCES = 1024
 #: Bytes of text that a task cuts into tokens at once.
 PIECE = 2**22
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,7 +87,7 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, counts in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), _strings(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["lang", "term", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), _strings(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["lang", "term", "n"])
             found.clear()
 
         for langs, texts in slices(batches):
@@ -97,11 +100,11 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(count, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n_docs"))
 
 
-def automaton(terms: Iterable[str]) -> ahocorasick.Automaton | None:
+def automaton(terms: Iterable[tuple[int, str]]) -> ahocorasick.Automaton | None:
     """Finds each term between two delimiters and says its number; None without terms."""
     out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, term in enumerate(terms):
-        out.add_word(f" {term} ", i)
+    for number, term in terms:
+        out.add_word(f" {term} ", number)
     if not len(out):
         return None
     out.make_automaton()
@@ -112,7 +115,7 @@ def automaton(terms: Iterable[str]) -> ahocorasick.Automaton | None:
 _BUILT: dict[tuple[str, str], ahocorasick.Automaton | None] = {}
 
 
-def _built(key: str, lang: str, terms: dict[str, list[str]]) -> ahocorasick.Automaton | None:
+def _built(key: str, lang: str, terms: dict[str, list[tuple[int, str]]]) -> ahocorasick.Automaton | None:
     if (key, lang) not in _BUILT:
         for old in [k for k in _BUILT if k[0] != key]:
             del _BUILT[old]
@@ -120,46 +123,52 @@ def _built(key: str, lang: str, terms: dict[str, list[str]]) -> ahocorasick.Auto
     return _BUILT[key, lang]
 
 
-def scan(finder: ahocorasick.Automaton | None, part: bytes) -> tuple[list[int], list[str]]:
+def scan(finder: ahocorasick.Automaton | None, part: bytes) -> tuple[list[int], list[bytes]]:
     """The numbers of the terms found, each as often as it occurs, and the tokens that are none of them."""
-    tokens = [t for t in part.decode("utf-8").split(" ") if t]
+    tokens = part.split()  # by blanks: other delimiters are blanks already, and no byte of a letter is one
     if finder is None or not tokens:
         return [], tokens
-    line = f" {' '.join(tokens)} "
-    found = list(finder.iter(line))
+    line = f" {b' '.join(tokens).decode('utf-8')} "
+    ends, found = [], []
+    for end, number in finder.iter(line):
+        ends.append(end)
+        found.append(number)
     if len(found) == len(tokens):
-        return [v for _, v in found], []
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-    covered = np.zeros(len(line), bool)
-    covered[[e for e, _ in found]] = True
-    return [v for _, v in found], [tokens[i] for i in np.flatnonzero(~covered[ends])]
-
-
-_FOUND = "lang string, source string, term string, n long, shard int, block string"
+        return found, []
+    blanks = np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32
+    blanks[0] = False
+    after = np.cumsum(blanks)  # at a token's end: how many have ended
+    left = np.ones(len(tokens), bool)
+    left[after[ends] - 1] = False
+    return found, [tokens[i] for i in np.flatnonzero(left)]
 
 
 def _count_frequent(rows: DataFrame, frequent: Broadcast, n_shards: int) -> DataFrame:
-    """Columns of _FOUND: a source's count of a frequent term, or a block of its other tokens for a shard (none without shards)."""
+    """source, term_no and n of a source's frequent terms; lang, source, shard and block of its other tokens (none without shards)."""
     key = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("shard", pa.int32()), ("block", pa.string())])
-        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        rest: dict[tuple[str, str], list[str]] = defaultdict(list)
+        kinds = {"lang": pa.string(), "source": pa.string(), "term_no": pa.int32(), "n": pa.int64(), "shard": pa.int32(), "block": pa.string()}
+        counts: dict[str, Counter] = defaultdict(Counter)
+        rest: dict[tuple[str, str], list[bytes]] = defaultdict(list)
+
+        def batch_with(n_rows: int, /, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n_rows, kind) for c, kind in kinds.items()], names=list(kinds))
 
         def flush_counts() -> Iterator[pa.RecordBatch]:
-            for (lang, source), c in counts.items():
-                terms = frequent.value[lang]
-                yield batch_of(schema, [[lang] * len(c), [source] * len(c), [terms[i] for i in c], list(c.values()), [None] * len(c), [None] * len(c)])
+            for source, c in counts.items():
+                n = len(c)
+                yield batch_with(n, source=pa.repeat(source, n), term_no=pa.array(np.fromiter(c.keys(), np.int32, n)), n=pa.array(np.fromiter(c.values(), np.int64, n)))
             counts.clear()
 
         def flush_rest() -> Iterator[pa.RecordBatch]:
             for (lang, source), tokens in rest.items():
                 dealt = defaultdict(list)
                 for t in tokens:
-                    dealt[zlib.crc32(t.encode("utf-8")) % n_shards].append(t)
+                    dealt[zlib.crc32(t) % n_shards].append(t)
                 n = len(dealt)
-                yield batch_of(schema, [[lang] * n, [source] * n, [None] * n, [None] * n, list(dealt), [f" {' '.join(x)} " for x in dealt.values()]])
+                blocks = _strings([b" %b " % b" ".join(x) for x in dealt.values()])
+                yield batch_with(n, lang=pa.repeat(lang, n), source=pa.repeat(source, n), shard=pa.array(list(dealt), pa.int32()), block=blocks)
             rest.clear()
 
         held = 0
@@ -169,7 +178,7 @@ def _count_frequent(rows: DataFrame, frequent: Broadcast, n_shards: int) -> Data
                 for part in pieces(text):
                     found, left = scan(finder, part)
                     if found:
-                        counts[lang, source].update(found)
+                        counts[source].update(found)
                     if left and n_shards:
                         rest[lang, source] += left
                         held += len(left)
@@ -181,7 +190,7 @@ def _count_frequent(rows: DataFrame, frequent: Broadcast, n_shards: int) -> Data
         yield from flush_counts()
         yield from flush_rest()
 
-    return rows.mapInArrow(count, _FOUND)
+    return rows.mapInArrow(count, "lang string, source string, term_no int, n long, shard int, block string")
 
 
 def _count_rest(kept: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -211,7 +220,7 @@ def _count_rest(kept: DataFrame, blocks: DataFrame) -> DataFrame:
                 if block is None:
                     names.append(term)
                 elif names:
-                    finder = finder or automaton(names)
+                    finder = finder or automaton(enumerate(names))
                     counts[source].update(v for _, v in finder.iter(block))
                     if sum(map(len, counts.values())) > HELD_TERMS:
                         yield from flush()
@@ -232,17 +241,18 @@ def postings(rows: DataFrame, kept: DataFrame, most_terms: int = MOST_TERMS) ->
         least = r["band"]
     chosen = F.col("fits") & (F.col("band") >= least) if least is not None else F.lit(False)
     frequent = defaultdict(list)
-    for r in ranked.filter(chosen).select("lang", "term").collect():
-        frequent[r["lang"]].append(r["term"])
+    for number, r in enumerate(listed := ranked.filter(chosen).select("lang", "term").collect()):
+        frequent[r["lang"]].append((number, r["term"]))
+    numbers = rows.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(listed)], "term_no int, lang string, term string")
     others = ranked.filter(~chosen)
     n_shards = -(-others.count() // SHARD_TERMS)
     found = cut(_count_frequent(rows, rows.sparkSession.sparkContext.broadcast(dict(frequent)), n_shards))
-    counts = found.filter("term is not null").select("lang", "source", "term", "n")
+    counts = found.filter("term_no is not null").groupBy("source", "term_no").agg(F.sum("n").alias("n")).join(numbers, "term_no").select("lang", "source", "term", "n")
     if n_shards:
         shard = (F.crc32("term") % n_shards).cast("int").alias("shard")
         rest = _count_rest(others.select("lang", shard, "term"), found.filter("block is not null").select("lang", "source", "shard", "block"))
-        counts = counts.unionByName(rest)
-    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+        counts = counts.unionByName(rest.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+    return counts
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -267,31 +277,50 @@ def _shared_terms(found: DataFrame) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
         sums: dict[tuple[int, int], int] = {}
+        table_of = np.zeros((0, 0), np.int64)
         names, numbers = [], {}
 
         def flush() -> Iterator[pa.RecordBatch]:
+            for i, j in zip(*np.nonzero(table_of), strict=True):
+                sums[int(i), int(j)] = sums.get((int(i), int(j)), 0) + int(table_of[i, j])
+            table_of[:] = 0
             if sums:
                 a, b = zip(*sums, strict=True)
                 yield batch_of(schema, [[names[i][0] for i in a], [names[i][1] for i in a], [names[i][1] for i in b], list(sums.values())])
             sums.clear()
 
-        def add(table: pa.Table, starts: np.ndarray) -> None:
-            """The postings of a term lie side by side; ``starts`` are the first ones.  Each posting meets the one k places further on, k growing."""
-            langs, sources = table["lang"].to_pylist(), table["source"].to_pylist()
-            who = np.zeros(len(langs), np.int64)
-            for i, name in enumerate(zip(langs, sources, strict=True)):
+        def numbered(table: pa.Table) -> np.ndarray:
+            """The number of each row's source of a language."""
+            lang, source = (table[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
+            width = len(source.dictionary)
+            codes, inverse = np.unique(lang.indices.to_numpy() * np.int64(width) + source.indices.to_numpy(), return_inverse=True)
+            langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+            own = []
+            for code in codes.tolist():
+                name = (langs[code // width], sources[code % width])
                 if name not in numbers:
                     numbers[name] = len(names)
                     names.append(name)
-                who[i] = numbers[name]
-            p, zero = table["p"].to_numpy(), table["zero"].to_numpy()
+                own.append(numbers[name])
+            return np.array(own, np.int64)[inverse]
+
+        def add(table: pa.Table, starts: np.ndarray) -> None:
+            """The postings of a term lie side by side; ``starts`` are the first ones.  Each posting meets the one k places further on, k growing."""
+            nonlocal table_of
+            who, p, zero = numbered(table), table["p"].to_numpy(), table["zero"].to_numpy()
             f = lambda x, y: (x - y) * (x - y) // y
+            if len(names) <= TABLE_SOURCES and len(table_of) < len(names):
+                room = len(names) - len(table_of)
+                table_of = np.pad(table_of, ((0, room), (0, room)))
             sizes = np.diff(np.append(starts, len(who)))
             ends = np.repeat(starts + sizes, sizes)
             i, k = np.arange(len(who)), 1
             while len(i := i[i + k < ends[i]]):
                 for a, b in ((i, i + k), (i + k, i)):
                     more = f(p[a], p[b]) - f(p[a], zero[b]) - f(zero[a], p[b]) + f(zero[a], zero[b])
+                    if len(names) <= TABLE_SOURCES:
+                        np.add.at(table_of, (who[a], who[b]), more)
+                        continue
                     key, inverse = np.unique(who[a] << 32 | who[b], return_inverse=True)
                     total = np.zeros(len(key), np.int64)
                     np.add.at(total, inverse, more)
@@ -303,8 +332,9 @@ def _shared_terms(found: DataFrame) -> DataFrame:
         tail = None
         for batch in batches:
             table = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks()
-            terms = list(zip(table["lang"].to_pylist(), table["term"].to_pylist(), strict=True))
-            starts = np.array([i for i in range(len(terms)) if not i or terms[i] != terms[i - 1]], np.int64)
+            n = table.num_rows
+            other = [pc.not_equal(table[c].slice(1), table[c].slice(0, n - 1)).to_numpy() for c in ("lang", "term")] if n > 1 else [np.zeros(0, bool)] * 2
+            starts = np.append(0, np.flatnonzero(other[0] | other[1]) + 1)
             if len(starts) > 1:  # the last term may go on in the next batch
                 add(table.slice(0, int(starts[-1])), starts[:-1])
                 table = table.slice(int(starts[-1]))
