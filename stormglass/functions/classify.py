@@ -59,8 +59,12 @@ def first_needle(text: Column, needles: tuple[tuple[str, str], ...]) -> Column:
 
 
 def icon(provider: Column, event: Column) -> Column:
-    name = F.lower(strip(text_of(event)))
+    # The text is bound as an array element: every needle names it, and it is made once.
+    return F.get(F.transform(F.array(F.lower(strip(text_of(event)))), lambda name: _icon_of(provider, name)), F.lit(0))
+
+
+def _icon_of(provider: Column, name: Column) -> Column:
     exact = F.try_element_at(dims.literal_map(dims.EXACT_ICONS), name)
-    folded = F.translate(name, "-_", "  ")
-    found = F.when(provider == "meteoalarm", first_needle(folded, dims.EUROPEAN_NEEDLES)).when(provider == "nws", F.coalesce(exact, first_needle(name, dims.NEEDLES))).otherwise(first_needle(name, dims.NEEDLES))
+    european = F.get(F.transform(F.array(F.translate(name, "-_", "  ")), lambda folded: first_needle(folded, dims.EUROPEAN_NEEDLES)), F.lit(0))
+    found = F.when(provider == "meteoalarm", european).when(provider == "nws", F.coalesce(exact, first_needle(name, dims.NEEDLES))).otherwise(first_needle(name, dims.NEEDLES))
     return F.coalesce(F.when(name != "", found), F.lit(dims.DEFAULT_ICON))
