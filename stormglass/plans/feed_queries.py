@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, dims, ident
 from ..operators import geometry, lifecycle, locate, serve
+from ..operators.order import placed
 from ..sources import feeds, settings
 from . import snapshots
 from .registry import query
@@ -18,6 +19,8 @@ from .snapshots import EVENTS_SQL, SNAPSHOT_SQL, normalised, polls, table
 
 #: The position that location queries ask for, in the square of users with u % 10 = 2.
 AT = "47.5,-81.5"
+#: Regions of one document of a list.
+REGIONS_A_PAGE = 500
 
 
 def _events(spark, sf):
@@ -157,13 +160,34 @@ def locate_european(spark, sf):
     return of("point", gps_loc=AT, regions=codes).unionByName(of("regions", regions=codes)).unionByName(of("all"))
 
 
+def _region_pages(spark, sf):
+    """A region list with repeated codes, REGIONS_A_PAGE suppliers a document."""
+    s = table(spark, sf, "supplier").filter("s_suppkey is not null")
+    one = F.struct("s_suppkey", F.struct(F.col("s_nationkey").cast("string").alias("EMMA_ID"), F.concat(F.lit(" "), "s_name").alias("name")).alias("r"))
+    pages = s.groupBy(F.floor(F.col("s_suppkey") / REGIONS_A_PAGE).alias("page_no")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["r"]).alias("regions"))
+    return pages.select("page_no", F.to_json(F.struct("regions")).alias("body"))
+
+
 @query("SELECT CAST(s_nationkey AS VARCHAR) AS code, arg_min(trim(s_name), s_suppkey) AS label FROM supplier GROUP BY 1")
 def regions_endpoint(spark, sf):
     """A region list with repeated codes, of which the first counts."""
-    s = table(spark, sf, "supplier").filter("s_suppkey is not null")
-    one = F.struct("s_suppkey", F.struct(F.col("s_nationkey").cast("string").alias("EMMA_ID"), F.concat(F.lit(" "), "s_name").alias("name")).alias("r"))
-    listed = s.agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["r"]).alias("regions"))  # the list is one document
-    return feeds.regions(listed.select(F.to_json(F.struct("regions")).alias("body")), listed.select(F.lit("{}").alias("body")))
+    pages = _region_pages(spark, sf)
+    return feeds.regions(pages, pages.select(F.lit("{}").alias("body")), page_no="page_no")
+
+
+@query("""WITH f AS (SELECT s_nationkey AS code, arg_min(trim(s_name), s_suppkey) AS label, min(s_suppkey) AS pos FROM supplier GROUP BY 1)
+    SELECT CAST(code AS VARCHAR) AS code, label, CAST(row_number() OVER (ORDER BY lower(label), pos) AS INTEGER) AS place FROM f""")
+def regions_dedup_sort(spark, sf):
+    """The places of the regions of a list in its order."""
+    found = feeds.regions_of_endpoint(_region_pages(spark, sf), page_no="page_no")
+    return placed(found, [F.lower("label"), F.col("ordinal")]).select("code", "label", (F.col("place") + 1).cast("int").alias("place"))
+
+
+@query("SELECT event_id, user_id, CAST(row_number() OVER (ORDER BY user_id DESC, event_id) - 1 AS BIGINT) AS place FROM events")
+def events_in_order(spark, sf):
+    """A place for each event of the whole table."""
+    e = table(spark, sf, "events").select("event_id", "user_id")
+    return placed(e, [(F.col("user_id"), True), F.col("event_id")]).drop("size")
 
 
 @query("SELECT 'DE' || n_nationkey AS code, CASE WHEN n_nationkey % 3 = 0 THEN 'DE' || n_nationkey ELSE n_name END AS label FROM nation")

@@ -5,13 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import checks, classify, clock, dims, geo, ident, text
 from ..operators import geometry, lifecycle, locate, serve
 from ..streaming import lifecycle as stream
-from . import feed_queries, snapshots  # noqa: F401
+from . import feed_queries, snapshots, stream_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .snapshots import EVENTS_SQL, SNAPSHOT_SQL, normalised, polls, raw, table
 
@@ -239,14 +238,6 @@ def region_semi_join(spark, sf):
     return locate.region_join(c, wanted).select(F.col("id").alias("c_custkey"))
 
 
-@query("""WITH f AS (SELECT s_nationkey AS code, arg_min(s_name, s_suppkey) AS label FROM supplier GROUP BY 1)
-    SELECT CAST(code AS VARCHAR) AS code, label, CAST(row_number() OVER (ORDER BY lower(label), code) AS INTEGER) AS place FROM f""")
-def regions_dedup_sort(spark, sf):
-    s = table(spark, sf, "supplier")
-    first = s.groupBy("s_nationkey").agg(F.min_by("s_name", "s_suppkey").alias("label"))
-    return first.select(F.col("s_nationkey").cast("string").alias("code"), "label", F.row_number().over(Window.orderBy(F.lower("label"), "s_nationkey")).alias("place"))
-
-
 # Languages
 
 

@@ -156,10 +156,14 @@ def _first_labels(pairs: DataFrame) -> DataFrame:
     return pairs.filter("code <> ''").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("code", F.coalesce(F.nullif("label", F.lit("")), "code").alias("label"), "ordinal")
 
 
-def regions_of_endpoint(df: DataFrame, body: str = "body") -> DataFrame:
-    """(code, label, ordinal) of a region list, bare or under ``regions``; anything else gives none."""
+def regions_of_endpoint(df: DataFrame, body: str = "body", page_no: str | None = None) -> DataFrame:
+    """(code, label, ordinal) of a region list, bare or under ``regions``; anything else gives none.
+
+    A list may come in several documents, in order of ``page_no``.
+    """
     listed = F.coalesce(F.when(F.startswith(F.ltrim(body), F.lit("[")), F.from_json(body, schema.REGIONS)), F.from_json(body, f"regions {schema.REGIONS}")["regions"])
-    rows = df.select(F.posexplode(listed).alias("ordinal", "r")).filter("r is not null")
+    page = F.lit(0) if page_no is None else F.col(page_no)
+    rows = df.select(page.alias("page"), F.posexplode(listed).alias("at", "r")).filter("r is not null").withColumn("ordinal", F.struct("page", "at"))
     pick = lambda a, b: text.strip(F.coalesce(F.nullif(F.col(a), F.lit("")), text.text_of(F.col(b))))
     return _first_labels(rows.select(pick("r.code", "r.EMMA_ID").alias("code"), pick("r.name", "r.areaDesc").alias("label"), "ordinal"))
 
@@ -172,9 +176,9 @@ def regions_of_warnings(df: DataFrame, body: str = "body") -> DataFrame:
     return _first_labels(at.select(text.text_of(F.col("g.value")).alias("code"), text.text_of(F.col("label")).alias("label"), F.struct("p0", "p1", "p2", "p3").alias("ordinal")))
 
 
-def regions(endpoint: DataFrame, warnings: DataFrame, body: str = "body") -> DataFrame:
+def regions(endpoint: DataFrame, warnings: DataFrame, body: str = "body", page_no: str | None = None) -> DataFrame:
     """(code, label) of the endpoint, or, if it has none, of the warnings, sorted by label without case; none at all raises."""
-    found = regions_of_endpoint(endpoint, body)
+    found = regions_of_endpoint(endpoint, body, page_no)
     if found.isEmpty():
         found = regions_of_warnings(warnings, body)
     if found.isEmpty():
