@@ -74,23 +74,28 @@ def events(incoming: DataFrame, polls: DataFrame, dedupe_terminal: bool = False)
     come in the order of its rows, then those that are gone in the order they had.
     """
     rows = diff(incoming, polls)
+    if dedupe_terminal:
+        old, ended = F.col("old"), classify.is_terminal(F.col("new.phase"))
+        history = Window.partitionBy("entry_id", "id").orderBy("poll_seq")
+        repeated = old.isNull() & ended & F.coalesce(F.lag(ended).over(history), F.lit(False))
+        rows = rows.withColumn("_repeated", F.coalesce(repeated, F.lit(False))).filter("not _repeated")
+    found = described(rows)
+    order = Window.partitionBy("entry_id", "poll_seq").orderBy("gone", "place")
+    return found.withColumn("event_seq", F.row_number().over(order)).select(*(c for c in found.columns[:4]), "event_seq", *(c for c in found.columns[4:] if c not in ("gone", "place")))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """The events of changes (entry_id, poll_seq, poll_ts, id, old, new, old_at, new_at, changed_fields), and what orders those of a poll: gone, place."""
     old, new, ended = F.col("old"), F.col("new"), classify.is_terminal(F.col("new.phase"))
     kind = F.when(new.isNull() | ended, REMOVED).when(old.isNull(), CREATED).when(F.size("changed_fields") > 0, UPDATED)
     gone = classify.last_phase(clock.instant(F.col("old.expires")), F.col("poll_ts"))
     phase = F.when(new.isNull(), gone).otherwise(F.col("new.phase"))
     either = lambda c: F.when(new.isNull(), F.col(f"old.{c}")).otherwise(F.col(f"new.{c}"))
-    order = Window.partitionBy("entry_id", "poll_seq").orderBy(new.isNull(), F.coalesce("new_at", "old_at"))
-    found = rows.withColumn("event_type", kind).filter("event_type is not null")
-    if dedupe_terminal:
-        history = Window.partitionBy("entry_id", "id").orderBy("poll_seq")
-        repeated = old.isNull() & ended & F.coalesce(F.lag(ended).over(history), F.lit(False))
-        found = found.withColumn("_repeated", F.coalesce(repeated, F.lit(False))).filter("not _repeated")
-    return found.select(
+    return rows.withColumn("event_type", kind).filter("event_type is not null").select(
         "entry_id",
         "poll_seq",
         "poll_ts",
         "event_type",
-        F.row_number().over(order).alias("event_seq"),
         F.col("id").alias("incident_id"),
         either("event").alias("event"),
         either("severity_normalized").alias("severity"),
@@ -98,6 +103,8 @@ def events(incoming: DataFrame, polls: DataFrame, dedupe_terminal: bool = False)
         (old.isNull() | (F.col("old.phase") != phase)).alias("phase_changed"),
         "changed_fields",
         either("area_desc").alias("area_desc"),
+        new.isNull().alias("gone"),
+        F.coalesce("new_at", "old_at").alias("place"),
     )
 
 

@@ -22,7 +22,6 @@ from ..functions import classify
 from ..operators import lifecycle
 from ..operators.lifecycle import CARRIED
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "entry_id string, poll_seq long, poll_ts timestamp, event_type string, event_seq int, incident_id string, event string, severity string, phase string, phase_changed boolean, changed_fields string, area_desc string"
 _LAST = "entry_id string, poll_seq long, poll_ts timestamp"
 _ACTIVE = "entry_id string, poll_seq long, ordinal long, id string, " + ", ".join(f"{c} string" for c in CARRIED)
