@@ -27,6 +27,7 @@ import uuid
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -44,8 +45,8 @@ LEAST_DOCS, TOP, SCALE = 3, 200, 10**9
 MOST_TERMS, LONGEST = 200_000, 64
 #: Terms of a shard, and bytes of text that one automaton of it reads.
 SHARD_TERMS, SHARD_BYTES = 50_000, 2**24
-#: Counters, and tokens for the shards, that a task holds.
-HELD_TERMS, HELD_TOKENS = 800_000, 1_000_000
+#: Counters, matches, and tokens for the shards, that a task holds.
+HELD_TERMS, HELD_MATCHES, HELD_TOKENS = 400_000, 6_000_000, 400_000
 #: Sources up to which sums of pairs are a table and not a dictionary.
 TABLE_SOURCES = 1024
 #: Bytes of text that a task cuts into tokens at once.
@@ -123,16 +124,14 @@ def _built(key: str, lang: str, terms: dict[str, list[tuple[int, str]]]) -> ahoc
     return _BUILT[key, lang]
 
 
-def scan(finder: ahocorasick.Automaton | None, part: bytes) -> tuple[list[int], list[bytes]]:
+def scan(finder: ahocorasick.Automaton | None, part: bytes) -> tuple[np.ndarray, list[bytes]]:
     """The numbers of the terms found, each as often as it occurs, and the tokens that are none of them."""
     tokens = part.split()  # by blanks: other delimiters are blanks already, and no byte of a letter is one
     if finder is None or not tokens:
-        return [], tokens
+        return np.zeros(0, np.int32), tokens
     line = f" {b' '.join(tokens).decode('utf-8')} "
-    ends, found = [], []
-    for end, number in finder.iter(line):
-        ends.append(end)
-        found.append(number)
+    matches = np.fromiter(chain.from_iterable(finder.iter(line)), np.int64)
+    ends, found = matches[0::2], matches[1::2].astype(np.int32)
     if len(found) == len(tokens):
         return found, []
     blanks = np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32
@@ -149,17 +148,17 @@ def _count_frequent(rows: DataFrame, frequent: Broadcast, n_shards: int) -> Data
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"lang": pa.string(), "source": pa.string(), "term_no": pa.int32(), "n": pa.int64(), "shard": pa.int32(), "block": pa.string()}
-        counts: dict[str, Counter] = defaultdict(Counter)
+        matches: dict[str, list[np.ndarray]] = defaultdict(list)
         rest: dict[tuple[str, str], list[bytes]] = defaultdict(list)
 
         def batch_with(n_rows: int, /, **columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n_rows, kind) for c, kind in kinds.items()], names=list(kinds))
 
         def flush_counts() -> Iterator[pa.RecordBatch]:
-            for source, c in counts.items():
-                n = len(c)
-                yield batch_with(n, source=pa.repeat(source, n), term_no=pa.array(np.fromiter(c.keys(), np.int32, n)), n=pa.array(np.fromiter(c.values(), np.int64, n)))
-            counts.clear()
+            for source, found in matches.items():
+                numbers, n = np.unique(np.concatenate(found), return_counts=True)
+                yield batch_with(len(n), source=pa.repeat(source, len(n)), term_no=pa.array(numbers), n=pa.array(n.astype(np.int64)))
+            matches.clear()
 
         def flush_rest() -> Iterator[pa.RecordBatch]:
             for (lang, source), tokens in rest.items():
@@ -171,22 +170,24 @@ def _count_frequent(rows: DataFrame, frequent: Broadcast, n_shards: int) -> Data
                 yield batch_with(n, lang=pa.repeat(lang, n), source=pa.repeat(source, n), shard=pa.array(list(dealt), pa.int32()), block=blocks)
             rest.clear()
 
-        held = 0
+        held = n_matches = 0
         for some in slices(batches):
             for lang, source, text in zip(*some, strict=True):
                 finder = _built(key, lang, frequent.value)
                 for part in pieces(text):
                     found, left = scan(finder, part)
-                    if found:
-                        counts[source].update(found)
+                    if len(found):
+                        matches[source].append(found)
+                        n_matches += len(found)
+                    if n_matches > HELD_MATCHES:
+                        yield from flush_counts()
+                        n_matches = 0
                     if left and n_shards:
                         rest[lang, source] += left
                         held += len(left)
                     if held > HELD_TOKENS:
                         yield from flush_rest()
                         held = 0
-            if sum(map(len, counts.values())) > HELD_TERMS:
-                yield from flush_counts()
         yield from flush_counts()
         yield from flush_rest()
 
