@@ -55,20 +55,6 @@ def region_join(alerts: DataFrame, wanted: DataFrame) -> DataFrame:
     return alerts.join(codes, "id", "left_semi")
 
 
-def points_in_shapes(points: DataFrame, shapes: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(point_id, shape_id) of the points (point_id, lat, lon) inside the shapes (shape_id, geometry).
-
-    Points and the boxes of shapes meet on cells of ``cell`` degrees, so only near pairs are
-    compared; then come the box and the ray cast.
-    """
-    near = points.withColumns({"cx": F.floor(F.col("lon") / cell), "cy": F.floor(F.col("lat") / cell)})
-    boxed = shapes.select("shape_id", F.explode(geo.outer_rings(F.col("geometry"))).alias("ring")).withColumn("box", geo.ring_box(F.col("ring"))).filter("box is not null")
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.get("box", F.lit(a)) / cell), F.floor(F.get("box", F.lit(b)) / cell)))
-    tiled = boxed.withColumn("cx", span(0, 2)).withColumn("cy", span(1, 3))
-    lat, lon = F.col("lat"), F.col("lon")
-    return near.join(tiled, ["cx", "cy"]).filter(geo.in_box(lat, lon, F.col("box")) & geo.in_ring(lat, lon, F.col("ring"))).select("point_id", "shape_id").distinct()
-
-
 def merge_languages(alerts: DataFrame, preferred: Column | str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """One row for each alert out of its language variants, in order of ``ordinal``.
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import functions as F
 
 from ..functions import checks, classify, clock, dims, geo, ident, text
-from ..operators import geometry, lifecycle, locate, serve
+from ..operators import geometry, lifecycle, locate, quadtree, serve
+from ..storage import shared_folder
 from ..streaming import lifecycle as stream
 from . import feed_queries, snapshots, stream_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -194,7 +194,32 @@ def bbox_polygon(spark, sf):
 def bbox_prefilter_pip(spark, sf):
     points = spark.createDataFrame([(1, 0.01, 0.02), (2, -0.05, 0.0), (3, 0.2, 0.2)], "point_id long, lat double, lon double")
     shapes = _rings(spark, sf).select(F.col("vec_id").alias("shape_id"), geo.geometry_of(F.array("ring")).alias("geometry"))
-    return locate.points_in_shapes(points, shapes, cell=0.1)
+    return quadtree.points_in_shapes(points, shapes)
+
+
+#: Three events of ten are in one city; a shape's size goes by its id, and every fiftieth is there too.
+_CITY = "CASE WHEN {k} % 10 < 3 THEN 40.7 + ({k} % 97) / 10000.0 ELSE 25.0 + ({k} * 7919 % 25000) / 1000.0 END AS lat, CASE WHEN {k} % 10 < 3 THEN -74.0 + ({k} % 89) / 10000.0 ELSE -125.0 + ({k} * 10007 % 60000) / 1000.0 END AS lon"
+_SIZE, _LAT, _LON = "0.1 * power(2, vec_id % 8)", "CASE WHEN vec_id % 50 = 0 THEN 40.7 ELSE 25.0 + (vec_id * 6971 % 25000) / 1000.0 END", "CASE WHEN vec_id % 50 = 0 THEN -74.0 ELSE -125.0 + (vec_id * 9973 % 60000) / 1000.0 END"
+
+
+def _doubles(sql):
+    """Literals with a point are decimals to Spark and DuckDB alike; here they are doubles."""
+    return re.sub(r"(-?\b\d+\.\d+)", r"CAST(\1 AS DOUBLE)", sql)
+
+
+@query(_doubles(f"""WITH q AS (SELECT event_id AS point_id, {_CITY.format(k="event_id")} FROM events),
+    p AS (SELECT vec_id, i, {_LON} + {_SIZE} * CAST(embedding[2 * i + 1] AS DOUBLE) AS x, {_LAT} + {_SIZE} * CAST(embedding[2 * i + 2] AS DOUBLE) AS y FROM embeddings, generate_series(0, 7) AS g(i)),
+    b AS (SELECT vec_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY vec_id),
+    near AS (SELECT point_id, lat, lon, vec_id FROM q JOIN b ON lon >= x0 AND lon <= x1 AND lat >= y0 AND lat <= y1),
+    edges AS (SELECT a.vec_id, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.i = (a.i + 7) % 8)
+    SELECT point_id, vec_id AS shape_id FROM near JOIN edges USING (vec_id) GROUP BY point_id, vec_id
+    HAVING count(*) FILTER ((yi > lat) <> (yj > lat) AND lon < (xj - xi) * (lat - yi) / CASE WHEN yj = yi THEN NULL ELSE yj - yi END + xi) % 2 = 1"""))
+def points_in_shapes_quadtree(spark, sf):
+    """All events, as points of which three in ten are in one city, in shapes from small to large."""
+    points = table(spark, sf, "events").select(F.col("event_id").alias("point_id"), *(F.expr(_doubles(x)) for x in _CITY.format(k="event_id").split(", ")))
+    e = table(spark, sf, "embeddings").select("vec_id", *(F.expr(_doubles(x)).alias(n) for x, n in ((_SIZE, "size"), (_LAT, "lat"), (_LON, "lon"))), F.col("embedding").cast("array<double>").alias("v"))
+    ring = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.array(F.col("lon") + F.col("size") * F.get("v", 2 * i), F.col("lat") + F.col("size") * F.get("v", 2 * i + 1)))
+    return quadtree.points_in_shapes(points, e.select(F.col("vec_id").alias("shape_id"), geo.geometry_of(F.array(ring)).alias("geometry")))
 
 
 @query("""WITH p AS (SELECT vec_id, r, i, CAST(embedding[16 * r + 2 * i + 1] AS DOUBLE) AS x, CAST(embedding[16 * r + 2 * i + 2] AS DOUBLE) AS y FROM embeddings, generate_series(0, 3) AS a(r), generate_series(0, 7) AS g(i)),
@@ -414,8 +439,7 @@ def provider_union(spark, sf):
 @query(_LIFECYCLE_SQL)
 def streaming_lifecycle(spark, sf):
     """The stream's events: daily polls replayed as files, ten polls a micro-batch."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stormglass-")
-    folder = f"{base.rstrip('/')}/replay-{uuid.uuid4()}"
+    folder = shared_folder(spark)
     rows = normalised(spark, sf).select("entry_id", "poll_seq", "poll_ts", "ordinal", "id", *lifecycle.CARRIED).withColumn("is_marker", F.lit(False))
     replay = rows.unionByName(polls(spark, sf).withColumn("is_marker", F.lit(True)), allowMissingColumns=True)
     n_polls = polls(spark, sf).count()

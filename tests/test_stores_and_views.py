@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stormglass import schema
-from stormglass.operators import geometry, lifecycle, locate, normalize, serve
+from stormglass.operators import geometry, lifecycle, locate, normalize, quadtree, serve
 
 SQUARE = '{"type":"Polygon","coordinates":[[[9,49],[11,49],[11,51],[9,51]]]}'
 
@@ -78,8 +78,8 @@ def test_spatial_join_against_all_pairs(spark):
         return odd
 
     want = {(i, j) for i, lat, lon in points for j, g in shapes if inside(lat, lon, json.loads(g)["coordinates"][0])}
-    for cell in (0.5, 3.0):
-        assert {tuple(r) for r in locate.points_in_shapes(p, s, cell).collect()} == want
+    for crowded in (20, 10**6):
+        assert {tuple(r) for r in quadtree.points_in_shapes(p, s, crowded).collect()} == want
 
 
 def test_language_merge(spark):
