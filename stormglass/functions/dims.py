@@ -14,6 +14,8 @@ COLOURS = {"green": "unknown", "yellow": "moderate", "orange": "severe", "red":
 PHASES = {"Alert": "new", "Update": "update", "Cancel": "cancel"}
 TERMINAL = ("cancel", "expired")
 DIFF_COLUMNS = ("headline", "description", "instruction", "severity_normalized", "phase", "expires", "area_desc")
+#: Removals that wait for the archive at most.
+ARCHIVE_QUEUE = 100
 PROVINCES = ("AB", "BC", "MB", "NB", "NL", "NS", "NT", "NU", "ON", "PE", "QC", "SK", "YT")
 
 COUNTRIES = {

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions import checks, ident
+from ..functions import checks, dims, ident
 from . import lifecycle
 
 VERSION = "1.0"
@@ -77,6 +77,17 @@ def devices(entries: DataFrame, manufacturer: str = "Stormglass") -> DataFrame:
     return entries.select("entry_id", checks.title(*columns).alias("title"), F.lit(manufacturer).alias("manufacturer"), F.upper("provider").alias("model"))
 
 
+def queued(events: DataFrame, most: int = dims.ARCHIVE_QUEUE) -> DataFrame:
+    """``events`` less the removals that an archive's queue has no room for.
+
+    The removals of a poll come at once, in order of event_seq, and wait until the first are sent: ``most`` of them
+    fit, later ones are refused.
+    """
+    gone = F.col("event_type") == lifecycle.REMOVED
+    place = F.row_number().over(Window.partitionBy("poll_ts").orderBy("event_seq", "entry_id", "incident_id"))
+    return events.filter(~gone).unionByName(events.filter(gone).withColumn("_place", place).filter(F.col("_place") <= most).drop("_place"))
+
+
 def archive(events: DataFrame) -> DataFrame:
     """Removed incidents as messages: a title and the event as JSON."""
     gone = events.filter(F.col("event_type") == lifecycle.REMOVED)

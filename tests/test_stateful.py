@@ -17,7 +17,7 @@ from stormglass.operators import lifecycle
 from stormglass.operators.lifecycle import CARRIED
 from stormglass.plans.stream_queries import run_stream
 from stormglass.sources import poll_stream
-from stormglass.streaming import sink, stateful
+from stormglass.streaming import lru, sink, stateful
 
 COLUMNS = ["entry_id", "poll_seq", "event_type", "event_seq", "incident_id", "phase", "phase_changed", "changed_fields", "severity"]
 
@@ -216,3 +216,60 @@ def test_a_batch_that_runs_twice_is_there_once(tmp_path):
         writer.commit([writer.write(batch()), writer.write(iter(())), None], 7)
     writer.abort([writer.write(batch())], 8)
     assert len(list((tmp_path / "data").iterdir())) == 1 and len(list((tmp_path / "batches").iterdir())) == 1
+
+
+def plain_lru(polls: list[tuple[str, list[tuple]]], cap: int) -> list[dict]:
+    """The store after each poll of a provider, by a dictionary from the oldest to the newest."""
+    store: dict[str, tuple[int, int]] = {}
+    out = []
+    for provider, touches in polls:
+        listed = set()
+        for ref, kind, size, seq in touches:
+            if kind == "put":
+                store[ref] = (size, seq)
+                listed.add(ref)
+            elif kind == "read" and ref in store:
+                store[ref] = (store[ref][0], seq)
+            elif kind == "delete":
+                store.pop(ref, None)
+        first = min((t[3] for t in touches), default=2**62)
+        store = {r: e for r, e in store.items() if not r.startswith(provider) or e[1] >= first}
+        total = 0
+        newest = sorted(store.items(), key=lambda x: (-x[1][1], x[0]))
+        store = {}
+        for r, e in newest:
+            total += e[0]
+            if total > cap:
+                break
+            store[r] = e
+        out.append(dict(store))
+    return out
+
+
+def test_lru_over_thirty_polls_equals_a_dictionary_and_writes_what_is_touched(spark, tmp_path):
+    rng = random.Random(6)
+    polls, seq = [], 0
+    for _ in range(30):
+        provider = rng.choice(["a:", "b:"])
+        touches = []
+        for ref in rng.sample(range(40), rng.randrange(12)):
+            seq += rng.randrange(400)
+            kind = rng.choice(["put", "put", "put", "read", "delete"])
+            touches.append((f"{provider}{ref}", kind, rng.randrange(1, 90) if kind == "put" else None, seq))
+        other = "b:" if provider == "a:" else "a:"
+        if rng.random() < 0.5:
+            seq += 1
+            touches.append((f"{other}{rng.randrange(40)}", "read", None, seq))
+        seq += 1
+        polls.append((provider, touches))
+    want = plain_lru(polls, 400)
+    path = str(tmp_path)
+    for k, (provider, touches) in enumerate(polls):
+        df = spark.createDataFrame([("c", ref[:2], *rest) for ref, *rest in ((t[0], t[0], *t[1:]) for t in touches)], lru.TOUCH)
+        lru.publish(path, k, df, [("c", provider)])
+        query = lru.run(spark, path, 400)
+        got = {r.ref: (r.size, r.touch_seq) for r in lru.entries(spark, path).collect()}
+        assert got == want[k], k
+        written = sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"])
+        assert written <= len(touches)
+    assert sum(map(len, want)) / 30 < 30
