@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Forms that are rewritten to the one with hyphens, colons and a point: days and times without them, weeks, a comma before fractions.
+#: Forms that are rewritten to the one with hyphens, a T, colons and a point: days and times without them, weeks, another separator, a comma before fractions.
 _PLAIN_DAY, _WEEK = r"^(\d{4})(\d{2})(\d{2})(?=$|[^\d-])", r"^(\d{4})(-?)W(\d{2})(?:\2([1-7]))?(?=$|[^\d-])"
 _PLAIN_TIME, _PLAIN_MINUTE, _COMMA = r"^(.{11}\d{2})(\d{2})(\d{2})(?!\d)", r"^(.{11}\d{2})(\d{2})(?=$|[+Z-])", r"^(.{11}\d{2}:\d{2}:\d{2}),(?=\d)"
-_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?([+-]\d{2}:?\d{2}|Z)?)?$"
+_SEPARATOR = r"^(\d{4}-\d{2}-\d{2})[^T](?=\d{2})"
+_OFFSET = r"[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?"
+_ISO = rf"^\d{{4}}-\d{{2}}-\d{{2}}([T ]\d{{2}}(:\d{{2}}(:\d{{2}}(\.\d+)?)?)?({_OFFSET}|Z)?)?$"
 
 
 def _week_day(x: Column) -> Column:
@@ -22,7 +24,7 @@ def _week_day(x: Column) -> Column:
 
 def _extended(x: Column) -> Column:
     weekly = F.when(F.regexp_like(x, F.lit(_WEEK)), F.concat(_week_day(x), F.regexp_replace(x, _WEEK, ""))).otherwise(x)
-    out = F.regexp_replace(weekly, _PLAIN_DAY, "$1-$2-$3")
+    out = F.regexp_replace(F.regexp_replace(weekly, _PLAIN_DAY, "$1-$2-$3"), _SEPARATOR, "$1T")
     out = F.regexp_replace(F.regexp_replace(out, _PLAIN_TIME, "$1:$2:$3"), _PLAIN_MINUTE, "$1:$2")
     return F.regexp_replace(out, _COMMA, "$1.")
 
@@ -36,5 +38,5 @@ def instant(x: Column) -> Column:
 
 def _usual(x: Column) -> Column:
     timed = F.when(F.length(x) == 10, F.concat(x, F.lit("T00:00:00"))).when(F.regexp_like(x, F.lit(r"^.{10}.\d{2}([+Z-].*)?$")), F.regexp_replace(x, r"^(.{10}.\d{2})", "$1:00:00")).when(F.regexp_like(x, F.lit(r"^.{10}.\d{2}:\d{2}([+Z-].*)?$")), F.regexp_replace(x, r"^(.{10}.\d{2}:\d{2})", "$1:00")).otherwise(x)
-    zoned = F.when(F.regexp_like(timed, F.lit(r"([+-]\d{2}:?\d{2}|Z)$")) & (F.length(timed) > 10), F.regexp_replace(F.regexp_replace(timed, "Z$", "+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(F.concat(timed, F.lit("+00:00")))
+    zoned = F.when(F.regexp_like(timed, F.lit(f"({_OFFSET}|Z)$")) & (F.length(timed) > 10), F.regexp_replace(F.regexp_replace(F.regexp_replace(timed, "Z$", "+00:00"), r"([+-]\d{2})(\d{2})(\d{2})$", "$1:$2:$3"), r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(F.concat(timed, F.lit("+00:00")))
     return F.when(F.regexp_like(x, F.lit(_ISO)), F.try_to_timestamp(zoned))

@@ -381,11 +381,13 @@ def request_queries(spark, sf):
     return _events(spark, sf).select("event_id", settings.request_query(zone, point).alias("query"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 8 = 7 THEN NULL WHEN event_id % 8 = 3 THEN date_trunc('day', ts) WHEN event_id % 8 = 4 THEN date_trunc('minute', ts) WHEN event_id % 8 = 5 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN event_id % 8 = 6 THEN date_trunc('week', ts) ELSE date_trunc('second', ts) END AS at FROM events""")
+@query("""SELECT event_id, CASE event_id % 11 WHEN 7 THEN NULL WHEN 3 THEN date_trunc('day', ts) WHEN 4 THEN date_trunc('minute', ts) WHEN 5 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 6 THEN date_trunc('week', ts)
+    WHEN 8 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 9 THEN date_trunc('second', ts) + INTERVAL 7230 SECOND ELSE date_trunc('second', ts) END AS at FROM events""")
 def iso_instants(spark, sf):
-    """Extended, basic, with a comma, a day, a minute, an offset, a week, and no instant at all."""
+    """Extended, basic, with a comma, a day, a minute, an offset, a week, no instant at all, an offset of hours, one with seconds, another separator."""
     of = lambda form: F.date_format("ts", form)
     week = F.concat(F.extract(F.lit("YEAROFWEEK"), F.col("ts")).cast("string"), F.lit("-W"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
     forms = (of("yyyy-MM-dd'T'HH:mm:ss'Z'"), of("yyyyMMdd'T'HHmmss'Z'"), of("yyyy-MM-dd HH:mm:ss',000'"), of("yyyy-MM-dd"), of("yyyy-MM-dd'T'HH:mm"), of("yyyy-MM-dd'T'HH:mm:ss'+0200'"), week, of("yyyy-MM-dd'T'HH'h'"))
-    text = F.get(F.array(*forms), (F.col("event_id") % 8).cast("int"))
+    forms += (of("yyyy-MM-dd'T'HH:mm:ss'+02'"), of("yyyy-MM-dd'T'HH:mm:ss'-02:00:30'"), of("yyyy-MM-dd'_'HH:mm:ss"))
+    text = F.get(F.array(*forms), (F.col("event_id") % 11).cast("int"))
     return _events(spark, sf).select("event_id", clock.instant(text).alias("at"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, classify, clock, dims, geo, ident, text
 from ..operators import geometry, lifecycle, locate, quadtree, serve
+from ..operators.needles import first_needles
 from ..storage import shared_folder
 from ..streaming import lifecycle as stream
 from . import feed_queries, snapshots, stream_queries  # noqa: F401
@@ -197,6 +198,21 @@ def bbox_prefilter_pip(spark, sf):
     return quadtree.points_in_shapes(points, shapes)
 
 
+_NEEDLES_SQL = """w AS (SELECT item_id, list_filter(regexp_split_to_array(text, ' '), lambda x: x <> '') AS ws FROM benchmark),
+    x AS (SELECT item_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM w, generate_series(2, 3) AS g(k)),
+    n AS (SELECT array_to_string(ws[i:i + k - 1], ' ') AS needle, min(item_id * 1000000 + i * 2 + k) AS place FROM x GROUP BY 1)"""
+
+
+@query(f"WITH {_NEEDLES_SQL} SELECT doc_id, arg_min(needle, place) AS needle, min(place) AS place FROM documents JOIN n ON contains(text, needle) GROUP BY doc_id")
+def needle_index_join(spark, sf):
+    """The first run of two or three words of the benchmark that each whole document contains."""
+    w = table(spark, sf, "benchmark").select("item_id", F.filter(F.split("text", " "), lambda x: x != "").alias("ws"))
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size("ws") - k + 1), lambda i: F.struct(F.array_join(F.slice("ws", i, k), " ").alias("needle"), (i * 2 + k).cast("long").alias("at")))
+    found = w.filter(F.size("ws") >= 3).select("item_id", F.explode(F.concat(runs(2), runs(3))).alias("x"))
+    needles = found.select("x.needle", (F.col("item_id") * 1000000 + F.col("x.at")).alias("place"))
+    return first_needles(table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text"), needles).withColumnRenamed("text_id", "doc_id")
+
+
 #: Three events of ten are in one city; a shape's size goes by its id, and every fiftieth is there too.
 _CITY = "CASE WHEN {k} % 10 < 3 THEN 40.7 + ({k} % 97) / 10000.0 ELSE 25.0 + ({k} * 7919 % 25000) / 1000.0 END AS lat, CASE WHEN {k} % 10 < 3 THEN -74.0 + ({k} % 89) / 10000.0 ELSE -125.0 + ({k} * 10007 % 60000) / 1000.0 END AS lon"
 _SIZE, _LAT, _LON = "0.1 * power(2, vec_id % 8)", "CASE WHEN vec_id % 50 = 0 THEN 40.7 ELSE 25.0 + (vec_id * 6971 % 25000) / 1000.0 END", "CASE WHEN vec_id % 50 = 0 THEN -74.0 ELSE -125.0 + (vec_id * 9973 % 60000) / 1000.0 END"

@@ -16,6 +16,8 @@ import os
 import re
 import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as TooLate
 from urllib.request import urlopen
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
@@ -26,9 +28,20 @@ PROVIDERS = ("nws", "eccc", "meteoalarm")
 
 
 def open_document(place: str, timeout: float) -> str:
-    if "://" in place:
+    """The whole document within ``timeout`` seconds; a socket's own limit starts anew with each part that comes."""
+
+    def whole() -> str:
         with urlopen(place, timeout=timeout) as f:  # noqa: S310
             return f.read().decode("utf-8")
+
+    if "://" in place:
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(whole).result(timeout)
+        except TooLate:
+            raise TimeoutError(f"{place}: no answer within {timeout:g} s") from None
+        finally:
+            pool.shutdown(wait=False)
     with open(place, encoding="utf-8") as f:
         return f.read()
 

@@ -42,6 +42,19 @@ def test_phases_at_the_very_instant(spark):
     assert df.select(classify.phase(F.col("m"), F.lit(None).cast("timestamp"), now)).first()[0] == "new"
 
 
+def test_instants_as_pythons_parser_reads_them(spark):
+    days = ("2026-04-20", "20260420", "2026-W17-1", "2026W171")
+    times = ("", "07", "07:30", "0730", "07:30:15", "073015", "07:30:15.25", "07:30:15,250000")
+    offsets = ("", "Z", "+02", "-0230", "+02:00", "+02:00:30", "-020030")
+    forms = [f"{d}{sep}{t}{o}" if t else d for d in days for t in times for o in (offsets if t else ("",)) for sep in (("T", " ", "_") if d == "2026-04-20" else ("T",))]
+
+    def by_python(x):
+        at = datetime.fromisoformat(x)
+        return int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp() * 1_000_000)
+
+    assert column(spark, forms, lambda x: F.unix_micros(clock.instant(x))) == [by_python(x) for x in forms]
+
+
 @pytest.mark.parametrize(
     ("written", "want"),
     [

@@ -17,6 +17,7 @@ from stormglass.operators import lifecycle
 from stormglass.operators.lifecycle import CARRIED
 from stormglass.plans.stream_queries import run_stream
 from stormglass.sources import poll_stream
+from stormglass.sources.connector import open_document
 from stormglass.streaming import lru, sink, stateful
 
 COLUMNS = ["entry_id", "poll_seq", "event_type", "event_seq", "incident_id", "phase", "phase_changed", "changed_fields", "severity"]
@@ -170,6 +171,9 @@ def test_each_fault_has_its_status_and_the_whole_fetch_one_limit(server):
     assert [status(p) for p in ("good", "odd", "broken", "missing")] == ["ok", "invalid", "malformed", "unreachable"]
     began = time.monotonic()
     assert status("slow") == "timeout" and time.monotonic() - began < 2
+    with pytest.raises(TimeoutError):
+        open_document(f"{server}/slow", 0.4)
+    assert time.monotonic() - began < 3
     assert poll_stream.fetch({"path": f"{server}/good", "provider": "meteoalarm"})[-1] == {"status": "invalid", "detail": "no country is set"}
     assert poll_stream.fetch({"path": f"{server}/good", "provider": "meteoalarm", "country": "XX"})[-1]["status"] == "invalid"
     assert status("list", provider="meteoalarm", country="DE") == "invalid"
