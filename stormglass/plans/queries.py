@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import checks, classify, clock, dims, geo, ident, text
-from ..operators import geometry, lifecycle, locate, quadtree, serve
+from ..operators import geometry, lifecycle, locate, overlap, quadtree, serve
 from ..operators.needles import first_needles
 from ..storage import shared_folder
 from ..streaming import lifecycle as stream
@@ -279,6 +279,30 @@ def region_semi_join(spark, sf):
     return locate.region_join(c, wanted).select(F.col("id").alias("c_custkey"))
 
 
+_OVERLAP_SQL = """e AS (SELECT c_custkey, unnest(['c' || c_custkey % 1000, 'd' || c_custkey % 997, CASE WHEN c_custkey % 500 = 0 THEN 'all' END]) AS code FROM customer),
+    a AS (SELECT o_orderkey, unnest(['c' || o_orderkey % 1000, 'd' || o_orderkey % 997, 'all', NULL]) AS code FROM orders)"""
+
+
+def _overlaps(spark, sf):
+    """Orders as alerts, customers as entries; all alerts have one code, which few entries want."""
+    code = lambda letter, key, mod: F.concat(F.lit(letter), (F.col(key) % mod).cast("string"))
+    everywhere = F.when(F.col("c_custkey") % 500 == 0, "all")
+    entries = table(spark, sf, "customer").select(F.col("c_custkey").alias("entry_id"), F.array(code("c", "c_custkey", 1000), code("d", "c_custkey", 997), everywhere).alias("regions"))
+    alerts = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.array(code("c", "o_orderkey", 1000), code("d", "o_orderkey", 997), F.lit("all"), F.lit(None).cast("string")).alias("geocode_same"))
+    numbers = overlap.numbered(alerts)
+    return overlap.matches(entries, alerts, numbers), numbers
+
+
+@query(f"WITH {_OVERLAP_SQL} SELECT DISTINCT c_custkey AS entry_id, o_orderkey AS id FROM e JOIN a USING (code)")
+def overlap_pairs(spark, sf):
+    return overlap.pairs(*_overlaps(spark, sf))
+
+
+@query(f"WITH {_OVERLAP_SQL} SELECT c_custkey AS entry_id, count(DISTINCT o_orderkey) AS n_alerts FROM e JOIN a USING (code) GROUP BY 1")
+def overlap_counts(spark, sf):
+    return overlap.counts(_overlaps(spark, sf)[0])
+
+
 # Languages
 
 
