@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-GRAM = 3
+GRAM = 6
+#: Rows of a side that is broadcast, some 20 MB at most of needles that are no longer than their texts' lines; larger ones are shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def grams(text: Column, size: int) -> Column:
@@ -25,6 +27,11 @@ def grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """``table``, to be sent to all tasks if its rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _text_grams(texts: DataFrame, sizes: list[int]) -> DataFrame:
     return texts.select("text_id", F.explode(F.array_distinct(F.flatten(F.array(*(grams(F.col("text"), k) for k in sizes))))).alias("gram"))
 
@@ -41,7 +48,7 @@ def index(texts: DataFrame, needles: DataFrame) -> tuple[DataFrame, list[int]]:
     sizes = sorted(r[0] for r in filed.select(F.char_length("gram")).distinct().collect())  # GRAM at most
     if not sizes:
         return one.withColumn("gram", F.lit("")).limit(0), []
-    counts = _text_grams(texts, sizes).join(filed.select("gram").distinct(), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = _text_grams(texts, sizes).join(_small(written(filed.select("gram").distinct())), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rated = filed.join(counts, "gram", "left")
     rarest = rated.groupBy("needle", "place").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("n").alias("n_found"), F.count(F.lit(1)).alias("n_grams"))
     return written(rarest.filter("n_found = n_grams").select("needle", "place", "gram")), sizes
@@ -52,7 +59,7 @@ def first_needles(texts: DataFrame, needles: DataFrame) -> DataFrame:
     filed, sizes = index(texts, needles)
     if not sizes:
         return texts.select("text_id").join(filed.select("needle", "place"), F.lit(False))
-    near = _text_grams(texts, sizes).join(filed, "gram").select("text_id", "needle", "place")
+    near = _text_grams(texts, sizes).join(_small(filed), "gram").select("text_id", "needle", "place")
     hits = texts.join(written(near), "text_id").filter(F.contains("text", "needle"))
     best = hits.groupBy("text_id").agg(F.min_by("needle", "place").alias("needle"), F.min("place").alias("place"))
     return best

@@ -203,14 +203,15 @@ _NEEDLES_SQL = """w AS (SELECT item_id, list_filter(regexp_split_to_array(text,
     n AS (SELECT array_to_string(ws[i:i + k - 1], ' ') AS needle, min(item_id * 1000000 + i * 2 + k) AS place FROM x GROUP BY 1)"""
 
 
-@query(f"WITH {_NEEDLES_SQL} SELECT doc_id, arg_min(needle, place) AS needle, min(place) AS place FROM documents JOIN n ON contains(text, needle) GROUP BY doc_id")
+@query(f"WITH {_NEEDLES_SQL} SELECT conv_id || ':' || turn AS text_id, arg_min(needle, place) AS needle, min(place) AS place FROM conversations JOIN n ON contains(text, needle) GROUP BY 1")
 def needle_index_join(spark, sf):
-    """The first run of two or three words of the benchmark that each whole document contains."""
+    """The first run of two or three words of the benchmark that each turn of a conversation contains."""
     w = table(spark, sf, "benchmark").select("item_id", F.filter(F.split("text", " "), lambda x: x != "").alias("ws"))
     runs = lambda k: F.transform(F.sequence(F.lit(1), F.size("ws") - k + 1), lambda i: F.struct(F.array_join(F.slice("ws", i, k), " ").alias("needle"), (i * 2 + k).cast("long").alias("at")))
     found = w.filter(F.size("ws") >= 3).select("item_id", F.explode(F.concat(runs(2), runs(3))).alias("x"))
     needles = found.select("x.needle", (F.col("item_id") * 1000000 + F.col("x.at")).alias("place"))
-    return first_needles(table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text"), needles).withColumnRenamed("text_id", "doc_id")
+    turns = table(spark, sf, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("text_id"), "text")
+    return first_needles(turns, needles)
 
 
 #: Three events of ten are in one city; a shape's size goes by its id, and every fiftieth is there too.
