@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock, dims, ident
-from ..operators import geometry, lifecycle, locate, serve
+from ..operators import geometry, geometry_index, lifecycle, locate, serve
 from ..operators.order import placed
 from ..sources import feeds, settings
+from ..storage import shared_folder
 from . import snapshots
 from .registry import query
 from .snapshots import EVENTS_SQL, SNAPSHOT_SQL, normalised, polls, table
@@ -284,6 +285,18 @@ def geometry_lookup(spark, sf):
     return geometry.lookup(d.select(_text("nws:", F.col("doc_id")).alias("ref"), point.alias("geometry")), "nws:3")
 
 
+@query("""SELECT 'nws:' || doc_id AS ref, '{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"coordinates":[' || (doc_id % 90) || '.5,1.5],"type":"Point"},"properties":{"ref":"nws:' || doc_id || '"}}]}' AS body
+    FROM documents WHERE doc_id IN (SELECT doc_id * 3 FROM labels)""")
+def geometry_lookup_indexed(spark, sf):
+    """The store of all documents' points laid out by ref, and a look-up of three times each labelled id: many are not there."""
+    path = shared_folder(spark)
+    d = table(spark, sf, "documents")
+    point = _text('{"type":"Point","coordinates":[', F.col("doc_id") % 90, ".5,1.5]}")
+    store = d.select(_text("nws:", F.col("doc_id")).alias("ref"), point.alias("geometry"), F.length(point).cast("long").alias("size"), F.col("doc_id").alias("touch_seq"))
+    geometry_index.write(store, path)
+    return geometry_index.lookup_all(spark, path, table(spark, sf, "labels").select(_text("nws:", F.col("doc_id") * 3).alias("ref")))
+
+
 # Views
 
 _PARAMETERS_SQL = """'{"awareness_level":["' || level || '"]}'"""
