@@ -255,7 +255,7 @@ def geometry_touches(spark, sf):
 
 def _polled(seq: int) -> str:
     provider = "eccc" if seq == 1 else "nws"
-    return f"SELECT DISTINCT '{provider}:' || user_id AS ref, length('ring ' || user_id || ' of {seq}') AS size, CAST({seq} AS BIGINT) AS touch_seq FROM events WHERE event_id % 4 = {seq}"
+    return f"SELECT DISTINCT '{provider}:' || user_id AS ref, length('ring ' || user_id || ' of {seq}') AS size, CAST({seq} AS BIGINT) AS touch_seq FROM events WHERE event_id % 4 = {seq % 4}"
 
 
 def _synced(seq: int) -> str:
@@ -265,15 +265,15 @@ def _synced(seq: int) -> str:
     s{seq} AS (SELECT ref, size, touch_seq FROM (SELECT *, sum(size) OVER (ORDER BY touch_seq DESC, ref ROWS UNBOUNDED PRECEDING) AS run FROM u{seq}) WHERE run <= {dims.GEOMETRY_LIMIT_CHARS})"""
 
 
-@query(f"WITH s0 AS (SELECT '' AS ref, 0 AS size, CAST(0 AS BIGINT) AS touch_seq WHERE false), {_synced(1)}, {_synced(2)}, {_synced(3)} SELECT ref, size, touch_seq FROM s3")
+@query(f"WITH s0 AS (SELECT '' AS ref, 0 AS size, CAST(0 AS BIGINT) AS touch_seq WHERE false), {', '.join(map(_synced, range(1, 5)))} SELECT ref, size, touch_seq FROM s4")
 def geometry_sync(spark, sf):
-    """Three polls of two providers: what a later poll of a provider lacks goes, and stays away."""
+    """Four polls of two providers: what a later poll of a provider lacks goes, and stays away."""
     e = table(spark, sf, "events").select("event_id", "user_id")
     store = spark.createDataFrame([], "ref string, geometry string, size long, touch_seq long")
-    for seq in (1, 2, 3):
+    for seq in range(1, 5):
         provider = "eccc" if seq == 1 else "nws"
         shape = _text("ring ", F.col("user_id"), f" of {seq}")
-        alerts = e.filter(F.col("event_id") % 4 == seq).select(_text(f"{provider}:", F.col("user_id")).alias("geometry_ref"), shape.alias("geometry"), F.lit("new").alias("phase")).distinct()
+        alerts = e.filter(F.col("event_id") % 4 == seq % 4).select(_text(f"{provider}:", F.col("user_id")).alias("geometry_ref"), shape.alias("geometry"), F.lit("new").alias("phase")).distinct()
         store = geometry.sync(store, alerts, F.lit(seq).cast("long"), provider)
     return store.select("ref", "size", "touch_seq")
 
@@ -340,10 +340,12 @@ def event_entity_ids(spark, sf):
     return found.select("poll_seq", "incident_id", "event_type", "entity_id")
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS code, n_name AS label FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 1)")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS code, n_name AS label FROM nation WHERE n_nationkey % 3 > 0 AND n_nationkey IN (SELECT c_nationkey FROM customer)")
 def selection_carried(spark, sf):
+    """The nations of all customers are selected; a third of them has codes that are no longer offered."""
     offered = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("label"))
-    chosen = table(spark, sf, "customer").filter("c_custkey % 50 = 1").select(F.explode(F.array(F.col("c_nationkey").cast("string"), F.lit("no longer there"))).alias("code"))
+    code = F.col("c_nationkey").cast("string")
+    chosen = table(spark, sf, "customer").select(F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("old "), code)).otherwise(code).alias("code"))
     return serve.carry_selection(offered, chosen)
 
 

@@ -158,26 +158,31 @@ def area_join_distinct(spark, sf):
     return lists.select("conv_id", text.join_areas(F.col("areas")).alias("area_desc"))
 
 
-# Geometry: an embedding's first 16 numbers are a ring of 8 points (lon, lat)
+# Geometry: an embedding's 64 numbers are a ring of 32 points (lon, lat)
 
 
 def _rings(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.array(F.get("v", 2 * i), F.get("v", 2 * i + 1))).alias("ring"), "v")
+    return e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.array(F.get("v", 2 * i), F.get("v", 2 * i + 1))).alias("ring"), "v")
 
 
-_RING_SQL = "p AS (SELECT vec_id, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embedding[2 * i + 2] AS DOUBLE) AS y FROM embeddings, generate_series(0, 7) AS g(i))"
-_INSIDE_SQL = """edges AS (SELECT a.vec_id, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.i = (a.i + 7) % 8),
+_RING_SQL = "p AS (SELECT vec_id, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embedding[2 * i + 2] AS DOUBLE) AS y FROM embeddings, generate_series(0, 31) AS g(i))"
+_INSIDE_SQL = """edges AS (SELECT a.vec_id, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.i = (a.i + 31) % 32),
     inside AS (SELECT vec_id, count(*) FILTER ((yi > {lat}) <> (yj > {lat}) AND {lon} < (xj - xi) * ({lat} - yi) / CASE WHEN yj = yi THEN NULL ELSE yj - yi END + xi) % 2 = 1 AS inside FROM edges GROUP BY vec_id)"""
 
 
-@query("SELECT vec_id, CAST(8 AS INTEGER) AS spaced_points, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE CAST(8 AS INTEGER) END AS pair_points FROM embeddings")
+@query("""SELECT vec_id, CAST(i AS INTEGER) AS i, CAST(printf('%.6f', embedding[2 * i + 1]) AS DOUBLE) AS lon, CAST(printf('%.6f', embedding[2 * i + 2]) AS DOUBLE) AS lat,
+    CASE WHEN vec_id % 5 > 0 THEN CAST(printf('%.6f', embedding[2 * i + 1]) AS DOUBLE) END AS pair_lon, CASE WHEN vec_id % 5 > 0 THEN CAST(printf('%.6f', embedding[2 * i + 2]) AS DOUBLE) END AS pair_lat
+    FROM embeddings, generate_series(0, 31) AS g(i)""")
 def polygon_parse(spark, sf):
+    """Each point of a ring as parsed from spaced numbers and from pairs, some of which have another separator."""
     fixed = lambda x: F.format_number(x, 6)
     r = _rings(spark, sf)
     spaced = F.array_join(F.transform("ring", lambda p: F.concat(fixed(p[1]), F.lit(" "), fixed(p[0]))), "  ")
     pairs = F.array_join(F.transform("ring", lambda p: F.concat(fixed(p[1]), F.when(F.col("vec_id") % 5 == 0, ";").otherwise(","), fixed(p[0]))), " ")
-    return r.select("vec_id", F.size(geo.spaced_ring(spaced)).alias("spaced_points"), F.size(geo.pair_ring(pairs)).alias("pair_points"))
+    parsed = r.select("vec_id", geo.spaced_ring(spaced).alias("spaced"), geo.pair_ring(pairs).alias("pairs")).select("vec_id", "pairs", F.posexplode("spaced").alias("i", "p"))
+    pair = F.get("pairs", F.col("i"))
+    return parsed.select("vec_id", "i", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"), F.get(pair, F.lit(0)).alias("pair_lon"), F.get(pair, F.lit(1)).alias("pair_lat"))
 
 
 @query(f"WITH {_RING_SQL}, {_INSIDE_SQL.format(lat='0.01', lon='0.02')} SELECT vec_id, inside FROM inside")
@@ -191,7 +196,7 @@ def bbox_polygon(spark, sf):
     return b.select("vec_id", *(F.col("b")[i].alias(n) for i, n in enumerate(("min_lon", "min_lat", "max_lon", "max_lat"))))
 
 
-@query(f"WITH {_RING_SQL}, q(point_id, lat, lon) AS (VALUES (1, 0.01, 0.02), (2, -0.05, 0.0), (3, 0.2, 0.2)), edges AS (SELECT a.vec_id, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.i = (a.i + 7) % 8) SELECT CAST(point_id AS BIGINT) AS point_id, vec_id AS shape_id FROM edges, q GROUP BY point_id, vec_id HAVING count(*) FILTER ((yi > lat) <> (yj > lat) AND lon < (xj - xi) * (lat - yi) / CASE WHEN yj = yi THEN NULL ELSE yj - yi END + xi) % 2 = 1")
+@query(f"WITH {_RING_SQL}, q(point_id, lat, lon) AS (VALUES (1, 0.01, 0.02), (2, -0.05, 0.0), (3, 0.2, 0.2)), edges AS (SELECT a.vec_id, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.i = (a.i + 31) % 32) SELECT CAST(point_id AS BIGINT) AS point_id, vec_id AS shape_id FROM edges, q GROUP BY point_id, vec_id HAVING count(*) FILTER ((yi > lat) <> (yj > lat) AND lon < (xj - xi) * (lat - yi) / CASE WHEN yj = yi THEN NULL ELSE yj - yi END + xi) % 2 = 1")
 def bbox_prefilter_pip(spark, sf):
     points = spark.createDataFrame([(1, 0.01, 0.02), (2, -0.05, 0.0), (3, 0.2, 0.2)], "point_id long, lat double, lon double")
     shapes = _rings(spark, sf).select(F.col("vec_id").alias("shape_id"), geo.geometry_of(F.array("ring")).alias("geometry"))
@@ -266,11 +271,12 @@ def province_match(spark, sf):
     return j.select("c_custkey", checks.matches_province(F.concat("n_name", F.lit(" "), "c_mktsegment"), F.col("c_mktsegment"), F.lit("ma")).alias("matches"))
 
 
-@query("SELECT o_orderkey, bool_or(l_suppkey % 10 IN (3, 7)) AS overlaps FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+@query("SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_suppkey % 10 IN (3, 7) AND l_orderkey IN (SELECT o_orderkey FROM orders)")
 def region_overlap(spark, sf):
+    """The orders, as alerts, that have one of two codes; an empty code does not count."""
     codes = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_suppkey") % 10).cast("string")).alias("geocode_same"))
     alerts = table(spark, sf, "orders").join(codes, F.col("o_orderkey") == F.col("l_orderkey"))
-    return alerts.select("o_orderkey", F.arrays_overlap("geocode_same", F.array(F.lit("3"), F.lit("7"))).alias("overlaps"))
+    return locate.of_regions(alerts, ["3", "", "7"]).select("o_orderkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey IN (1, 3))")
