@@ -13,7 +13,7 @@ from ..functions import clock, dims, ident
 from ..operators import geometry, geometry_index, lifecycle, locate, serve
 from ..operators.order import placed
 from ..sources import feeds, settings
-from ..storage import shared_folder
+from ..storage import shared_folder, written
 from . import snapshots
 from .registry import query
 from .snapshots import EVENTS_SQL, SNAPSHOT_SQL, normalised, polls, table
@@ -274,7 +274,7 @@ def geometry_sync(spark, sf):
         provider = "eccc" if seq == 1 else "nws"
         shape = _text("ring ", F.col("user_id"), f" of {seq}")
         alerts = e.filter(F.col("event_id") % 4 == seq % 4).select(_text(f"{provider}:", F.col("user_id")).alias("geometry_ref"), shape.alias("geometry"), F.lit("new").alias("phase")).distinct()
-        store = geometry.sync(store, alerts, F.lit(seq).cast("long"), provider)
+        store = written(geometry.sync(store, alerts, F.lit(seq).cast("long"), provider))
     return store.select("ref", "size", "touch_seq")
 
 
