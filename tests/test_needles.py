@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
+from stormglass.operators import needles as needle_join
 from stormglass.operators.needles import first_needles, index
 
 
-def test_first_needle_against_all_pairs(spark):
+@pytest.mark.parametrize("few", [10**5, 0])
+def test_first_needle_against_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(needle_join, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(needle_join, "WINDOW", 1000)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcé😀 ") for _ in range(rng.randrange(1, 8)))
     texts = [(i, " ".join(word() for _ in range(rng.randrange(0, 30)))) for i in range(200)] + [(900, None), (901, ""), (902, "x" * 70_000 + "needle\n?"), (903, "same"), (903, "other abc")]
