@@ -23,20 +23,31 @@ def gps(x: Column) -> Column:
     return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
+def _bound(x: Column, f) -> Column:
+    """``f`` of ``x``, which is made once however often ``f`` names it: it is bound as an array's element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def spaced_ring(x: Column) -> Column:
     """A ring from "lat lon lat lon ..."; null with under three points, an odd count or a bad number."""
-    n = F.transform(F.split(strip(text_of(x)), r"(?U)\s+"), number)
-    size = F.size(n)
-    fine = (size >= 6) & (size % 2 == 0) & F.forall(n, lambda v: v.isNotNull())
-    return F.when(fine, F.transform(F.sequence(F.lit(0), F.greatest(F.floor(size / 2).cast("int") - 1, F.lit(0))), lambda i: F.array(F.get(n, 2 * i + 1), F.get(n, 2 * i))))
+
+    def ring(n: Column) -> Column:
+        size = F.size(n)
+        fine = (size >= 6) & (size % 2 == 0) & F.forall(n, lambda v: v.isNotNull())
+        return F.when(fine, F.transform(F.sequence(F.lit(0), F.greatest(F.floor(size / 2).cast("int") - 1, F.lit(0))), lambda i: F.array(F.get(n, 2 * i + 1), F.get(n, 2 * i))))
+
+    return _bound(F.transform(F.split(strip(text_of(x)), r"(?U)\s+"), number), ring)
 
 
 def pair_ring(x: Column) -> Column:
     """A ring from "lat,lon lat,lon ..."; null with under three different points (to six places) or a bad pair."""
+
+    def ring(points: Column) -> Column:
+        fine = F.forall(points, lambda p: p[0].isNotNull() & p[1].isNotNull()) & (F.size(F.array_distinct(F.transform(points, lambda p: F.struct(F.round(p[0], 6), F.round(p[1], 6))))) >= 3)
+        return F.when(fine, points)
+
     pairs = F.split(strip(text_of(x)), r"(?U)\s+")
-    points = F.transform(pairs, lambda p: F.array(number(F.get(F.split(p, ",", 2), F.lit(1))), number(F.get(F.split(p, ",", 2), F.lit(0)))))
-    fine = F.forall(points, lambda p: p[0].isNotNull() & p[1].isNotNull()) & (F.size(F.array_distinct(F.transform(points, lambda p: F.struct(F.round(p[0], 6), F.round(p[1], 6))))) >= 3)
-    return F.when(fine, points)
+    return _bound(F.transform(pairs, lambda p: F.array(number(F.get(F.split(p, ",", 2), F.lit(1))), number(F.get(F.split(p, ",", 2), F.lit(0))))), ring)
 
 
 def area_rings(areas: Column) -> Column:
