@@ -176,3 +176,12 @@ def test_archive(spark):
     rows = spark.createDataFrame([("e", 1, "incident_removed", 1, "a", "Storm", "expired"), ("e", 1, "incident_created", 2, "b", "Storm", "new")], "entry_id string, poll_seq long, event_type string, event_seq int, incident_id string, event string, phase string")
     (row,) = serve.archive(rows).collect()
     assert row["title"] == "Incident removed: Storm (expired)" and json.loads(row["message"])["incident_id"] == "a" and lifecycle.REMOVED == "incident_removed"
+
+
+def test_region_overlap_has_a_row_for_each_order(spark):
+    from stormglass.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    found = {r["o_orderkey"]: r["overlaps"] for r in QUERIES["region_overlap"](spark, sf).collect()}
+    orders = spark.read.parquet(f"{sf}/lineitem.parquet").join(spark.read.parquet(f"{sf}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey").distinct()
+    assert set(found) == {r["o_orderkey"] for r in orders.collect()} and set(found.values()) == {True, False}
