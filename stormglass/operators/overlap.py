@@ -1,9 +1,18 @@
-"""Which alerts share a code with which entries, for all entries at once, by bitmaps.
+"""Which alerts share a code with which entries, for all entries at once.
 
-Alerts are numbered in order of their ids.  A code's alerts are a bitmap, in buckets of BITS numbers; an entry's are those of its
-codes, united bucket by bucket.  So an alert that shares several codes with an entry is there once without a
-list of pairs to be made distinct, and a code that all alerts have costs a bit for each of them and not a row.  The buckets of such a code
-are dealt to parts of PART_BUCKETS, and the entries that want it go to all of its parts.
+An entry meets an alert through each code that both have.  Pairs that share several codes are few beside all pairs, and
+are found by pairs of codes (``several``), so that no list of all pairs has to be made distinct:
+
+* ``counted`` adds up how many alerts each code of an entry has, and takes off what that counts more than once.  Alerts (entries) with the same
+  codes are one kind, so its work goes by kinds and not by pairs of entries and alerts.
+* ``paired`` streams the alerts of each code, kept in lists of some PART ids, to the entries that want it, less those that an entry meets
+  through an earlier code.  Pairs go out as they are made: they are neither shuffled nor spilled, and a code that all alerts have is dealt by its lists.
+
+A list of more than LONG codes has too many pairs of codes; entries and alerts with such lists are compared by bitmaps.  There, alerts are numbered in order of their
+ids.  A code's alerts are a bitmap, in buckets of BITS numbers; an entry's are those of its
+codes, united bucket by bucket (``matches``).  The buckets of a code that many alerts have
+are dealt to parts of PART_BUCKETS, and the entries that want it go to all of its parts.  A bitmap for each
+entry and bucket costs some KB however few its alerts are, so this is for few entries or few alerts.
 
 Cases: null ids and null or empty codes match nothing; repeated ids are one alert (entry) with the codes of all its
 rows; entries or alerts without codes have no match; empty tables give none.
@@ -15,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
@@ -23,6 +32,8 @@ from .order import placed
 
 #: Bits of a bucket of Spark's bitmaps, and buckets of a code that one task joins.
 BITS, PART_BUCKETS = 32768, 8
+#: Alerts of a list of a code, and codes beyond which a row is long.
+PART, LONG = 4096, 32
 
 
 def _codes(df: DataFrame, key: str, codes: str) -> DataFrame:
@@ -63,3 +74,71 @@ def pairs(found: DataFrame, numbers: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(n)), pa.array(n, pa.int64())], names=["entry_id", "n"])
 
     return found.select("entry_id", "bucket", "bitmap").mapInArrow(bits, f"entry_id {kind}, n long").join(numbers, "n").select("entry_id", "id")
+
+
+def coded(df: DataFrame, key: str, codes: str) -> DataFrame:
+    """(key, codes): each id once with its codes, in order; those without any are left out."""
+    wanted = F.filter(F.col(codes).cast("array<string>"), lambda c: c.isNotNull() & (c != ""))
+    rows = df.select(F.col(key).alias("key"), wanted.alias("codes")).filter("key is not null and size(codes) > 0")
+    return rows.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
+
+
+def _pairs_of(codes: str) -> Column:
+    """Each two of a row's codes, in order."""
+    later = lambda c, i: F.transform(F.slice(codes, i + 2, F.size(codes)), lambda d: F.struct(c.alias("a"), d.alias("b")))
+    return F.flatten(F.transform(codes, later))
+
+
+def several(entries: DataFrame, alerts: DataFrame) -> DataFrame:
+    """(e, a, shared): entries (e, codes) and alerts (a, codes) that share several codes, and these in order."""
+    of = lambda df: df.select(*df.columns, F.explode(_pairs_of("codes")).alias("p"))
+    met = of(entries.withColumnRenamed("codes", "wanted").withColumn("codes", F.col("wanted"))).join(of(alerts), "p").select("e", "a", "p", F.array_intersect("wanted", alerts["codes"]).alias("shared"))
+    # Of the pairs of codes that two rows share, the first stands for all.
+    return met.filter((F.col("p.a") == F.col("shared")[0]) & (F.col("p.b") == F.col("shared")[1])).select("e", "a", "shared")
+
+
+def _long(df: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows of few codes, those of many, and whether there are any of these."""
+    many = df.filter(F.size("codes") > LONG)
+    return df.filter(F.size("codes") <= LONG), many, not many.isEmpty()
+
+
+def counted(entries: DataFrame, alerts: DataFrame, entry_col: str = "entry_id", id_col: str = "id", entry_codes: str = "regions", codes: str = "geocode_same") -> DataFrame:
+    """(entry_id, n_alerts) of the entries with a match."""
+    members, coming = written(coded(entries, entry_col, entry_codes)), written(coded(alerts, id_col, codes))
+    kinds = written(members.select("codes").distinct().select(F.monotonically_increasing_id().alias("e"), "codes"))
+    few, many, long_kinds = _long(kinds)
+    few_alerts, many_alerts, long_alerts = _long(coming)
+    sorts = written(few_alerts.groupBy("codes").agg(F.count(F.lit(1)).alias("n")).select(F.monotonically_increasing_id().alias("a"), "codes", "n"))
+    of_code = sorts.select(F.explode("codes").alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n"))
+    each = few.select("e", F.explode("codes").alias("code")).join(of_code, "code").select("e", "n")
+    twice = several(few, sorts.select("a", "codes")).join(sorts.select("a", "n"), "a").select("e", (F.col("n") * (1 - F.size("shared"))).alias("n"))
+    parts = each.unionByName(twice)
+    for there, k, a in ((long_kinds, many, coming), (long_alerts, few, many_alerts)):
+        if there:
+            parts = parts.unionByName(counts(matches(k, a, numbered(a, "key"), "e", "key", "codes", "codes")).toDF("e", "n"))
+    found = parts.groupBy("e").agg(F.sum("n").alias("n_alerts")).join(kinds, "e")
+    return members.join(found, "codes").select(F.col("key").alias("entry_id"), "n_alerts")
+
+
+def paired(entries: DataFrame, alerts: DataFrame, entry_col: str = "entry_id", id_col: str = "id", entry_codes: str = "regions", codes: str = "geocode_same") -> DataFrame:
+    """(entry_id, id) of all pairs that share a code, each once."""
+    wanting, coming = (written(coded(df, key, c).withColumnRenamed("key", name)) for df, key, c, name in ((entries, entry_col, entry_codes, "e"), (alerts, id_col, codes, "a")))
+    few, many, long_entries = _long(wanting)
+    few_alerts, many_alerts, long_alerts = _long(coming)
+    of_alerts = few_alerts.select("a", F.explode("codes").alias("code"))
+    n_parts = written(of_alerts.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")))
+    # An alert's list is told by a hash of its id.
+    listed = lambda df, keys, name: df.withColumn("part", F.pmod(F.xxhash64("a"), "parts")).groupBy(*keys, "part").agg(F.collect_list("a").alias(name))
+    lists = written(listed(of_alerts.join(n_parts, "code"), ["code"], "ids"))
+    again = several(few, few_alerts).select("e", "a", F.explode(F.slice("shared", 2, LONG)).alias("code"))
+    less = written(listed(again.join(n_parts, "code"), ["e", "code"], "less"))
+    wants = few.select("e", F.explode("codes").alias("code")).join(n_parts, "code")
+    slots = wants.select("e", "code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(less, ["e", "code", "part"], "left")
+    ids = F.when(F.col("less").isNull(), F.col("ids")).otherwise(F.array_except("ids", "less"))
+    met = slots.join(lists, ["code", "part"]).select(F.col("e").alias("entry_id"), F.explode(ids).alias("id"))
+    for there, e, a in ((long_entries, many, coming), (long_alerts, few, many_alerts)):
+        if there:
+            numbers = written(numbered(a, "a"))
+            met = met.unionByName(pairs(matches(e, a, numbers, "e", "a", "codes", "codes"), numbers))
+    return met

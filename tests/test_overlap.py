@@ -31,3 +31,31 @@ def test_a_code_of_all_alerts_is_bits_and_not_rows(spark):
     numbers = overlap.numbered(alerts)
     found = overlap.matches(entries, alerts, numbers)
     assert found.count() == 9 and {tuple(r) for r in overlap.counts(found).collect()} == {(i, 70_000) for i in range(3)}
+
+
+def test_lists_of_codes_with_long_ones_against_sets(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "PART", 7)
+    monkeypatch.setattr(overlap, "LONG", 6)
+    rng = random.Random(3)
+    code = lambda: rng.choice(["", None, *(f"c{i}" for i in range(30))])
+    entries = [(f"e{i}", [code() for _ in range(rng.choice([0, 1, 2, 3, 6, 12]))]) for i in range(40)] + [("all", ["everywhere", "c1"]), ("e0", ["c1", "c1"]), (None, ["c1"]), ("none", None)]
+    alerts = [(i, ["everywhere", *(code() for _ in range(rng.choice([0, 1, 3, 5, 9])))]) for i in range(200)] + [(5, ["c2"]), (None, ["c1"]), (900, None), (901, [])]
+    names = lambda rows: {k: {c for key, codes in rows if key == k for c in codes or [] if c} for k, _ in rows if k is not None}
+    kinds = ("entry_id string, regions array<string>", "id long, geocode_same array<string>")
+    for few_entries, few_alerts in ((entries, alerts), ([x for x in entries if len(x[1] or []) < 4], [x for x in alerts if len(x[1] or []) < 5]), ([], alerts), (entries, [])):
+        e, a = spark.createDataFrame(few_entries, kinds[0]), spark.createDataFrame(few_alerts, kinds[1])
+        want = {(x, i) for x, own in names(few_entries).items() for i, codes in names(few_alerts).items() if own & codes}
+        got = [tuple(r) for r in overlap.paired(e, a).collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert {tuple(r) for r in overlap.counted(e, a).collect()} == {(x, sum(y == x for y, _ in want)) for x, _ in want}
+
+
+def test_pairs_are_not_shuffled_and_counts_make_no_pairs(spark, tmp_path):
+    entries = spark.range(3000).select(F.col("id").alias("entry_id"), F.array(F.lit("all"), F.concat(F.lit("c"), (F.col("id") % 7).cast("string"))).alias("regions"))
+    alerts = spark.range(3000).select("id", F.array(F.lit("all"), F.concat(F.lit("d"), (F.col("id") % 7).cast("string"))).alias("geocode_same"))
+    written = lambda: sum(x.totalShuffleWrite() for x in (lambda s: [s.apply(i) for i in range(s.size())])(spark._jsc.sc().statusStore().executorList(False)))
+    before = written()
+    overlap.paired(entries, alerts).write.format("noop").mode("overwrite").save()
+    assert overlap.counted(entries, alerts).agg(F.min("n_alerts"), F.max("n_alerts"), F.count("entry_id")).first() == (3000, 3000, 3000)
+    # 9 million pairs; as rows or as bitmaps of each entry they are tens of MB.
+    assert written() - before < 2_000_000
