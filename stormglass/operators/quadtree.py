@@ -7,6 +7,9 @@ those rings, and the quarters that a ring's box does not touch fall away; so do
 meet rings by their codes' prefixes, at the levels that the rings have.  A cell that keeps very many points, such as a
 city, is dealt to several tasks by points.
 
+Points of the same coordinates are one place, which meets the rings once; its points then get its shapes, dealt to several tasks
+if they are very many.  While cells are split they are numbers and a box; rings are only put to those that are left.
+
 Rows of a ring: CELLS * 4**ROUNDS at most, whatever the data.
 
 Cases: coordinates beyond the world belong to its outermost cells; points with a null coordinate and rings with a
@@ -56,11 +59,20 @@ def row_of(lat: Column) -> Column:
     return _number(lat, -90.0, 180.0)
 
 
+def rings_of(shapes: DataFrame) -> DataFrame:
+    """shape_id, ring and box of each outer ring of ``shapes`` (shape_id, geometry)."""
+    return shapes.select("shape_id", F.explode(geo.outer_rings(F.col("geometry"))).alias("ring")).withColumn("box", geo.ring_box(F.col("ring"))).filter("box is not null")
+
+
 def cover(shapes: DataFrame) -> DataFrame:
-    """shape_id, ring, box, its corner cells x0, y0, x1, y1, and level and cell: CELLS rows at most for each outer ring of ``shapes`` (shape_id, geometry)."""
-    rings = shapes.select("shape_id", F.explode(geo.outer_rings(F.col("geometry"))).alias("ring")).withColumn("box", geo.ring_box(F.col("ring"))).filter("box is not null")
+    """The cells of each outer ring of ``shapes`` (shape_id, geometry)."""
+    return cells_of(rings_of(shapes).drop("ring"))
+
+
+def cells_of(rings: DataFrame) -> DataFrame:
+    """``rings`` without box, with its corner cells x0, y0, x1, y1, and level and cell: CELLS rows at most for each."""
     edge = lambda i: F.get("box", F.lit(i))
-    rings = rings.withColumns({"x0": column_of(edge(0)), "y0": row_of(edge(1)), "x1": column_of(edge(2)), "y1": row_of(edge(3))})
+    rings = rings.withColumns({"x0": column_of(edge(0)), "y0": row_of(edge(1)), "x1": column_of(edge(2)), "y1": row_of(edge(3))}).drop("box")
     at = lambda c, level: _right(F.col(c), F.lit(DEEPEST) - level)
     n_cells = lambda level: (at("x1", level) - at("x0", level) + 1) * (at("y1", level) - at("y0", level) + 1)
     placed = rings.withColumn("level", F.array_max(F.filter(F.sequence(F.lit(0), F.lit(DEEPEST)), lambda level: n_cells(level) <= CELLS)))
@@ -115,17 +127,40 @@ def adapted(cells: DataFrame, points: DataFrame, crowded: int = CROWDED, rounds:
     return counted.drop("n_rings", "full"), sorted({level for level, _ in found})
 
 
-def points_in_shapes(points: DataFrame, shapes: DataFrame, crowded: int = CROWDED, part_points: int = PART_POINTS) -> DataFrame:
-    """(point_id, shape_id) of the points (point_id, lat, lon) inside the shapes (shape_id, geometry)."""
-    located = points.filter("lat is not null and lon is not null").select("point_id", "lat", "lon", morton(column_of(F.col("lon")), row_of(F.col("lat"))).alias("code"))
-    cells, levels = adapted(written(cover(shapes)), located, crowded)
+def _places_in_shapes(places: DataFrame, shapes: DataFrame, crowded: int, part_points: int) -> DataFrame | None:
+    """(place_no, heaps, shapes) of the ``places`` (place_no, lat, lon, code, heaps) in shapes, and all shapes of each; None if no place is near any."""
+    rings = written(rings_of(shapes).withColumn("ring_no", F.monotonically_increasing_id()))
+    cells, levels = adapted(cells_of(rings.select("ring_no", "box")), places, crowded)
     if not levels:
-        return located.select("point_id", F.lit(None).cast(shapes.schema["shape_id"].dataType).alias("shape_id")).limit(0)
+        return None
     parts = F.ceil(F.col("n_points") / part_points)
     busy = written(cells.select("level", "cell", parts.alias("parts")).distinct())
-    # A crowded cell's points are dealt to its parts, each of which has all its rings.
-    rings = cells.select("shape_id", "ring", "box", "level", "cell", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    dealt = _at_levels(located, levels).join(busy, ["level", "cell"]).withColumn("part", F.pmod(F.xxhash64("point_id", "lat", "lon"), "parts"))
+    # A crowded cell's places are dealt to its parts, each of which has all its rings.
+    slots = cells.select("ring_no", "level", "cell", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).join(rings, "ring_no").drop("ring_no")
+    dealt = _at_levels(places, levels).join(busy, ["level", "cell"]).withColumn("part", F.pmod(F.xxhash64("place_no"), "parts"))
     lat, lon = F.col("lat"), F.col("lon")
-    met = dealt.join(rings, ["level", "cell", "part"]).filter(geo.in_box(lat, lon, F.col("box")) & geo.in_ring(lat, lon, F.col("ring")))
-    return met.select("point_id", "shape_id").distinct()
+    met = dealt.join(slots, ["level", "cell", "part"]).filter(geo.in_box(lat, lon, F.col("box")) & geo.in_ring(lat, lon, F.col("ring")))
+    return met.groupBy("place_no", "heaps").agg(F.collect_set(F.struct("shape_id")).alias("shapes"))
+
+
+def points_in_shapes(points: DataFrame, shapes: DataFrame, crowded: int = CROWDED, part_points: int = PART_POINTS) -> DataFrame:
+    """(point_id, shape_id) of the points (point_id, lat, lon) inside the shapes (shape_id, geometry)."""
+    located = points.filter("lat is not null and lon is not null").select("point_id", "lat", "lon")
+    heaps = F.ceil(F.count(F.lit(1)) / part_points).alias("heaps")
+    code = morton(column_of(F.col("lon")), row_of(F.col("lat"))).alias("code")
+    places = written(located.groupBy("lat", "lon").agg(heaps).select(F.monotonically_increasing_id().alias("place_no"), "lat", "lon", code, "heaps"))
+    inside = _places_in_shapes(places, shapes, crowded, part_points)
+    if inside is None:
+        return located.select("point_id", F.lit(None).cast(shapes.schema["shape_id"].dataType).alias("shape_id")).limit(0)
+    inside = written(inside).withColumn("heap", F.explode(F.sequence(F.lit(0).cast("long"), F.col("heaps") - 1))).drop("heaps")
+
+    def pairs(some: DataFrame) -> DataFrame:
+        rows = some.join(places.select("lat", "lon", "place_no", "heaps"), ["lat", "lon"]).select("point_id", "place_no", F.pmod(F.xxhash64("point_id"), "heaps").alias("heap"))
+        return rows.join(inside, ["place_no", "heap"]).select("point_id", F.explode("shapes.shape_id").alias("shape_id"))
+
+    # Only points that are there several times can give a pair twice.
+    again = written(located.groupBy(F.col("point_id").alias("again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("again"))
+    if again.isEmpty():
+        return pairs(located)
+    same = F.col("point_id").eqNullSafe(F.col("again"))
+    return pairs(located.join(again, same, "left_anti")).unionByName(pairs(located.join(again, same, "left_semi")).distinct())

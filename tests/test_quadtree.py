@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
+from stormglass import storage
 from stormglass.operators import quadtree
 
 
@@ -58,3 +60,37 @@ def test_a_city_is_split_and_spread_and_no_pair_is_lost(spark):
     for parts in (50, 10**6):
         assert {tuple(r) for r in quadtree.points_in_shapes(p.union(p), s, crowded=100, part_points=parts).collect()} == want
     assert quadtree.points_in_shapes(p, s.limit(0)).collect() == [] and quadtree.points_in_shapes(p.limit(0), s).collect() == []
+
+
+def shuffled(spark):
+    found = spark._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_points_of_one_place_are_tested_once_and_pairs_are_not_shuffled(spark):
+    points = spark.range(100_000).select(F.col("id").alias("point_id"), (F.col("id") % 10).cast("double").alias("lat"), F.lit(1.0).alias("lon"))
+    shapes = spark.createDataFrame([shape(i, -1, -1, 5, 20) for i in range(40)], "shape_id long, geometry string")
+    before = shuffled(spark)
+    found = quadtree.points_in_shapes(points, shapes, part_points=3000)
+    found.write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - before < 6_000_000  # 4 million pairs are some 30 MB
+    assert found.agg(F.count("*"), F.countDistinct("point_id", "shape_id")).first() == (4_000_000, 4_000_000)
+
+
+def test_rings_are_not_kept_for_each_cell(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    ring = lambda: [[rng.gauss(0, 0.1), rng.gauss(0, 0.1)] for _ in range(300)]
+    shapes = spark.createDataFrame([(i, json.dumps({"type": "Polygon", "coordinates": [ring()]})) for i in range(200)], "shape_id long, geometry string")
+    points = spark.createDataFrame([(1, 0.01, 0.02), (2, -0.05, 0.0)], "point_id long, lat double, lon double")
+    monkeypatch.setattr(storage, "shared_folder", lambda _: f"{tmp_path}/{uuid.uuid4()}")
+    assert quadtree.points_in_shapes(points, shapes).count() > 0
+    # 60,000 points of rings are 1 MB once, and 16 MB in each cell of their covers.
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 3_000_000
+
+
+def test_points_there_several_times_and_shapes_of_several_rings_give_one_pair(spark):
+    points = [(1, 1.0, 1.0), (1, 1.0, 1.0), (1, 2.0, 2.0), (2, 1.0, 1.0), (None, 1.0, 1.0), (None, 2.0, 2.0), (3, -0.0, 0.0), (4, 0.0, -0.0)]
+    square = [[-1, -1], [5, -1], [5, 5], [-1, 5]]
+    shapes = [(7, json.dumps({"type": "MultiPolygon", "coordinates": [[square], [square]]})), (7, json.dumps({"type": "Polygon", "coordinates": [square]})), (8, json.dumps({"type": "Polygon", "coordinates": [[[50, 50], [51, 50], [51, 51]]]})), (None, json.dumps({"type": "Polygon", "coordinates": [square]}))]
+    got = quadtree.points_in_shapes(spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(shapes, "shape_id long, geometry string")).collect()
+    assert sorted(map(str, (r.point_id for r in got))) == sorted(2 * ["1", "2", "3", "4", "None"]) and {r.shape_id for r in got} == {7, None}
