@@ -10,10 +10,14 @@ from .text import list_of, strip, text_of
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def _bound(x: Column, f) -> Column:
+    """``f`` of ``x``, which is made once however often ``f`` names it: it is bound as an array's element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def number(x: Column) -> Column:
     """A double from plain decimal text, else null."""
-    x = strip(x)
-    return F.when(F.regexp_like(x, F.lit(_NUMBER)), x.try_cast("double"))
+    return _bound(strip(x), lambda s: F.when(F.regexp_like(s, F.lit(_NUMBER)), s.try_cast("double")))
 
 
 def gps(x: Column) -> Column:
@@ -23,11 +27,6 @@ def gps(x: Column) -> Column:
     return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
-def _bound(x: Column, f) -> Column:
-    """``f`` of ``x``, which is made once however often ``f`` names it: it is bound as an array's element."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def spaced_ring(x: Column) -> Column:
     """A ring from "lat lon lat lon ..."; null with under three points, an odd count or a bad number."""
 
@@ -47,7 +46,8 @@ def pair_ring(x: Column) -> Column:
         return F.when(fine, points)
 
     pairs = F.split(strip(text_of(x)), r"(?U)\s+")
-    return _bound(F.transform(pairs, lambda p: F.array(number(F.get(F.split(p, ",", 2), F.lit(1))), number(F.get(F.split(p, ",", 2), F.lit(0))))), ring)
+    swapped = lambda p: _bound(F.split(p, ",", 2), lambda q: F.array(number(F.get(q, F.lit(1))), number(F.get(q, F.lit(0)))))
+    return _bound(F.transform(pairs, swapped), ring)
 
 
 def area_rings(areas: Column) -> Column:
@@ -58,9 +58,13 @@ def area_rings(areas: Column) -> Column:
 
 def geometry_of(rings: Column) -> Column:
     """GeoJSON text: null of no ring, a Polygon of one, a MultiPolygon of more, each ring a polygon of its own."""
-    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")))
-    more = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.transform(rings, lambda r: F.array(r)).alias("coordinates")))
-    return F.when(F.size(rings) == 1, one).when(F.size(rings) > 1, more)
+
+    def text(r: Column) -> Column:
+        one = F.to_json(F.struct(F.lit("Polygon").alias("type"), r.alias("coordinates")))
+        more = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.transform(r, lambda x: F.array(x)).alias("coordinates")))
+        return F.when(F.size(r) == 1, one).when(F.size(r) > 1, more)
+
+    return _bound(rings, text)
 
 
 def _type(geometry: Column) -> Column:
