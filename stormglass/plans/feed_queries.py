@@ -155,7 +155,7 @@ def warning_alerts(spark, sf):
     UNION ALL SELECT 'regions', event_id FROM w WHERE u IN (3, 7) OR (event_id % 5 = 3 AND u IN (2, 6)) UNION ALL SELECT 'all', event_id FROM w""")
 def locate_european(spark, sf):
     """A point counts before regions; without either all alerts are meant."""
-    rows = _warnings(spark, sf)
+    rows = written(_warnings(spark, sf).select("sender", "geocode_same", "geometry"))  # parsed once for all entries
     codes = ["DE03", "", "DE07"]
     of = lambda name, **where: locate.of_european_entry(rows, **where).select(F.lit(name).alias("entry"), F.col("sender").cast("long").alias("event_id"))
     return of("point", gps_loc=AT, regions=codes).unionByName(of("regions", regions=codes)).unionByName(of("all"))

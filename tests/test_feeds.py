@@ -168,3 +168,18 @@ def test_connector(spark, tmp_path):
     for options in ({"provider": "meteoalarm"}, {"provider": "meteoalarm", "country": "XX"}, {"provider": "other"}):
         with pytest.raises(Exception):
             read(**options).collect()
+
+
+@pytest.mark.parametrize("name", ["locate_european", "locate_canadian"])
+def test_a_feed_is_parsed_once_for_all_entries(spark, name):
+    from stormglass.plans.queries import QUERIES
+
+    assert not any("events.parquet" in f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_rings_are_parsed_once_for_a_geometry(spark):
+    from stormglass.functions import geo
+
+    areas = spark.createDataFrame([([("1,2 3,4 5,6",), ("1,2 3,4 1,9",), ("1,2 3,4",), (None,)],)], "a array<struct<polygon: string>>").select(geo.geometry_of(geo.area_rings(F.col("a"))).alias("g"))
+    assert json.loads(areas.first()["g"])["coordinates"] == [[[[2, 1], [4, 3], [6, 5]]], [[[2, 1], [4, 3], [9, 1]]]]
+    assert areas._jdf.queryExecution().analyzed().toString().lower().count("rlike") == 2  # one for each number of a pair
