@@ -96,7 +96,7 @@ def atom_alerts(spark, sf):
 @query(f"""WITH {_ATOM_SQL} SELECT 'province' AS entry, event_id FROM atom WHERE geocode LIKE 'ON%' OR contains(upper(area_desc), 'ON') UNION ALL SELECT 'point', event_id FROM atom WHERE event_id % 5 = 1 AND u = 2""")
 def locate_canadian(spark, sf):
     """A province counts before a point; without either there are no alerts."""
-    rows = _atom(spark, sf)
+    rows = written(_atom(spark, sf).select("url", "area_desc", "geocode", "geometry"))  # parsed once for all entries
     of = lambda name, **where: locate.of_province_or_point(rows, **where).select(F.lit(name).alias("entry"), F.col("url").cast("long").alias("event_id"))
     return of("province", province="on", gps_loc=AT).unionByName(of("point", gps_loc=AT)).unionByName(of("none"))
 
