@@ -277,3 +277,19 @@ def test_lru_over_thirty_polls_equals_a_dictionary_and_writes_what_is_touched(sp
         written = sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"])
         assert written <= len(touches)
     assert sum(map(len, want)) / 30 < 30
+
+
+def test_rows_are_taken_apart_by_place():
+    class State(dict):
+        """A map state and a value state."""
+
+        exists = lambda self: False
+        iterator = lambda self: iter(self.items())
+        updateValue = lambda self, key, value: self.update({key: value})
+
+    shard = stateful.Transitions()
+    shard.active, shard.last = State(), type("Last", (), {"exists": lambda _: False, "update": lambda _, value: None})()
+    alert = lambda x: tuple(x if c == "event" else "new" for c in stateful.CARRIED)
+    row = lambda at, x, marker=False: ("e", 0, 1, None, at, None if marker else "a", *alert(x), marker)
+    found = list(shard.handleInputRows(("e", 0), iter([row(3, "third"), row(7, "last"), row(7, "again"), row(5, "fifth"), row(None, "", True)]), None))
+    assert [(c.id, c.old, c.new.event, c.new_at) for c in found] == [("a", None, "last", 3)] and shard.active == {("a",): alert("last")}
