@@ -10,6 +10,8 @@ _PLAIN_DAY, _WEEK = r"^(\d{4})(\d{2})(\d{2})(?=$|[^\d-])", r"^(\d{4})(-?)W(\d{2}
 _PLAIN_TIME, _PLAIN_MINUTE, _COMMA = r"^(.{11}\d{2})(\d{2})(\d{2})(?!\d)", r"^(.{11}\d{2})(\d{2})(?=$|[+Z-])", r"^(.{11}\d{2}:\d{2}:\d{2}),(?=\d)"
 _SEPARATOR = r"^(\d{4}-\d{2}-\d{2})[^T](?=\d{2})"
 _OFFSET = r"[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?"
+#: The commonest form, which needs no rewriting.
+_WHOLE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?([+-]\d{2}:\d{2}|Z)$"
 _ISO = rf"^\d{{4}}-\d{{2}}-\d{{2}}([T ]\d{{2}}(:\d{{2}}(:\d{{2}}(\.\d+)?)?)?({_OFFSET}|Z)?)?$"
 
 
@@ -33,7 +35,8 @@ def instant(x: Column) -> Column:
     """The instant of an ISO text, UTC where it names no zone; null for anything else."""
     # Rarer forms are bound as array elements: their expressions name them many times, and run only where the first gives null.
     rare = F.transform(F.transform(F.filter(F.array(x), lambda v: v.isNotNull()), _extended), _usual)
-    return F.coalesce(_usual(x), F.get(rare, F.lit(0)))
+    whole = F.when(F.regexp_like(x, F.lit(_WHOLE)), F.try_to_timestamp(x))
+    return F.coalesce(whole, _usual(x), F.get(rare, F.lit(0)))
 
 
 def _usual(x: Column) -> Column:

@@ -23,3 +23,12 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a folder, so that whoever lists the new place finds all of its files or none."""
+    source, target = map(spark._jvm.org.apache.hadoop.fs.Path, (old, new))
+    system = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target.getParent())
+    if not system.rename(source, target):
+        raise OSError(f"{old} could not be moved to {new}")
