@@ -25,8 +25,9 @@ CARRIED = ("event", *dims.DIFF_COLUMNS)
 
 def last_of_each(incoming: DataFrame) -> DataFrame:
     """One row for each id of a snapshot: the last one's values at the first one's place."""
+    # Rows are sorted by these keys in their order: most ids differ, few entries do.
     columns = [c for c in incoming.columns if c not in (*KEY, "ordinal")]
-    last = incoming.groupBy("entry_id", "id", "poll_seq").agg(F.max_by(F.struct(*columns), "ordinal").alias("row"), F.min("ordinal").alias("ordinal"))
+    last = incoming.groupBy("id", "entry_id", "poll_seq").agg(F.max_by(F.struct(*columns), "ordinal").alias("row"), F.min("ordinal").alias("ordinal"))
     return last.select(*KEY, "ordinal", *(F.col(f"row.{c}").alias(c) for c in columns))
 
 
@@ -45,7 +46,7 @@ def numbered(polls: DataFrame) -> DataFrame:
 def in_sequence(incoming: DataFrame, polls: DataFrame) -> DataFrame:
     """One row for each id of a snapshot, with ``before`` (poll_no, ordinal, row: of the poll before, if the id was active there) and ``next_no``, the id's next poll."""
     rows = last_of_each(incoming.repartition("entry_id", "id")).join(numbered(polls), ["entry_id", "poll_seq"])
-    order = Window.partitionBy("entry_id", "id").orderBy("poll_seq")  # as last_of_each has sorted them
+    order = Window.partitionBy("id", "entry_id").orderBy("poll_seq")  # as last_of_each has sorted them
     last = F.lag(F.struct("poll_no", "ordinal", F.struct(*CARRIED).alias("row"))).over(order)
     rows = rows.withColumns({"before": last, "next_no": F.lead("poll_no").over(order)})
     was_active = (F.col("before.poll_no") == F.col("poll_no") - 1) & ~classify.is_terminal(F.col("before.row.phase"))
