@@ -1,12 +1,13 @@
 """Which alerts share a code with which entries, for all entries at once.
 
-An entry meets an alert through each code that both have.  Pairs that share several codes are few beside all pairs, and
-are found by pairs of codes (``several``), so that no list of all pairs has to be made distinct:
+An entry meets an alert through each code that both have.  No list of all pairs has to be made distinct:
 
-* ``counted`` adds up how many alerts each code of an entry has, and takes off what that counts more than once.  Alerts (entries) with the same
-  codes are one kind, so its work goes by kinds and not by pairs of entries and alerts.
-* ``paired`` streams the alerts of each code, kept in lists of some PART ids, to the entries that want it, less those that an entry meets
-  through an earlier code.  Pairs go out as they are made: they are neither shuffled nor spilled, and a code that all alerts have is dealt by its lists.
+* ``counted`` adds up how many alerts each code of an entry has, and takes off what that counts more than once, found by pairs of codes (``several``).  Alerts (entries)
+  with the same codes are one kind, so its work goes by kinds and not by pairs of entries and alerts.
+* ``paired`` keeps the entries and the alerts of each code in lists of some PART ids.  Two lists of a code are a block, which one task turns into pairs, less
+  those that meet through an earlier code: each id brings its earlier codes along, so such pairs are told inside the block and never listed.
+  Pairs go out as they are made: they are neither shuffled nor spilled, and a code that all alerts have, or all entries want, is dealt by its blocks.
+  A block's pairs go out alert by alert, each with the same entries again, and a task has few enough ids for Parquet's dictionaries: a result of many pairs takes little disk.
 
 A list of more than LONG codes has too many pairs of codes; entries and alerts with such lists are compared by bitmaps.  There, alerts are numbered in order of their
 ids.  A code's alerts are a bitmap, in buckets of BITS numbers; an entry's are those of its
@@ -32,8 +33,10 @@ from .order import placed
 
 #: Bits of a bucket of Spark's bitmaps, and buckets of a code that one task joins.
 BITS, PART_BUCKETS = 32768, 8
-#: Alerts of a list of a code, and codes beyond which a row is long.
+#: Ids of a list of a code, and codes beyond which a row is long.
 PART, LONG = 4096, 32
+#: Ids in the lists of one task: Parquet has a dictionary for twice as many. What stands for no code.
+TASK, ALL = 65536, -1
 
 
 def _codes(df: DataFrame, key: str, codes: str) -> DataFrame:
@@ -122,23 +125,35 @@ def counted(entries: DataFrame, alerts: DataFrame, entry_col: str = "entry_id",
 
 
 def paired(entries: DataFrame, alerts: DataFrame, entry_col: str = "entry_id", id_col: str = "id", entry_codes: str = "regions", codes: str = "geocode_same") -> DataFrame:
-    """(entry_id, id) of all pairs that share a code, each once."""
-    wanting, coming = (written(coded(df, key, c).withColumnRenamed("key", name)) for df, key, c, name in ((entries, entry_col, entry_codes, "e"), (alerts, id_col, codes, "a")))
+    """(entry_id, id) of all pairs that share a code, each once; a block's pairs are together, alert by alert."""
+    wants, has = (_codes(df, key, c).select(F.col("key").alias(k), F.col("code").cast("string").alias("code")) for df, key, c, k in ((entries, entry_col, entry_codes, "e"), (alerts, id_col, codes, "a")))
+    sizes = lambda rows, k: rows.groupBy("code").agg(F.count(F.lit(1)).alias(f"{k}_size")).withColumn(f"{k}_parts", F.ceil(F.col(f"{k}_size") / PART))
+    shared = written(sizes(wants, "e").join(sizes(has, "a"), "code").withColumn("c", F.monotonically_increasing_id()))
+    # Codes go by their numbers from here on, those that only one side has not at all.
+    of = lambda rows, k: written(rows.join(shared.select("code", "c"), "code").groupBy(k).agg(F.array_sort(F.collect_set("c")).alias("codes")))
+    wanting, coming = of(wants, "e"), of(has, "a")
     few, many, long_entries = _long(wanting)
     few_alerts, many_alerts, long_alerts = _long(coming)
-    of_alerts = few_alerts.select("a", F.explode("codes").alias("code"))
-    n_parts = written(of_alerts.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")))
-    # An alert's list is told by a hash of its id.
-    listed = lambda df, keys, name: df.withColumn("part", F.pmod(F.xxhash64("a"), "parts")).groupBy(*keys, "part").agg(F.collect_list("a").alias(name))
-    lists = written(listed(of_alerts.join(n_parts, "code"), ["code"], "ids"))
-    again = several(few, few_alerts).select("e", "a", F.explode(F.slice("shared", 2, LONG)).alias("code"))
-    less = written(listed(again.join(n_parts, "code"), ["e", "code"], "less"))
-    wants = few.select("e", F.explode("codes").alias("code")).join(n_parts, "code")
-    slots = wants.select("e", "code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(less, ["e", "code", "part"], "left")
-    ids = F.when(F.col("less").isNull(), F.col("ids")).otherwise(F.array_except("ids", "less"))
-    met = slots.join(lists, ["code", "part"]).select(F.col("e").alias("entry_id"), F.explode(ids).alias("id"))
+    size = shared.agg(F.sum(F.col("e_size") * F.col("a_parts") + F.col("a_size") * F.col("e_parts"))).first()[0] or 0
+    n_tasks, block = -(-size // TASK) or 1, ["c", "e_part", "a_part"]
+
+    def dealt(rows: DataFrame, k: str, other: str) -> DataFrame:
+        """Each id in a part of each of its codes, told by a hash, once for each part of the other side, with the codes before this one."""
+        each = rows.select(k, "codes", F.posexplode("codes").alias("at", "c")).join(shared, "c")
+        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_parts") - 1)).alias(f"{other}_part")
+        return each.select("c", F.pmod(F.xxhash64(k), f"{k}_parts").alias(f"{k}_part"), parts, k, F.slice("codes", 1, F.col("at")).alias("before")).repartition(n_tasks, *block)
+
+    # A block's entries, at ALL, and those of them that want each earlier code, too.
+    earlier = dealt(few, "e", "a").withColumn("code", F.explode(F.concat(F.array(F.lit(ALL)), "before"))).groupBy(*block, "code").agg(F.collect_list("e").alias("es"))
+    lists = earlier.groupBy(*block).agg(F.map_from_entries(F.collect_list(F.struct("code", "es"))).alias("by"))
+    ids = dealt(few_alerts, "a", "e").groupBy(*block).agg(F.collect_list(F.struct("a", "before")).alias("ids"))
+    each = lists.join(ids, block).select("by", F.element_at("by", F.lit(ALL)).alias("es"), F.explode("ids").alias("id"))
+    met = F.flatten(F.filter(F.transform("id.before", lambda c: F.try_element_at("by", c)), lambda es: es.isNotNull()))
+    left = each.select(F.col("id.a").alias("id"), "es", met.alias("met")).select("id", F.when(F.size("met") == 0, F.col("es")).otherwise(F.array_except("es", "met")).alias("es"))
+    # An inner explode would have Spark make the lists twice, once to see which are empty.
+    found = left.select(F.explode_outer("es").alias("entry_id"), "id").filter("entry_id is not null")
     for there, e, a in ((long_entries, many, coming), (long_alerts, few, many_alerts)):
         if there:
             numbers = written(numbered(a, "a"))
-            met = met.unionByName(pairs(matches(e, a, numbers, "e", "a", "codes", "codes"), numbers))
-    return met
+            found = found.unionByName(pairs(matches(e, a, numbers, "e", "a", "codes", "codes"), numbers))
+    return found

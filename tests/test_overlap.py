@@ -59,3 +59,21 @@ def test_pairs_are_not_shuffled_and_counts_make_no_pairs(spark, tmp_path):
     assert overlap.counted(entries, alerts).agg(F.min("n_alerts"), F.max("n_alerts"), F.count("entry_id")).first() == (3000, 3000, 3000)
     # 9 million pairs; as rows or as bitmaps of each entry they are tens of MB.
     assert written() - before < 2_000_000
+
+
+def test_pairs_that_share_several_codes_are_not_listed(spark):
+    both = lambda name: F.array(F.lit("all"), F.lit("one"), F.lit("two")).alias(name)
+    entries, alerts = spark.range(3000).select(F.col("id").alias("entry_id"), both("regions")), spark.range(3000).select("id", both("geocode_same"))
+    written = lambda: sum(x.totalShuffleWrite() for x in (lambda s: [s.apply(i) for i in range(s.size())])(spark._jsc.sc().statusStore().executorList(False)))
+    before = written()
+    assert overlap.paired(entries, alerts).agg(F.count(F.lit(1)), F.countDistinct("entry_id"), F.sum("id")).first() == (9_000_000, 3000, 3000 * 2999 * 1500)
+    assert written() - before < 2_000_000
+
+
+def test_a_result_of_many_pairs_takes_little_disk(spark, tmp_path):
+    entries = spark.range(30).select(F.col("id").alias("entry_id"), F.array(F.lit("all")).alias("regions"))
+    alerts = spark.range(400_000).select((F.col("id") * 7919 % 400_000).alias("id"), F.array(F.lit("all")).alias("geocode_same"))
+    overlap.paired(entries, alerts).write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 12_000_000
+    # Ids alone are 96 MB.
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 12_000_000
