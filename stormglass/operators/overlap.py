@@ -7,7 +7,7 @@ An entry meets an alert through each code that both have.  No list of all pairs
 * ``paired`` keeps the entries and the alerts of each code in lists of some PART ids.  Two lists of a code are a block, which one task turns into pairs, less
   those that meet through an earlier code: each id brings its earlier codes along, so such pairs are told inside the block and never listed.
   Pairs go out as they are made: they are neither shuffled nor spilled, and a code that all alerts have, or all entries want, is dealt by its blocks.
-  A block's pairs go out alert by alert, each with the same entries again, and a task has few enough ids for Parquet's dictionaries: a result of many pairs takes little disk.
+  A block's pairs go out alert by alert, each with the same GROUP of entries again, and a task has few enough ids for Parquet's dictionaries: a result of many pairs takes little disk.
 
 A list of more than LONG codes has too many pairs of codes; entries and alerts with such lists are compared by bitmaps.  There, alerts are numbered in order of their
 ids.  A code's alerts are a bitmap, in buckets of BITS numbers; an entry's are those of its
@@ -37,6 +37,8 @@ BITS, PART_BUCKETS = 32768, 8
 PART, LONG = 4096, 32
 #: Ids in the lists of one task: Parquet has a dictionary for twice as many. What stands for no code.
 TASK, ALL = 65536, -1
+#: Entries that go out together with an alert: they are the same for the next one, near enough for Parquet's compression to find.
+GROUP = 256
 
 
 def _codes(df: DataFrame, key: str, codes: str) -> DataFrame:
@@ -137,15 +139,15 @@ def paired(entries: DataFrame, alerts: DataFrame, entry_col: str = "entry_id", i
     size = shared.agg(F.sum(F.col("e_size") * F.col("a_parts") + F.col("a_size") * F.col("e_parts"))).first()[0] or 0
     n_tasks, block = -(-size // TASK) or 1, ["c", "e_part", "a_part"]
 
-    def dealt(rows: DataFrame, k: str, other: str) -> DataFrame:
+    def dealt(rows: DataFrame, k: str, other: str, *more: Column) -> DataFrame:
         """Each id in a part of each of its codes, told by a hash, once for each part of the other side, with the codes before this one."""
         each = rows.select(k, "codes", F.posexplode("codes").alias("at", "c")).join(shared, "c")
         parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_parts") - 1)).alias(f"{other}_part")
-        return each.select("c", F.pmod(F.xxhash64(k), f"{k}_parts").alias(f"{k}_part"), parts, k, F.slice("codes", 1, F.col("at")).alias("before")).repartition(n_tasks, *block)
+        return each.select("c", F.pmod(F.xxhash64(k), f"{k}_parts").alias(f"{k}_part"), parts, k, F.slice("codes", 1, F.col("at")).alias("before"), *more).repartition(n_tasks, *block)
 
-    # A block's entries, at ALL, and those of them that want each earlier code, too.
-    earlier = dealt(few, "e", "a").withColumn("code", F.explode(F.concat(F.array(F.lit(ALL)), "before"))).groupBy(*block, "code").agg(F.collect_list("e").alias("es"))
-    lists = earlier.groupBy(*block).agg(F.map_from_entries(F.collect_list(F.struct("code", "es"))).alias("by"))
+    # A group of a block's entries, at ALL, and those of them that want each earlier code, too.
+    wanted = dealt(few, "e", "a", F.pmod(F.hash("e"), F.ceil(F.col("e_size") / F.col("e_parts") / GROUP)).alias("group")).withColumn("code", F.explode(F.concat(F.array(F.lit(ALL)), "before")))
+    lists = wanted.groupBy(*block, "group", "code").agg(F.collect_list("e").alias("es")).groupBy(*block, "group").agg(F.map_from_entries(F.collect_list(F.struct("code", "es"))).alias("by"))
     ids = dealt(few_alerts, "a", "e").groupBy(*block).agg(F.collect_list(F.struct("a", "before")).alias("ids"))
     each = lists.join(ids, block).select("by", F.element_at("by", F.lit(ALL)).alias("es"), F.explode("ids").alias("id"))
     met = F.flatten(F.filter(F.transform("id.before", lambda c: F.try_element_at("by", c)), lambda es: es.isNotNull()))
